@@ -93,3 +93,8 @@ def global_rank(scratch: Scratch, df: DataFrame, order: list[Column | str], name
     offsets = scratch.save(offsets.coalesce(1), f"{name}_offsets")  # one row a partition
     joined = table.withColumn("_p", part).join(F.broadcast(offsets), "_p")
     return joined.withColumn("rank", F.col("_o") + F.col("_m").bitwiseAND((1 << _ROW_BITS) - 1)).drop("_p", "_o", "_m")
+
+
+def dense_ranks(scratch: Scratch, rows: DataFrame, order: list[str], rank: str, name: str) -> DataFrame:
+    """The distinct ``rows`` with their 0-based ``rank`` in the given order, numbered without a single-partition sort."""
+    return global_rank(scratch, rows, list(order), name).withColumnRenamed("rank", rank)
