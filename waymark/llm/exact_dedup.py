@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, drop_rows, text_or_empty
 
 
 def exact_groups(
@@ -62,16 +62,10 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without later copies: one row of each text, all columns kept."""
     normalise = options.get("normalise") or (lambda c: c)
-    members = exact_groups(docs, id_col, text_col, **options)
-    lost = members.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    again = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "text_hash").count().where("count > 1")
-    keyed = docs.withColumn("_h", full_hash(normalise(text_or_empty(text_col))))
-    kept = keyed.join(lost, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_anti")
-    twice = again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    on = kept[id_col].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))
-    once = kept.join(twice, on, "left_anti")
-    repeated = kept.join(twice, on, "left_semi").dropDuplicates([id_col, "_h"])
-    return once.unionByName(repeated).drop("_h")
+    members = exact_groups(docs, id_col, text_col, **options).withColumn("_first", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    again = members.where("_first").groupBy("doc_id", "text_hash").count().where("count > 1")
+    keys = {"doc_id": F.col(id_col), "text_hash": full_hash(normalise(text_or_empty(text_col)))}
+    return drop_rows(Scratch(docs.sparkSession), docs, keys, members.where("NOT _first"), again)
 
 
 SQL = """

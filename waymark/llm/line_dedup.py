@@ -100,9 +100,10 @@ def later_copies(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS)
     """(doc, pos): the lines to delete. ``docs``: doc, text, one row a document."""
     level0 = _repeated(scratch, docs)
     runs = scratch.save(_needed_runs(level0, min_words), "runs")
-    named = _named_runs(scratch, level0, runs)
+    named = scratch.save(_named_runs(scratch, level0, runs), "named")
     place = F.struct("doc", "pos")
     first = named.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    first = scratch.save(first, "first")
     later = named.join(first, ["n", "a", "b"]).where(place != F.col("first"))
     return later.select("doc", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("pos")).distinct()
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, line_dedup, mixing, packing, topk, toxicity
+from . import chat_format, exact_dedup, line_dedup, mixing, near_dedup, packing, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_topk": topk.query,
         "op8_packing": packing.query,
         "op9_exact_dedup": exact_dedup.query,
+        "op10_near_dedup": near_dedup.query,
     }
 
 
