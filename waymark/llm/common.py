@@ -46,12 +46,22 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths[name])
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
+    def place(self, name: str) -> str:
+        """A path that goes as the tables do."""
         self._paths[name] = f"{self._root}/{name}"
-        df.write.mode("overwrite").parquet(self._paths[name])
         path, fs = self._path(name)
         fs.deleteOnExit(path)
+        return self._paths[name]
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and return the written table. The shuffle files that it took go at once."""
+        path, key = self.place(name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(key, before) if before is not None else self.spark.conf.unset(key)
         return self.spark.read.schema(df.schema).parquet(self._paths[name])
 
     def drop(self, *names: str) -> None:

@@ -37,8 +37,11 @@ def _line_id(line: Column) -> Column:
 
 def _repeated(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """(doc, pos, words, r): the lines that occur more than once, with rank 0. doc is the struct (id, hash)."""
+    again = docs.groupBy("doc").count().where("count > 1")
     lines = docs.select("doc", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     lines = scratch.save(lines.select("doc", "pos", _line_id(F.col("line")).alias("line"), word_count(F.col("line")).cast("int").alias("words")), "lines")
+    if not again.isEmpty():
+        lines = lines.dropDuplicates(["doc", "pos"])
     common = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
     ranks = dense_ranks(scratch, common, ["line"], "r", "rank0")
     out = scratch.save(lines.join(ranks, "line").select("doc", "pos", "words", "r"), "level0")
@@ -97,7 +100,7 @@ def _doubled(scratch: Scratch, level: DataFrame, step: int, k: int) -> DataFrame
 
 
 def later_copies(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, pos): the lines to delete. ``docs``: doc, text, one row a document."""
+    """(doc, pos): the lines to delete. ``docs``: doc, text; rows of the same doc have the same text."""
     level0 = _repeated(scratch, docs)
     runs = scratch.save(_needed_runs(level0, min_words), "runs")
     named = scratch.save(_named_runs(scratch, level0, runs), "named")
@@ -116,7 +119,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _deleted(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(doc, lines): sorted line numbers to delete, a row for each document that loses any."""
     scratch = Scratch(docs.sparkSession)
-    gone = later_copies(scratch, _documents(docs, id_col, text_col).dropDuplicates(["doc"]), min_words)
+    gone = later_copies(scratch, _documents(docs, id_col, text_col), min_words)
     return scratch.save(gone.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("lines")), "deleted")
 
 

@@ -162,9 +162,9 @@ def _sketched(texts: DataFrame, words: int, sketches: int, tuple_size: int) -> D
 def _with_texts(pairs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
     """(node, norm) of the nodes in ``pairs``: the text of one row each."""
     wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    first = members.groupBy("node").agg(F.min("row").alias("row"))
-    keys = wanted.join(first, "node").select("node", "row")
-    return rows.join(small(keys, BROADCAST_NODES), ["node", "row"], "left_semi").select("node", "norm").dropDuplicates(["node"])
+    first = members.groupBy("node").agg(F.min("at").alias("at"))
+    keys = wanted.join(first, "node").select("node", "at")
+    return rows.join(small(keys, BROADCAST_NODES), ["node", "at"], "left_semi").select("node", "norm").dropDuplicates(["node"])
 
 
 def _verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, members: DataFrame, words: int, similarity: float, name: str) -> DataFrame:
@@ -240,9 +240,10 @@ def near_classes(
 ) -> DataFrame:
     """One row per document: doc_id, node (of its text), class_id, class_node, class_size."""
     scratch = scratch or Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("row"), normalised(text_or_empty(text_col)).alias("norm")).select("row", "norm", node_of(F.col("norm")).alias("node"))
+    at = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("row"), at.alias("at"), normalised(text_or_empty(text_col)).alias("norm")).withColumn("node", node_of(F.col("norm")))
     sketched = scratch.save(_sketched(rows.select("node", "norm"), words, sketches, tuple_size).dropDuplicates(["node"]), "sketches")
-    members = scratch.save(rows.select("row", "node"), "members")
+    members = scratch.save(rows.select("row", "at", "node"), "members")
     keyed = sketched.select("node", "n", F.posexplode("keys").alias("i", "key"))
     common = scratch.save(keyed.groupBy("i", "key").agg(F.count("*").alias("size")).where("size > 1"), "common")
     buckets = scratch.save(keyed.join(common, ["i", "key"]), "buckets")

@@ -81,3 +81,8 @@ def encode_in_parts(path: str, texts: list[str], chars: int = 400_000):
             end += 1
         yield from t.encode(texts[start:end])
         start = end
+
+
+def id_bytes(path: str) -> int:
+    """Bytes that hold any id of the file's vocabulary: 2 or 4."""
+    return tokenizer(path).dtype.itemsize
