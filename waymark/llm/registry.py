@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, line_dedup, materialise, mixing, near_dedup, packing, topk, toxicity
+from . import chat_format, exact_dedup, line_dedup, materialise, mixing, near_dedup, packing, quality, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_format": chat_format.query,
         "op4_toxicity": toxicity.query,
         "op5_exact_topk": topk.query,
+        "op6_quality": quality.query,
         "op7_training_order": materialise.query,
         "op8_packing": packing.query,
         "op9_exact_dedup": exact_dedup.query,
