@@ -55,9 +55,12 @@ def text_features(text: str) -> list[float]:
     ]
 
 
-@F.pandas_udf("array<double>")
-def _text_view(texts: pd.Series) -> pd.Series:
-    return texts.map(text_features)
+def _text_view(text: str) -> Column:
+    @F.pandas_udf("array<double>")
+    def view(texts: pd.Series) -> pd.Series:
+        return texts.map(text_features)
+
+    return view(text)
 
 
 def _page_view(columns: list[str], source_col: str, lang_col: str, chars_col: str) -> Column:
@@ -96,6 +99,7 @@ def _probability(margin: Column) -> Column:
 def co_train(scratch: Scratch, train: DataFrame, held: DataFrame, free: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> tuple[Column, Column, Column]:
     """Calibrated margins of the text and the page view, and of both. Tables: t, p (arrays), and label but for ``free``."""
     edge = math.log((1 - sure) / sure)
+    train = train.select("t", "p", "label")
     rows = {"t": train, "p": train}
     margins = {v: _margin(v, train, held) for v in rows}
     for k in range(rounds):
