@@ -214,10 +214,11 @@ def _across(scratch: Scratch, buckets: DataFrame, comps: DataFrame, rows: DataFr
     texts = scratch.save(_with_texts(many.select(F.col("node").alias("x"), F.col("node").alias("y")), rows, members), "texts_many")
     s = scratch.save(texts.mapInPandas(explode, "node binary, s long"), "shingles")
     often = s.groupBy("s").agg(F.count("*").alias("f"))
-    ranked = s.join(often, "s").join(many, "node")
+    ranked = s.join(often, "s").withColumn("n", F.count("*").over(Window.partitionBy("node")))
     place = F.row_number().over(Window.partitionBy("node").orderBy("f", "s"))
     prefix = ranked.withColumn("_p", place).where(F.col("_p") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).where("f > 1")
-    prefix = scratch.save(prefix.select("s", "node", "n", "comp"), "prefixes")
+    prefix = prefix.select("s", "node", "n").join(many.select("node", "comp"), "node")
+    prefix = scratch.save(prefix, "prefixes")
     groups = scratch.save(prefix.groupBy("s", "comp").agg(F.count("*").alias("k")), "prefix_parts")
     shared = groups.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
     return across.unionByName(_component_pairs(prefix, groups.join(shared, "s"), ["s"], similarity)).distinct()
@@ -248,8 +249,8 @@ def near_classes(
     common = scratch.save(keyed.groupBy("i", "key").agg(F.count("*").alias("size")).where("size > 1"), "common")
     buckets = scratch.save(keyed.join(common, ["i", "key"]), "buckets")
     # The hub of a bucket is the member that shares the most: where copies differ from one another, it is like most of them.
-    weight = scratch.save(buckets.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    best = buckets.join(weight, "node").groupBy("i", "key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("hub"))
+    weighed = buckets.withColumn("weight", F.sum("size").over(Window.partitionBy("node")))
+    best = weighed.groupBy("i", "key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("hub"))
     best = scratch.save(best.select("i", "key", F.col("hub.node").alias("y"), F.col("hub.n").alias("ny")), "hubs")
     pairs = buckets.join(best, ["i", "key"]).where(F.col("node") != F.col("y")).where(_near_sizes(F.col("n"), F.col("ny"), similarity))
     pairs = scratch.save(pairs.select(F.col("node").alias("x"), "y").distinct(), "pairs_hub")
