@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from . import build, motion, places, roads, scalars
+
+MODULES: tuple = (scalars, roads, places, motion, build)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
