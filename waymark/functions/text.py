@@ -8,33 +8,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _ascii_table() -> tuple[str, str]:
-    """Single letters below U+2000 whose compatibility decomposition starts with one ASCII letter or digit and marks only."""
-    source, target = [], []
-    for code in range(0x80, 0x2000):
+def _ascii_table() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves of each letter in ASCII: one character for one, or several."""
+    source, target, several = [], [], {}
+    for code in (c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000):
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode("ascii").lower()
-        if len(plain) == 1 and plain.isalnum():
+        if len(plain) == 1:
             source.append(chr(code))
             target.append(plain)
-    return "".join(source), "".join(target)
+        elif plain:
+            several[chr(code)] = plain
+    return "".join(source), "".join(target), several
 
 
-_FROM, _TO = _ascii_table()
-#: What is left of non-ASCII letters is dropped, and what is no letter or digit separates.
-_MARKS = r"[^\x00-\x7F]"
+_FROM, _TO, _SEVERAL = _ascii_table()
 
 
 def normal_form(text: Column) -> Column:
     """Lower-case ASCII words with one space between them.
 
-    Accents go by table, in generated code; letters that decompose to several (ligatures) are spelt out by rule. A null
-    text counts as empty.
+    Accents go by a table of single characters, in generated code; only texts with ligatures, fractions and the like are
+    taken apart. What is no ASCII after that is dropped, what is no letter or digit separates. A null text counts as empty.
     """
     t = F.coalesce(text.cast("string"), F.lit(""))
-    for k, v in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ĳ", "ij"), ("Ĳ", "ij"), ("ŀ", "l"), ("…", "...")):
-        t = F.replace(t, F.lit(k), F.lit(v))
+    spelt = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    apart = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(spelt, c), c)), "")
+    t = F.when(t.rlike("[" + "".join(_SEVERAL) + "]"), apart).otherwise(t)
     plain = F.lower(F.translate(t, _FROM, _TO))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, _MARKS, ""), "[^0-9a-z]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7F]", ""), "[^0-9a-z]+", " "))
 
 
 def words(normal: Column) -> Column:

@@ -25,7 +25,7 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small text file from any store that Spark reads."""
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def digest(df: DataFrame) -> tuple[int, str]:
