@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, components, drop_rows, small, text_or_empty
 
-WORDS, SIMILARITY, SKETCHES, TUPLE, DIRECT = 5, 0.8, 16, 3, 32
+WORDS, SIMILARITY, SKETCHES, TUPLE, COMMON = 5, 0.8, 16, 3, 32
 #: Nodes whose ids are broadcast at most; above that, texts are fetched by a shuffled join.
 BROADCAST_NODES = 400_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
@@ -167,10 +167,15 @@ def _with_texts(pairs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFr
     return rows.join(small(keys, BROADCAST_NODES), ["node", "at"], "left_semi").select("node", "norm").dropDuplicates(["node"])
 
 
-def _verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, members: DataFrame, words: int, similarity: float, name: str) -> DataFrame:
-    """The (x, y) that align. Pairs come sorted by y, so a hub's shingles are kept from pair to pair."""
+def _texts_joined(scratch: Scratch, pairs: DataFrame, rows: DataFrame, members: DataFrame, name: str) -> DataFrame:
+    """(x, y, _x, _y): pairs with both texts. A sort-merge join leaves them sorted by y, so what y gives can be kept from pair to pair."""
     texts = scratch.save(_with_texts(pairs, rows, members), f"texts_{name}")
     t = lambda k: texts.select(F.col("node").alias(k), F.col("norm").alias(f"_{k}"))
+    return pairs.join(t("x"), "x").join(t("y"), "y").select("x", "y", "_x", "_y")
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, members: DataFrame, words: int, similarity: float, name: str) -> DataFrame:
+    """The (x, y) that align."""
 
     def run(batches):
         cache: dict[str, int] = {}
@@ -182,46 +187,87 @@ def _verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, members: Data
                 ok.append(aligned(shingles(x, words, cache), hub, similarity))
             yield b.loc[ok, ["x", "y"]]
 
-    links = pairs.join(t("x"), "x").join(t("y"), "y").select("x", "y", "_x", "_y").mapInPandas(run, "x binary, y binary")
-    return scratch.save(links, f"links_{name}")
+    return scratch.save(_texts_joined(scratch, pairs, rows, members, name).mapInPandas(run, "x binary, y binary"), f"links_{name}")
 
 
 def _near_sizes(low: Column, high: Column, similarity: float) -> Column:
     return F.least(low, high) >= F.greatest(low, high) * similarity - 1e-9
 
 
-def _across(scratch: Scratch, buckets: DataFrame, comps: DataFrame, rows: DataFrame, members: DataFrame, words: int, similarity: float, direct: int) -> DataFrame:
-    """Pairs of different components that share a bucket: all of them where a bucket has few, else what the prefix filter leaves."""
+def _under_hubs(scratch: Scratch, buckets: DataFrame, hubs: DataFrame, comps: DataFrame) -> DataFrame:
+    """(hub, own, node, n, comp): members of buckets with several components, under the hubs they are held against.
+
+    Each large component of a bucket (more members than the square root of all) has its centre as a hub, over all members
+    of the bucket; ``own`` tells those of its component. All members outside large components are under the bucket's first
+    hub, where ``own`` is null. A bucket of m rows gives at most m ** 1.5.
+    """
     b = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    parts = scratch.save(b.groupBy("i", "key", "comp").agg(F.count("*").alias("k")), "parts")
-    mixed = parts.groupBy("i", "key").agg(F.count("*").alias("comps"), F.sum("k").alias("m"), F.sum(F.col("k").cast("double") * F.col("k")).alias("kk"))
-    mixed = mixed.where("comps > 1").withColumn("few", (F.col("m") * F.col("m") - F.col("kk")) / 2 <= direct * F.col("m"))
-    mixed = scratch.save(mixed.select("i", "key", "few"), "mixed")
-    b = scratch.save(b.join(mixed, ["i", "key"]).select("i", "key", "node", "n", "comp", "few"), "unresolved")
-    f, g = b.where("few"), parts.join(mixed.where("few"), ["i", "key"])
-    across = _component_pairs(f, g, ["i", "key"], similarity)
-    many = b.where("NOT few").select("node", "n", "comp").distinct()
-    if many.isEmpty():
-        return across
-    many = scratch.save(many, "many")
-
-    def explode(batches):
+    b = scratch.save(b.select("i", "key", "node", "n", "weight", "comp"), "held")
+    parts = b.groupBy("i", "key", "comp").agg(F.count("*").alias("k"), F.max_by("node", F.struct("weight", "node")).alias("centre"))
+    parts = scratch.save(parts, "parts")
+    mixed = parts.groupBy("i", "key").agg(F.count("*").alias("comps"), F.sum("k").alias("m")).where("comps > 1")
+    mixed = scratch.save(mixed.select("i", "key", "m"), "mixed")
+    large = parts.join(mixed, ["i", "key"]).where(F.col("k") > F.greatest(F.lit(4.0), F.sqrt("m")))
+    large = scratch.save(large.select("i", "key", F.col("comp").alias("main"), F.col("centre").alias("hub")), "large")
+    held = b.join(mixed.select("i", "key"), ["i", "key"])
+    to_centre = held.join(large, ["i", "key"]).select("hub", (F.col("comp") == F.col("main")).alias("own"), "node", "n", "comp")
+    rest = held.join(large.select("i", "key", F.col("main").alias("comp")), ["i", "key", "comp"], "left_anti")
+    to_first = rest.join(hubs, ["i", "key"]).select(F.col("y").alias("hub"), F.lit(None).cast("boolean").alias("own"), "node", "n", "comp")
+    return scratch.save(to_centre.unionByName(to_first).distinct(), "under")
+
+
+def _across(scratch: Scratch, under: DataFrame, rows: DataFrame, members: DataFrame, words: int, similarity: float, common: int) -> DataFrame:
+    """Pairs of different components that may still be alike.
+
+    Let H be the shingles of a hub and all those that more than ``common`` members under it have. If x and y share no
+    shingle beyond H, they share at most what each has in common with H, so they are alike only if both of these counts
+    are at least half the share that their sizes ask for; only members that are made of H come so far, and those outside
+    the hub's component are few. All other pairs share a shingle beyond H, and if those come first in the order of a
+    prefix filter, one of them is in both prefixes. As at most ``common`` members have it, pairs follow the rows.
+    """
+    share = 2 * similarity / (1 + similarity)
+
+    def beyond(batches):
         cache: dict[str, int] = {}
         for x in batches:
-            for node, norm in zip(x["node"], x["norm"], strict=True):
-                yield pd.DataFrame({"node": node, "s": labelled(shingles(norm, words, cache)).astype("int64")})
-
-    texts = scratch.save(_with_texts(many.select(F.col("node").alias("x"), F.col("node").alias("y")), rows, members), "texts_many")
-    s = scratch.save(texts.mapInPandas(explode, "node binary, s long"), "shingles")
-    often = s.groupBy("s").agg(F.count("*").alias("f"))
-    ranked = s.join(often, "s").withColumn("n", F.count("*").over(Window.partitionBy("node")))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("f", "s"))
-    prefix = ranked.withColumn("_p", place).where(F.col("_p") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).where("f > 1")
-    prefix = prefix.select("s", "node", "n").join(many.select("node", "comp"), "node")
-    prefix = scratch.save(prefix, "prefixes")
-    groups = scratch.save(prefix.groupBy("s", "comp").agg(F.count("*").alias("k")), "prefix_parts")
-    shared = groups.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    return across.unionByName(_component_pairs(prefix, groups.join(shared, "s"), ["s"], similarity)).distinct()
+            last, hub, out = None, None, []
+            for t, y in zip(x["_x"], x["_y"], strict=True):
+                if y != last:
+                    last, hub = y, labelled(shingles(y, words, cache))
+                own = labelled(shingles(t, words, cache))
+                new = np.sort(own[~np.isin(own, hub)])
+                most = len(own) - int(np.ceil(len(own) * similarity - 1e-9)) + 1
+                out.append((len(own) - len(new), most, len(new) <= 2 * most, new[: 2 * most].astype("int64")))
+            yield pd.DataFrame({"node": x["x"], "hub": x["y"]} | {k: [o[i] for o in out] for i, k in enumerate(("c", "most", "whole", "new"))})
+
+    asked = under.where("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
+    found = _texts_joined(scratch, asked, rows, members, "under").mapInPandas(beyond, "node binary, hub binary, c long, most long, whole boolean, new array<long>")
+    found = found.join(under, ["node", "hub"]).withColumn("first", F.col("own").isNull())
+    found = scratch.save(found, "beyond")
+    to_hub = found.where("NOT own").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y"))
+    key = ["hub", "first"]
+    shared = found.select(*key, "own", "node", "n", "comp", "most", F.explode("new").alias("s"))
+    often = shared.groupBy(*key, "s").agg(F.count("*").alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    often = scratch.save(often.where("k > 1").select(*key, "s", (F.col("k") > common).alias("often"), (F.col("low") != F.col("high")).alias("mixed")), "often")
+    shared = shared.join(often, [*key, "s"], "left").fillna({"often": False, "mixed": False})
+    place = F.sum(F.when(F.col("often"), 0).otherwise(1)).over(Window.partitionBy(*key, "node").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    shared = scratch.save(shared.withColumn("place", place).select(*key, "own", "node", "n", "comp", "s", "most", "often", "mixed", "place"), "shared")
+    held = shared.where("NOT often AND mixed AND place <= most")
+    one = held.where("first")
+    among = _component_pairs(one, one.select("hub", "s", "comp").distinct(), ["hub", "s"], similarity)
+    side = lambda own, k: held.where(f"own = {own}").select("hub", "s", F.col("node").alias(k), F.col("n").alias(f"n{k}"))
+    around = side("true", "y").join(side("false", "x"), ["hub", "s"]).where(_near_sizes(F.col("nx"), F.col("ny"), similarity))
+    around = around.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    more = shared.groupBy(*key, "node").agg(F.count_if("often").alias("often"), F.max("place").alias("beyond"))
+    inside = found.join(more, [*key, "node"], "left").fillna({"often": 0, "beyond": 0})
+    cut_short = ~F.col("whole") & (F.col("beyond") < F.col("most"))
+    inside = inside.withColumn("c", F.when(cut_short, F.col("n")).otherwise(F.col("c") + F.col("often")))
+    inside = scratch.save(inside.where(2 * F.col("c") >= share * F.col("n") * (1 + similarity) - 1e-9).select(*key, "own", "node", "n", "c", "comp"), "inside")
+    z = inside.select(*key, *[F.col(c).alias(f"{c}_z") for c in ("own", "node", "n", "c", "comp")])
+    sides = F.when(F.col("first"), F.col("node") < F.col("node_z")).otherwise(~F.col("own") & F.col("own_z"))
+    fits = sides & (F.col("comp") != F.col("comp_z")) & (2 * F.least("c", "c_z") >= share * (F.col("n") + F.col("n_z")) - 1e-9) & _near_sizes(F.col("n"), F.col("n_z"), similarity)
+    few = inside.where("first OR NOT own").join(z.where("first OR own_z"), key).where(fits).select(F.least("node", "node_z").alias("x"), F.greatest("node", "node_z").alias("y"))
+    return to_hub.unionByName(among).unionByName(around).unionByName(few).distinct()
 
 
 def _component_pairs(members: DataFrame, parts: DataFrame, by: list[str], similarity: float) -> DataFrame:
@@ -237,7 +283,7 @@ def _component_pairs(members: DataFrame, parts: DataFrame, by: list[str], simila
 
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
-    sketches: int = SKETCHES, tuple_size: int = TUPLE, direct: int = DIRECT, scratch: Scratch | None = None,
+    sketches: int = SKETCHES, tuple_size: int = TUPLE, common: int = COMMON, scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, node (of its text), class_id, class_node, class_size."""
     scratch = scratch or Scratch(docs.sparkSession)
@@ -246,17 +292,20 @@ def near_classes(
     sketched = scratch.save(_sketched(rows.select("node", "norm"), words, sketches, tuple_size).dropDuplicates(["node"]), "sketches")
     members = scratch.save(rows.select("row", "at", "node"), "members")
     keyed = sketched.select("node", "n", F.posexplode("keys").alias("i", "key"))
-    common = scratch.save(keyed.groupBy("i", "key").agg(F.count("*").alias("size")).where("size > 1"), "common")
-    buckets = scratch.save(keyed.join(common, ["i", "key"]), "buckets")
+    met = scratch.save(keyed.groupBy("i", "key").agg(F.count("*").alias("size")).where("size > 1"), "met")
     # The hub of a bucket is the member that shares the most: where copies differ from one another, it is like most of them.
-    weighed = buckets.withColumn("weight", F.sum("size").over(Window.partitionBy("node")))
-    best = weighed.groupBy("i", "key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("hub"))
+    buckets = keyed.join(met, ["i", "key"]).withColumn("weight", F.sum("size").over(Window.partitionBy("node")))
+    buckets = scratch.save(buckets.drop("size"), "buckets")
+    best = buckets.groupBy("i", "key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("hub"))
     best = scratch.save(best.select("i", "key", F.col("hub.node").alias("y"), F.col("hub.n").alias("ny")), "hubs")
     pairs = buckets.join(best, ["i", "key"]).where(F.col("node") != F.col("y")).where(_near_sizes(F.col("n"), F.col("ny"), similarity))
     pairs = scratch.save(pairs.select(F.col("node").alias("x"), "y").distinct(), "pairs_hub")
     links = _verified(scratch, pairs, rows, members, words, similarity, "hub")
     comps = components(scratch, links, "hub")
-    more = scratch.save(_across(scratch, buckets, comps, rows, members, words, similarity, direct).join(pairs, ["x", "y"], "left_anti"), "pairs_across")
+    under = _under_hubs(scratch, buckets, best.select("i", "key", "y"), comps)
+    more = _across(scratch, under, rows, members, words, similarity, common)
+    done = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    more = scratch.save(more.join(done, ["x", "y"], "left_anti"), "pairs_across")
     links = links.unionByName(_verified(scratch, more, rows, members, words, similarity, "across"))
     comps = components(scratch, links, "all")
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
