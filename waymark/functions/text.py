@@ -67,3 +67,11 @@ def match_tier(query: Column, display: Column, haystack: Column) -> Column:
         .when(_every_token_starts(tokens, words(haystack)), 4)
         .when(F.contains(haystack, query), 5)
     )
+
+
+def stable_hash(key: Column) -> Column:
+    """A 31-bit hash over the bytes of a key: xor with each byte, times 16777619."""
+    digits = F.hex(key.cast("binary"))
+    codes = F.transform(F.sequence(F.lit(1), (F.length(digits) / 2).cast("int")), lambda i: F.conv(F.substr(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+    start = F.lit(2166136261).cast("long")
+    return F.when(digits != "", F.aggregate(codes, start, lambda v, c: (v.bitwiseXOR(c) * 16777619).bitwiseAND(0x7FFFFFFF))).otherwise(start)

@@ -138,7 +138,7 @@ V02 = f"""WITH {_DETAILED}, r AS (SELECT 'length' AS rule, count(*) AS n FROM ed
 def _road_net(spark: SparkSession, d: str) -> DataFrame:
     """A sparser net for routes: parts joined to near neighbours by key, each with a class and a speed (analogous roads)."""
     n = t.nodes(spark, d)
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("step"), F.lit(c).alias("road_class")) for a, c in ((1, 11), (97, 4), (13, 0))]))
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("step"), F.lit(c).alias("road_class")) for a, c in ((1, 11), (13, 4), (97, 4), (1009, 0))]))
     e = n.select(F.col("node_id").alias("source"), "lon", "lat", steps.alias("s")).select("*", (F.col("source") + F.col("s.step")).alias("target"), "s.road_class")
     far = n.select(F.col("node_id").alias("target"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     e = e.join(far, "target").withColumn("length_m", F.round(geo.distance_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), 3))
@@ -148,7 +148,7 @@ def _road_net(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NET = f"""{t.NODES}, net AS (SELECT a.node_id AS source, b.node_id AS target, round({_HAVERSINE.format(a="a.", b="b.")}, 3) AS length_m, cls AS road_class, CASE cls WHEN 0 THEN 110.0::DOUBLE WHEN 4 THEN 70 ELSE 40 END AS kmh
-  FROM nodes a, (VALUES (1, 11), (97, 4), (13, 0)) v(step, cls) JOIN nodes b ON b.node_id = a.node_id + step WHERE a.node_id % 5 <> 0 AND a.node_id % 7 <> 0)"""
+  FROM nodes a, (VALUES (1, 11), (13, 4), (97, 4), (1009, 0)) v(step, cls) JOIN nodes b ON b.node_id = a.node_id + step WHERE a.node_id % 5 <> 0 AND a.node_id % 7 <> 0)"""
 
 
 def _g03(preference: str):
