@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Words that a worker keeps at most; further words are tokenised each time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 #: Texts in which white space surely separates tokens and lower case is simple: plain and accented Latin.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ž]*")
 _loaded: dict[str, WordTokenizer] = {}
@@ -34,35 +35,64 @@ class WordTokenizer:
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and not spec["model"].get("ignore_merges")
         self.special = tuple(t["content"] for t in spec.get("added_tokens", []))
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        end = spec["model"].get("end_of_word_suffix")
+        self.by_word = self.by_word and bool(end)
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        for token, i in self.whole.get_vocab().items():
+            self.ends[i] = bool(end) and token.endswith(end)
         self.cache: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: many are encoded as one text and cut where an id ends a word."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            ids = np.array(self.whole.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            if len(ends) == len(part):
+                b, ends = ids.tobytes(), ends.tolist()
+                out += [b[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+            else:
+                out += self._ids(part)
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        split: dict[int, list[str]] = {}
+        split: list[tuple[int, list[str]]] = []
+        other = []
         for i, t in enumerate(texts):
             if self.by_word and _PLAIN.fullmatch(t) and not any(s in t for s in self.special):
-                split[i] = t.lower().split()
-        other = [i for i in range(len(texts)) if i not in split]
+                split.append((i, t.lower().split()))
+            else:
+                other.append(i)
         for i, b in zip(other, self._ids([texts[i] for i in other]), strict=True):
             out[i] = b
         known = self.cache
-        lost = {w for words in split.values() for w in words if w not in known}
-        stems = {w[:-1] for w in lost if len(w) > 1 and w[-1] in ".,!?;:" and w[-2].isalpha()}
-        need = list(({w for w in lost if w[:-1] not in stems or w[-1:] not in ".,!?;:"} | stems | set(".,!?;:")) - known.keys())
-        fresh = dict(zip(need, self._ids(need), strict=True))
-        get = lambda w: fresh[w] if w in fresh else known[w]
-        for w in lost:
-            if w not in fresh:
-                fresh[w] = get(w[:-1]) + get(w[-1])
-        for i, words in split.items():
-            out[i] = b"".join([known[w] if w in known else fresh[w] for w in words])
-        if len(known) < CACHE_WORDS:
-            known.update(fresh)
+        fresh = self._fresh({w for w in set().union(*(words for _, words in split)) if w not in known})
+        known.update(fresh)
+        for i, words in split:
+            out[i] = b"".join(map(known.__getitem__, words))
+        if len(known) > CACHE_WORDS:
+            for w in fresh:
+                del known[w]
         return [np.frombuffer(b, self.dtype) for b in out]
 
+    def _fresh(self, lost: set[str]) -> dict[str, bytes]:
+        """Ids of words; one that ends in a mark is its stem and the mark, which the pre-tokeniser splits as well."""
+        known = self.cache
+        ends = {w: w[:-1] for w in lost if len(w) > 1 and w[-1] in ".,!?;:" and w[-2].isalpha()}
+        need = [w for w in (lost - ends.keys()) | set(ends.values()) | set(".,!?;:") if w not in known]
+        letters, others = [w for w in need if w.isalpha()], [w for w in need if not w.isalpha()]
+        fresh = dict(zip(letters + others, self._letters(letters) + self._ids(others), strict=True))
+        get = lambda w: fresh[w] if w in fresh else known[w]
+        for w, stem in ends.items():
+            fresh[w] = get(stem) + get(w[-1])
+        return fresh
+
 
 def tokenizer(path: str) -> WordTokenizer:
     """The worker's tokenizer for this file."""
