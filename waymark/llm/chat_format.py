@@ -49,24 +49,23 @@ def best_paths(messages: DataFrame, scratch: Scratch, top: int = 1) -> DataFrame
     jumps = ids.join(known, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("_there"), F.col("parent")).alias("up"), F.col("score").alias("total")
     )
-    levels = [scratch.save(jumps, "jump0")]
-    leaves = levels[0].select("tree", "node").join(levels[0].select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
-    rounds = max(1, math.ceil(math.log2(max(2, levels[0].count()))) + 1)
-    while len(levels) <= rounds and not levels[-1].where("up IS NOT NULL").isEmpty():
-        j = levels[-1]
-        above = j.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"))
-        doubled = j.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")
-        )
-        levels.append(scratch.save(doubled, f"jump{len(levels)}"))
-    scored = leaves.join(levels[-1].where("up IS NULL"), ["tree", "node"])
+    every = scratch.save(jumps, "jump0")
+    leaves = every.select("tree", "node").join(every.select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
+    rounds = max(1, math.ceil(math.log2(max(2, every.count()))) + 1)
+    levels = [every.where("up IS NOT NULL")]
+    while len(levels) <= rounds and not levels[-1].isEmpty():  # only nodes that haven't met their root are joined again
+        above = every.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"))
+        doubled = levels[-1].join(above, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"))
+        every = scratch.save(every.where("up IS NULL").unionByName(doubled), f"jump{len(levels)}")
+        levels.append(every.where("up IS NOT NULL"))
+    scored = leaves.join(every.where("up IS NULL"), ["tree", "node"])
     order = [F.col("total").desc(), F.col("node").asc()]
     salted = scored.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     some = salted.withColumn("branch", F.row_number().over(Window.partitionBy("tree", "_salt").orderBy(*order))).where(F.col("branch") <= top)
     best = some.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(*order))).where(F.col("branch") <= top)
     paths = best.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height"), "branch")
     for k, j in enumerate(levels[:-1]):  # heights below 2**k are known; these add 2**k
-        further = paths.join(j.where("up IS NOT NULL").select("tree", "node", "up"), ["tree", "node"])
+        further = paths.join(j.select("tree", "node", "up"), ["tree", "node"])
         paths = paths.unionByName(further.select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + (1 << k)).alias("height"), "branch"))
         paths = scratch.save(paths, f"paths{k}")
     return paths
