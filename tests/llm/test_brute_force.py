@@ -201,9 +201,9 @@ def test_topk_blocks(spark):
     assert {tuple(r) for r in got} == want
 
 
-@pytest.mark.parametrize("model, column, least", [(toxicity, "toxic", 0.93), (quality, "quality", 0.95)])
+@pytest.mark.parametrize("model, column, least", [(toxicity, "toxic", 0.97), (quality, "quality", 0.97)])
 def test_held_out_accuracy(spark, model, column, least):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"  # the smaller tables hold some 15 toxic documents in the held-out fold, too few to tell
     rows = model.query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").select("predicted", column).collect()
     assert sum(r["predicted"] == r[column] for r in rows) >= least * len(rows)
 
