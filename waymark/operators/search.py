@@ -21,12 +21,18 @@ def postings(indexed: DataFrame) -> DataFrame:
     return rows.select("g", "id", F.array_contains("_v", F.col("g")).alias("visible"))
 
 
+def _pieces(normal: Column) -> Column:
+    """Distinct runs of one and two letters inside words."""
+    runs = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substr(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(text.words(normal), lambda w: F.concat(runs(w, 1), runs(w, 2)))))
+
+
 def search(indexed: DataFrame, posted: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     """(query, rank, id, tier): the k best records of each query, by tier, excess length, visible length and id.
 
     Of a query's trigrams the rarest drives: every match has it, so its posting list holds all candidates, and only those
-    are compared. Queries without a trigram (all words below three letters) are compared with every record; they are a
-    part of ``queries`` and so as small as that.
+    are compared. A query without a trigram (all words below three letters) looks its longest word up among all pieces of
+    one and two letters instead.
     """
     q = queries.select("query", text.normal_form(F.col("query")).alias("q")).where("q <> ''").distinct()
     grams = q.select("query", "q", F.explode_outer(text.trigrams(F.col("q"))).alias("g"))
@@ -35,9 +41,10 @@ def search(indexed: DataFrame, posted: DataFrame, queries: DataFrame, k: int = 8
     driver = driver.select("query", "q", "d.g")
     found = driver.where("g IS NOT NULL").join(posted.select("g", "id"), "g").select("query", "q", "id")
     listed = found.join(indexed, "id")
-    short = driver.where("g IS NULL").select("query", "q")
+    longest = F.array_max(F.transform(text.words(F.col("q")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    short = driver.where("g IS NULL").select("query", "q", longest.alias("piece"))
     tier = text.match_tier(F.col("q"), F.col("shown"), F.col("all"))
-    every = indexed.join(F.broadcast(short), F.contains(F.col("all"), F.substring_index("q", " ", 1)))
+    every = indexed.select("*", F.explode(_pieces(F.col("all"))).alias("piece")).join(short, "piece")
     columns = ["query", "q", "id", "display", "shown", "all"]
     scored = listed.select(*columns).unionByName(every.select(*columns)).withColumn("tier", tier).where("tier IS NOT NULL")
     excess = F.greatest(F.lit(0), F.length("shown") - F.length("q"))
