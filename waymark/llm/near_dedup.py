@@ -289,6 +289,7 @@ def near_classes(
     scratch = scratch or Scratch(docs.sparkSession)
     at = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("row"), at.alias("at"), normalised(text_or_empty(text_col)).alias("norm")).withColumn("node", node_of(F.col("norm")))
+    rows = scratch.save(rows, "normal")  # read again wherever texts are compared
     sketched = scratch.save(_sketched(rows.select("node", "norm"), words, sketches, tuple_size).dropDuplicates(["node"]), "sketches")
     members = scratch.save(rows.select("row", "at", "node"), "members")
     keyed = sketched.select("node", "n", F.posexplode("keys").alias("i", "key"))
