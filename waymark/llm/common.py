@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,18 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as soon as it has run."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 class Scratch:
     """Parquet tables in the shared folder. They cut lineage and survive lost executors.
 
@@ -55,13 +69,9 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table. The shuffle files that it took go at once."""
-        path, key = self.place(name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key, None)
-        self.spark.conf.set(key, "true")
-        try:
+        path = self.place(name)
+        with shuffles_cleared(self.spark):
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.set(key, before) if before is not None else self.spark.conf.unset(key)
         return self.spark.read.schema(df.schema).parquet(self._paths[name])
 
     def drop(self, *names: str) -> None:

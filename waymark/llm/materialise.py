@@ -23,11 +23,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, global_rank, text_or_empty
+from .common import Scratch, global_rank, shuffles_cleared, text_or_empty
 from .packing import END_ID, tokenizer_path
 from .tokens import encode_in_parts, id_bytes
 
-LENGTH, SHARD_SEQUENCES, KEY, ROUNDS = 512, 16_384, 20_240_601, 8
+LENGTH, SHARD_SEQUENCES, KEY, ROUNDS, PASSES = 512, 16_384, 20_240_601, 8, 2
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -102,7 +102,8 @@ def materialise(
     ranked = global_rank(scratch, cut, ["doc_id", "start", F.crc32("ids"), "ids"], "ranked")
     scratch.drop("sequences")
     n = ranked.count()
-    placed = ranked.withColumn("slot", slot_column(F.col("rank"), n, key))
+    placed = scratch.save(ranked.withColumn("slot", slot_column(F.col("rank"), n, key)).drop("rank"), "placed")
+    scratch.drop("ranked")
     index = scratch.save(placed.select("doc_id", "start", "length", "slot"), "index") if folder is None else placed.select("doc_id", "start", "length", "slot")
     if folder is not None:
         index.write.parquet(f"{folder}/index")
@@ -110,11 +111,12 @@ def materialise(
     record = F.rpad(F.col("ids"), F.lit(length * width), F.lit(b"\x00")).cast("string")
     rows = placed.select((F.col("slot") / shard_sequences).cast("long").alias("shard"), "slot", record.alias("record"))
     tasks = max(1, -(-n // shard_sequences))
-    rows = rows.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "slot").select("shard", "record")
     target = f"{folder}/shards" if folder is not None else scratch.place("shards")
-    if n:
-        rows.write.partitionBy("shard").option("compression", "none").text(target)
-    scratch.drop("ranked")
+    for k in range(PASSES if n else 0):  # a pass shuffles every PASSES-th shard, so that less lies on disk at once
+        part = rows.where(F.col("shard") % PASSES == k).repartitionByRange(-(-tasks // PASSES), "shard").sortWithinPartitions("shard", "slot")
+        with shuffles_cleared(spark):
+            part.select("shard", "record").write.mode("append").partitionBy("shard").option("compression", "none").text(target)
+    scratch.drop("placed")
     return Shards(target, n, shard_sequences, length, width, index)
 
 
