@@ -10,7 +10,9 @@ from array import array
 import numpy as np
 
 #: Words that a worker keeps at most; further words are tokenised each time.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 400_000
+#: Slots, less one, in which it notes that a word has come.
+_MET = (1 << 23) - 1
 #: Texts in which white space surely separates tokens and lower case is simple: plain and accented Latin.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ž]*")
 _loaded: dict[str, WordTokenizer] = {}
@@ -41,6 +43,7 @@ class WordTokenizer:
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         for token, i in self.whole.get_vocab().items():
             self.ends[i] = bool(end) and token.endswith(end)
+        self.met = bytearray(_MET + 1)
         self.cache: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -76,9 +79,12 @@ class WordTokenizer:
         known.update(fresh)
         for i, words in split:
             out[i] = b"".join(map(known.__getitem__, words))
-        if len(known) > CACHE_WORDS:
-            for w in fresh:
+        full, met = len(known) > CACHE_WORDS, self.met
+        for w in fresh:  # a word is kept once it has come in a second batch, as most come in one only
+            at = hash(w) & _MET
+            if full or not met[at]:
                 del known[w]
+            met[at] = 1
         return [np.frombuffer(b, self.dtype) for b in out]
 
     def _fresh(self, lost: set[str]) -> dict[str, bytes]:
