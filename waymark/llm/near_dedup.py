@@ -311,6 +311,7 @@ def near_classes(
     comps = components(scratch, links, "all")
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = scratch.save(placed, "placed")
+    scratch.drop("normal", "texts_hub", "texts_under", "texts_across")
     least = F.min(F.struct(F.col("row").isNull(), "row", "node"))
     classes = scratch.save(placed.groupBy("comp").agg(least.alias("least"), F.count("*").alias("class_size")), "classes")
     return placed.join(classes, "comp").select(
