@@ -208,6 +208,21 @@ def test_held_out_accuracy(spark, model, column, least):
     assert sum(r["predicted"] == r[column] for r in rows) >= least * len(rows)
 
 
+def test_co_training_uses_every_unlabelled_row(spark, docs, sf, monkeypatch):
+    labels, seen = spark.read.parquet(f"{sf}/labels.parquet"), []
+    plain = quality.co_train
+
+    def spy(*tables, **more):
+        free = next(x for x in tables if hasattr(x, "columns") and "label" not in x.columns)
+        seen.append(free.count())
+        return plain(*tables, **more)
+
+    monkeypatch.setattr(quality, "co_train", spy)
+    scores = quality.score_documents(docs, labels, fit_rows=60, rounds=1)
+    assert scores.count() == docs.count()
+    assert seen == [docs.join(labels, "doc_id", "left_anti").count()]
+
+
 def test_held_out_labels_are_not_read(spark, docs, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     turned = labels.selectExpr("doc_id", "quality", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 1 - toxic ELSE toxic END AS toxic")

@@ -8,8 +8,8 @@ other's training rows. A view that is never sure gives none. Last, one logistic
 every document.
 
 Labels are learnt from rows whose crc32(doc_id as text) mod 4 is not 2: 1 and 3 train, 0 calibrates. ``fit_rows``
-bounds the labelled rows of each part and the unlabelled rows, all chosen by a hash of the id; features and scores cover
-every document.
+bounds the labelled rows of each part, chosen by a hash of the id. Every unlabelled row is scored in each round, and all that
+a view is sure of teach the other. The views of every document are written once and read again for fits and scores.
 
 A null text counts as empty and is scored as any other; null source or language is a value of its own. Rows that repeat
 an id are each scored; of repeated labels the largest counts. Without labels of both classes every score is the labels'
@@ -28,10 +28,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, small, text_or_empty
 from .toxicity import fold
 
-FIT_ROWS, ROUNDS, SURE, SLOTS, THRESHOLD = 20_000, 3, 0.05, 32, 0.5
+FIT_ROWS, ROUNDS, SURE, SLOTS, THRESHOLD, BROADCAST_LABELS = 20_000, 3, 0.05, 32, 0.5, 400_000
 _SYMBOLS = re.compile(r"[#$%&*@^~=<>\\{}\[\]+]")
 _VOWELS = frozenset("aeiouyäöüáéíóúàèùâêîôûœæ")
 
@@ -96,18 +96,18 @@ def _probability(margin: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-F.least(F.greatest(margin, F.lit(-40.0)), F.lit(40.0))))
 
 
-def co_train(scratch: Scratch, train: DataFrame, held: DataFrame, free: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> tuple[Column, Column, Column]:
+def co_train(train: DataFrame, held: DataFrame, free: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> tuple[Column, Column, Column]:
     """Calibrated margins of the text and the page view, and of both. Tables: t, p (arrays), and label but for ``free``."""
     edge = math.log((1 - sure) / sure)
     train = train.select("t", "p", "label")
     rows = {"t": train, "p": train}
     margins = {v: _margin(v, train, held) for v in rows}
-    for k in range(rounds):
+    for _ in range(rounds):
         taught = {}
         for v, other in (("t", "p"), ("p", "t")):
             told = free.withColumn("_m", margins[v]).where(F.abs("_m") >= edge)
             told = told.select("t", "p", F.when(F.col("_m") > 0, 1).otherwise(0).alias("label"))
-            taught[other] = scratch.save(train.unionByName(told).coalesce(4), f"taught_{other}{k}")
+            taught[other] = train.unionByName(told)
         rows = taught
         margins = {v: _margin(v, rows[v], held) for v in rows}
     both = _fit(held, F.array(margins["t"], margins["p"]))
@@ -131,22 +131,20 @@ def score_documents(
     seen = known.where(fold() != 2)
     n = {r["f"]: r["n"] for r in seen.groupBy((fold() == 0).alias("f")).agg(F.count("*").alias("n")).collect()}
     part = F.when(fold() == 0, _chosen("fit", fit_rows / max(1, n.get(True, 0)))).otherwise(_chosen("fit", fit_rows / max(1, n.get(False, 0))))
-    sample = seen.where(part)  # bounded by fit_rows, so it is broadcast and texts stay where they are read
-    views = lambda df, *more: df.select("doc_id", _text_view("text").alias("t"), "p", *more)
-    fitted = scratch.save(views(rows.join(F.broadcast(sample), "doc_id"), "label"), "fitted")
-    some = scratch.save(views(rows.where(_chosen("free", fit_rows / max(1, rows.count())))), "some")
-    free = scratch.save(some.join(known, "doc_id", "left_anti").coalesce(4), "free")
+    sample = seen.where(part)  # bounded by fit_rows, so it is broadcast
+    views = scratch.save(rows.select("doc_id", _text_view("text").alias("t"), "p"), "views")
+    fitted = scratch.save(views.join(F.broadcast(sample), "doc_id"), "fitted")
     train, held = (scratch.save(fitted.where(c).coalesce(4), name) for c, name in ((fold() != 0, "train"), (fold() == 0, "held")))
     classes = [x.select("label").distinct().count() for x in (train, held)]
     if min(classes) < 2:
         level = fitted.agg(F.avg("label")).first()[0]
         margins = [F.lit(0.0 if level is None else math.log((level + 1e-9) / (1 - level + 1e-9)))] * 3
-        scored = rows.withColumn("t", F.lit(None))
     else:
-        margins = co_train(scratch, train, held, free, rounds, sure)
-        scored = views(rows)
+        free = scratch.save(views.join(small(known.select("doc_id"), BROADCAST_LABELS), "doc_id", "left_anti").select("t", "p"), "free")
+        margins = co_train(train, held, free, rounds, sure)
+        scratch.drop("free")
     t, p, score = (_probability(m) for m in margins)
-    scored = scored.select("doc_id", t.alias("text_score"), p.alias("page_score"), score.alias("score"))
+    scored = views.select("doc_id", t.alias("text_score"), p.alias("page_score"), score.alias("score"))
     return scored.select("doc_id", (fold() == 2).alias("held_out"), "text_score", "page_score", "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
