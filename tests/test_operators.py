@@ -1,7 +1,9 @@
 """Operators on small fixtures: graphs, routes, search, votes, junctions, dispatch and sightings."""
 
 import itertools
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +189,26 @@ def test_order_of_rows_does_not_matter(spark):
     edges = graph.compressed_edges(*tables(spark, WAYS, NODES))
     mixed = graph.compressed_edges(*[df.orderBy(F.rand(4)).repartition(3) for df in tables(spark, WAYS, NODES)])
     assert sorted(map(str, edges.collect())) == sorted(map(str, mixed.collect()))
+
+
+def test_light_points_keep_every_cell_and_layer(spark):
+    rng = random.Random(5)
+    points = [(rng.uniform(-9000, 9000), rng.uniform(-9000, 9000)) for _ in range(700)] + [(rng.gauss(0, 500), rng.gauss(0, 500)) for _ in range(300)] + [(40_001.0, 40_001.0)]
+
+    def hashed(key):
+        v = 2166136261
+        for b in key.encode():
+            v = ((v ^ b) * 16777619) & 0x7FFFFFFF
+        return v
+
+    dense = Counter((math.floor(x / 2000), math.floor(y / 2000)) for x, y in points)
+    want = []
+    for lx, ly in {(math.floor(x / 450), math.floor(y / 450)) for x, y in points}:
+        cx, cy, near = math.floor((lx + 0.5) * 450 / 2000), math.floor((ly + 0.5) * 450 / 2000), 0.0
+        for j, i in itertools.product((-1, 0, 1), repeat=2):
+            near += dense.get((cx + i, cy + j), 0) * (1.0 if i == j == 0 else 0.35)
+        layers = max(1, min(4, 1 + math.floor(math.log2(1 + math.floor(near + 0.5)) / 2.5)))
+        want += [(k, hashed(f"{lx}:{ly}"), f"{lx}:{ly}") for k in range(layers)]
+    got = [(r["layer"], r["hash"], r["key"]) for r in spatial.light_points(spark.createDataFrame(points, "x double, y double")).collect()]
+    assert got == sorted(want) and len({k for _, _, k in got}) > 300 and {k for k, _, _ in got} > {0, 1}
+    assert spatial.light_points(spark.createDataFrame(points, "x double, y double"), most=350).count() == 350

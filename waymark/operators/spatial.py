@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.functions import geo
+from waymark.functions import geo, sky, text
 
 
 def cells_around(x: Column, y: Column, size: float, radius: int) -> Column:
@@ -95,6 +95,26 @@ def stencil(cells: DataFrame, side_weight: float = 0.35) -> DataFrame:
     return spread.groupBy("cx", "cy").agg(F.sum("v").alias("near")).join(cells.select("cx", "cy"), ["cx", "cy"], "left_semi")
 
 
+def light_points(points: DataFrame, light_m: float = 450.0, density_m: float = 2000.0, most: int = 60_000) -> DataFrame:
+    """(key, layer, hash): glow points of the distinct light cells, a layer of all cells after the other, in hash order.
+
+    A cell has one to four layers by the density near its centre: its own density cell's points plus 0.35 of those of the
+    eight around it, added in their order. ``most`` is the cap of the reference.
+    """
+    cells = points.select(geo.cell(F.col("x"), light_m).alias("lx"), geo.cell(F.col("y"), light_m).alias("ly")).distinct()
+    centre = lambda c: geo.cell((F.col(c) + 0.5) * light_m, density_m)
+    shifts = F.posexplode(F.expr("flatten(transform(sequence(-1, 1), j -> transform(sequence(-1, 1), i -> struct(i AS i, j AS j))))")).alias("k", "s")
+    around = cells.select("lx", "ly", centre("lx").alias("dx"), centre("ly").alias("dy"), shifts)
+    around = around.select("lx", "ly", "k", (F.col("dx") + F.col("s.i")).alias("cx"), (F.col("dy") + F.col("s.j")).alias("cy"))
+    share = F.coalesce(F.col("count"), F.lit(0)) * F.when(F.col("k") == 4, 1.0).otherwise(0.35)
+    near = around.join(density(points, density_m).select("cx", "cy", "count"), ["cx", "cy"], "left").groupBy("lx", "ly").agg(F.sort_array(F.collect_list(F.struct("k", share.alias("v")))).alias("a"))
+    weighted = F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x["v"]))
+    layers = F.greatest(F.lit(1), F.least(F.lit(4), 1 + F.floor(sky.density_weight(weighted) / 2.5)))
+    key = F.concat(F.col("lx").cast("string"), F.lit(":"), F.col("ly").cast("string"))
+    out = near.select(key.alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), layers - 1)).alias("layer"))
+    return out.withColumn("hash", text.stable_hash(F.col("key"))).orderBy("layer", "hash", "key").limit(most)
+
+
 def boxes_overlap(a: tuple, b: tuple) -> Column:
     """Whether two boxes (x1, y1, x2, y2) touch."""
     return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
