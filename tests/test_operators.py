@@ -212,3 +212,25 @@ def test_light_points_keep_every_cell_and_layer(spark):
     got = [(r["layer"], r["hash"], r["key"]) for r in spatial.light_points(spark.createDataFrame(points, "x double, y double")).collect()]
     assert got == sorted(want) and len({k for _, _, k in got}) > 300 and {k for k, _, _ in got} > {0, 1}
     assert spatial.light_points(spark.createDataFrame(points, "x double, y double"), most=350).count() == 350
+
+
+def test_walked_sums_the_way_to_every_node(spark):
+    rng = random.Random(7)
+    pairs = [(i, i + 1) for i in range(1, 70)] + [(rng.randint(1, 70), rng.randint(1, 70)) for _ in range(60)]
+    edges = [(a, b, float(rng.randint(1, 90)), float(rng.choice((30, 50, 90))), 4, 0, 0) for a, b in pairs if a != b]
+    edges += [(1, 2, 500.0, 30.0, 4, 0, 0), (80, 81, 5.0, 30.0, 4, 0, 0)]
+    net = spark.createDataFrame(edges, "source long, target long, length_m double, kmh double, road_class int, access int, flags int")
+    best = routing.cheapest(net, spark.createDataFrame([(1, 1), (2, 3)], "request long, node long"), routing.edge_cost("fastest"))
+    via = {(r["request"], r["node"]): r["via"] for r in best.collect()}
+    one = {}
+    for a, b, m, kmh, *_ in edges:
+        one[a, b] = min(one.get((a, b), (math.inf, 0.0)), (m / 1000 / kmh * 3600, m))
+    rows = routing.walked(best, net).collect()
+    assert {(r["request"], r["node"]) for r in rows} == set(via) and {n for q, n in via if q == 1} == set(range(1, 71))
+    for r in rows:
+        way, n = [], r["node"]
+        while (up := via[r["request"], n]) is not None:
+            way.append(one[up, n])
+            n = up
+        assert r["steps"] == len(way) and r["metres"] == sum(m for _, m in way)
+        assert r["seconds"] == pytest.approx(sum(s for s, _ in way)) == pytest.approx(r["cost"])
