@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from waymark.llm import line_dedup, materialise, mixing, near_dedup, packing, quality, topk, toxicity
+from waymark.llm.common import Scratch
 from waymark.llm.tokens import tokenizer
 
 
@@ -223,6 +224,19 @@ def test_co_training_uses_every_unlabelled_row(spark, docs, sf, monkeypatch):
     assert seen == [docs.join(labels, "doc_id", "left_anti").count()]
 
 
+def test_toxicity_reads_texts_with_the_scan_s_own_tasks(spark, docs, sf, monkeypatch):
+    plain, plans = Scratch.save, []
+
+    def spy(self, df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return plain(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", spy)
+    toxicity.score_documents(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert sum("ArrowEvalPython" in p for p in plans) == 2
+    assert not any("ArrowEvalPython" in p and "Coalesce" in p for p in plans)
+
+
 def test_held_out_labels_are_not_read(spark, docs, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     turned = labels.selectExpr("doc_id", "quality", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 1 - toxic ELSE toxic END AS toxic")

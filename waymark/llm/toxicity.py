@@ -130,9 +130,9 @@ def score_documents(
         return texts.join(F.broadcast(_sample(known, folds, fit_rows)), "doc_id")
 
     lexicon, stems = learn_lexicon(with_text((0, 1)))
-    fit = lambda folds, name: scratch.save(
-        with_text(folds).select("doc_id", "label", feature_column(F.col("text"), lexicon, stems).alias("f")).coalesce(4), name
-    ).select(F.col("label").cast("double").alias("label"), array_to_vector("f").alias("features"))
+    wide = lambda folds, name: scratch.save(with_text(folds).select("doc_id", "label", feature_column(F.col("text"), lexicon, stems).alias("f")), f"{name}_wide")
+    fit = lambda folds, name: scratch.save(wide(folds, name).coalesce(4), name).select(
+        F.col("label").cast("double").alias("label"), array_to_vector("f").alias("features"))
     trees, rest = fit((1, 3), "trees"), fit((0,), "calibration")
     scored = rows.withColumn("f", feature_column(F.col("text"), lexicon, stems))
     if min(x.select("label").distinct().count() for x in (trees, rest)) < 2:
