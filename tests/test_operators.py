@@ -1,5 +1,6 @@
 """Operators on small fixtures: graphs, routes, search, votes, junctions, dispatch and sightings."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -8,12 +9,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.functions import tags
 from waymark.operators import graph, junctions, prefix, routing, search, sightings, spatial
 
-NODES = [(1, 55.7000, 13.1900), (2, 55.7000, 13.1910), (3, 55.7000, 13.1920), (4, 55.6995, 13.1910), (5, 55.7005, 13.1910), (6, 55.6995, 13.1920), (7, 55.7005, 13.1920), (8, 55.7010, 13.1900), (9, 55.7010, 13.1910)]
+#: A made-up map: a road that a living street crosses, a tunnel apart from them, and a footway to it.
+NODES = [(11, -3.100, 40.500), (12, -3.100, 40.503), (13, -3.101, 40.506), (14, -3.097, 40.503), (15, -3.104, 40.502), (16, -3.110, 40.511), (17, -3.112, 40.515)]
 WAYS = [
-    (100, [1, 2, 3], {"highway": "residential", "maxspeed": "40", "oneway": "yes"}), (101, [4, 2, 5], {"highway": "service", "access": "destination"}),
-    (102, [6, 7], {"highway": "primary", "bridge": "yes", "layer": "1", "maxspeed": "50 mph"}), (103, [8, 9], {"highway": "cycleway", "maxspeed": "signals"}),
+    (1, [11, 12, 13], {"highway": "secondary"}), (2, [14, 12, 15], {"highway": "living_street", "oneway": "-1", "maxspeed": "20 mph"}),
+    (3, [16, 17], {"highway": "track", "tunnel": "yes", "layer": "-1"}), (4, [15, 16], {"highway": "footway", "maxspeed": "walk"}),
 ]
 
 
@@ -30,17 +33,17 @@ def test_graph(spark):
     rows = edges.collect()
     assert len(rows) == 12
     s = graph.edge_stats(edges).first()
-    assert (s["explicit"], s["fallback"], s["restricted"], s["against"]) == (6, 6, 6, 2) and s["max_legal_kmh"] == pytest.approx(80.4672)
-    assert any(r["layer"] == 1 and r["flags"] & 2 for r in rows)
+    assert (s["explicit"], s["fallback"], s["restricted"], s["against"]) == (4, 8, 2, 2) and s["max_legal_kmh"] == 60
+    assert {r["way_id"] for r in rows if r["layer"] == -1 and r["flags"] & 4} == {3}
     assert graph.representatives(edges).count() == 5
     assert graph.violations(edges, graph.node_index(edges)).count() == 0
-    assert graph.node_index(edges).count() == 9
+    assert graph.node_index(edges).count() == 7
     assert {(r["source"], r["target"]) for r in rows} == {(r["source"], r["target"]) for r in graph.detailed_edges(*t).collect()}
 
 
 def test_missing_node_drops_the_way(spark):
-    w, p, n = tables(spark, WAYS, [x for x in NODES if x[0] != 3])
-    assert {r["way_id"] for r in graph.detailed_edges(w, p, n).collect()} == {101, 102, 103}
+    w, p, n = tables(spark, WAYS, [x for x in NODES if x[0] != 13])
+    assert {r["way_id"] for r in graph.detailed_edges(w, p, n).collect()} == {2, 3, 4}
 
 
 def test_closed_way_and_shape(spark):
@@ -88,17 +91,17 @@ def test_routes_equal_plain_search(spark, preference):
 
 def test_prefix_sums(spark):
     rows = [(k * 37 - 900, k % 5) for k in range(200)]
-    out = prefix.prefix_sums(spark.createDataFrame(rows, "k long, v long").repartition(4), "k", F.col("v"), "before", width=500).orderBy("k").collect()
+    out = prefix.prefix_sums(spark.createDataFrame(rows, "k long, v long").repartition(4), "k", F.col("v"), "before").orderBy("k").collect()
     total = 0
     for r in out:
         assert r["before"] == total
         total += r["v"]
 
 
-RECORDS = [("address:node:1", "Storgatan 10", "Malmö"), ("poi:node:2", "City Garaget", "garage"), ("poi:node:3", "City Garaget", "Lund"), ("poi:node:4", "Södersjukhuset", "hospital")]
+RECORDS = [("r1", "Harbour Road 7", "Eastport"), ("r2", "Blue Kettle", "tea room"), ("r3", "Blue Kettle", "Westport"), ("r4", "Núñez Hall", "library")]
 
 
-@pytest.mark.parametrize("q, ids", [("södersjukhuset", ["poi:node:4"]), ("city gar", ["poi:node:2", "poi:node:3"]), ("storgatan 10", ["address:node:1"]), ("lund", ["poi:node:3"]), ("c", ["poi:node:2", "poi:node:3"]), ("", []), ("nothing", [])])
+@pytest.mark.parametrize("q, ids", [("nunez hall", ["r4"]), ("blue ket", ["r2", "r3"]), ("harbour road 7", ["r1"]), ("westport", ["r3"]), ("k", ["r2", "r3"]), ("", []), ("nothing", [])])
 def test_search(spark, q, ids):
     indexed = search.index(spark.createDataFrame(RECORDS, "id string, display string, subtitle string"))
     out = search.search(indexed, search.postings(indexed), spark.createDataFrame([(q,)], "query string"))
@@ -132,27 +135,47 @@ def test_nearest_segment_equals_all_pairs(spark):
     assert got == want
 
 
-def _junction(spark, known=True):
-    a = [(1, "a:1", 0, -10), (1, "a:2", 0, 10), (1, "a:3", -10, 0), (1, "a:4", 10, 0)]
-    e = [(1, "e:north", 0, -10), (1, "e:south", 0, 10), (1, "e:west", -10, 0), (1, "e:east", 10, 0)]
-    ap = spark.createDataFrame([(j, n, float(x), float(y), 0.0, 0.0, known or n != "a:1") for j, n, x, y in a], "junction long, approach string, ax double, ay double, jx double, jy double, known boolean")
-    return junctions.movements(ap, spark.createDataFrame([(j, n, float(x), float(y)) for j, n, x, y in e], "junction long, exit string, ex double, ey double"))
+ARMS = {"west": (-20, 1), "east": (20, -1), "south": (2, -15)}
 
 
-def test_junction(spark):
-    moves = _junction(spark)
+def _tee(spark, unknown=None):
+    """A junction of three arms at (1, 2): an approach and an exit on each."""
+    ap = spark.createDataFrame([(7, f"in {n}", 1.0 + x, 2.0 + y, 1.0, 2.0, n != unknown) for n, (x, y) in ARMS.items()], "junction long, approach string, ax double, ay double, jx double, jy double, known boolean")
+    return junctions.movements(ap, spark.createDataFrame([(7, f"out {n}", 1.0 + x, 2.0 + y) for n, (x, y) in ARMS.items()], "junction long, exit string, ex double, ey double"))
+
+
+def test_movements_and_phases_of_a_tee(spark):
+    moves = _tee(spark)
+    names = {r["movement"]: (r["approach"], r["exit"]) for r in moves.collect()}
+    assert set(names.values()) == {(f"in {a}", f"out {b}") for a, b in itertools.permutations(ARMS, 2)}
     clash = {(r["a"], r["b"]) for r in junctions.conflicts(moves).collect()}
-    assert moves.count() == 12
-    assert ("a:1->e:south", "a:2->e:north") not in clash and ("a:1->e:south", "a:3->e:east") in clash
-    phases = junctions.phases(moves, junctions.conflicts(moves)).collect()
-    assert len(phases) == 12 and not any((a["movement"], b["movement"]) in clash and a["phase"] == b["phase"] for a in phases for b in phases)
+    for a, b in itertools.combinations(sorted(names), 2):
+        if names[a][0] == names[b][0] or names[a][1] == names[b][1]:
+            assert (a, b) in clash
+    assert ("in east->out west", "in west->out east") not in clash
+    phases = {r["movement"]: r["phase"] for r in junctions.phases(moves, junctions.conflicts(moves)).collect()}
+    assert set(phases) == set(names) and not any(phases[a] == phases[b] for a, b in clash)
+    assert all(any((min(m, x), max(m, x)) in clash for x in names if phases[x] == p) for m in names for p in range(phases[m]))
 
 
-def test_unknown_approach_conflicts_with_all(spark):
-    moves = _junction(spark, known=False)
+def test_an_unknown_approach_conflicts_with_all(spark):
+    moves = _tee(spark, unknown="south")
     clash = {(r["a"], r["b"]) for r in junctions.conflicts(moves).collect()}
-    assert all(("a:1->e:south", f"a:{k}->e:{e}") in clash for k, e in ((2, "north"), (3, "east"), (4, "west")))
-    assert "a:1->e:south" not in {r["movement"] for r in junctions.phases(moves, junctions.conflicts(moves)).collect()}
+    rows = moves.collect()
+    mine = {r["movement"] for r in rows if not r["resolved"]}
+    assert len(mine) == 2 and all((min(m, r["movement"]), max(m, r["movement"])) in clash for m in mine for r in rows if r["movement"] != m)
+    assert not mine & {r["movement"] for r in junctions.phases(moves, junctions.conflicts(moves)).collect()}
+
+
+def test_junctions_of_a_graph(spark):
+    """A star of four roads with a bend on one: only the middle branches, and a road beside another counts once."""
+    places = {1: (0, 0), 2: (50, 0), 3: (0, 60), 4: (-40, 0), 5: (90, 10), 6: (100, 1)}
+    roads = [(21, 1, 2), (22, 1, 3), (23, 1, 4), (24, 2, 5), (25, 1, 6)]
+    edges = spark.createDataFrame([e for w, a, b in roads for e in ((w, a, b), (w, b, a))], "way_id long, source long, target long")
+    into, out = junctions.junctions_of(edges, spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in places.items()], "node long, x double, y double"))
+    assert {(r["junction"], r["approach"]) for r in into.collect()} == {(1, "w21:n2"), (1, "w22:n3"), (1, "w23:n4")}
+    assert {r["exit"] for r in out.collect()} == {"w21:n2", "w22:n3", "w23:n4", "w25:n6"}
+    assert [tuple(r) for r in junctions.densest(into, junctions.movements(into, out)).collect()] == [(1, 8, 3)]
 
 
 def test_signal_cycle(spark):
@@ -161,15 +184,20 @@ def test_signal_cycle(spark):
     assert [(r["t"], r["s"]["phase"], r["s"]["stage"]) for r in df.orderBy("t").collect()] == want
 
 
-def _dispatch(spark, incidents):
-    units = spark.createDataFrame([(1, 1, 0, 0.0, 0.0), (1, 2, 0, 1000.0, 0.0)], "zone long, unit long, role long, x double, y double")
-    i = spark.createDataFrame([(1, k, float(x), 0.0, p, 0, k) for k, (x, p) in enumerate(incidents)], "zone long, incident long, x double, y double, priority long, role long, sequence long")
-    return {r["incident"]: r["unit"] for r in sightings.greedy_dispatch(i, units).collect()}
-
-
-def test_dispatch(spark):
-    assert _dispatch(spark, [(150, 2), (180, 2), (200, 2)]) == {0: 1, 1: 2, 2: None}
-    assert _dispatch(spark, [(900, 1), (100, 9), (950, 5)]) == {1: 1, 2: 2, 0: None}
+@pytest.mark.parametrize("seed", range(3))
+def test_dispatch_equals_serving_in_order(spark, seed):
+    rng = random.Random(seed)
+    units = [(z, 100 * z + u, rng.randrange(2), float(rng.randrange(30)), float(rng.randrange(30))) for z in range(3) for u in range(rng.randint(0, 14))]
+    calls = [(z, 1000 * z + i, float(rng.randrange(30)), float(rng.randrange(30)), rng.randrange(3), rng.randrange(2), rng.randrange(10**6)) for z in range(3) for i in range(rng.randint(1, 20))]
+    want, busy = {}, set()
+    for z, i, x, y, _, role, _ in sorted(calls, key=lambda c: (-c[4], c[6])):
+        free = [(round(math.hypot(ux - x, uy - y), 6), u) for uz, u, r, ux, uy in units if uz == z and r == role and u not in busy]
+        want[i] = min(free)[1] if free else None
+        busy.add(want[i])
+    got = sightings.greedy_dispatch(
+        spark.createDataFrame(calls, "zone long, incident long, x double, y double, priority long, role long, sequence long"), spark.createDataFrame(units, "zone long, unit long, role long, x double, y double")
+    )
+    assert {r["incident"]: r["unit"] for r in got.collect()} == want
 
 
 def test_latest(spark):
@@ -234,3 +262,64 @@ def test_walked_sums_the_way_to_every_node(spark):
             n = up
         assert r["steps"] == len(way) and r["metres"] == sum(m for _, m in way)
         assert r["seconds"] == pytest.approx(sum(s for s, _ in way)) == pytest.approx(r["cost"])
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3])
+def test_snapped_routes_equal_plain_search(spark, hops):
+    rng = random.Random(hops)
+    rows = [(k, a, b, float(rng.randint(10, 900)), 50.0, 4, 0, 0) for k, (a, b) in enumerate(itertools.permutations(range(9), 2)) if rng.random() < 0.3]
+    edges = spark.createDataFrame(rows, "edge long, source long, target long, length_m double, kmh double, road_class int, access int, flags int")
+    by = {r[0]: r for r in rows}
+    ask = [(q, *rng.sample(sorted(by), 2), *rng.sample(sorted(by), 1)) for q in range(6)] + [(9, rows[0][0], rows[0][0], rows[0][0])]
+    starts = [(q, e, rng.random() / 2) for q, a, b, _ in ask for e in {a, b}]
+    ends = [(q, e, 0.5 + rng.random() / 2) for q, _, _, e in ask]
+    cost = routing.edge_cost("shortest")
+    s, t = spark.createDataFrame(starts, "request long, edge long, fraction double"), spark.createDataFrame(ends, "request long, edge long, fraction double")
+    best = routing.cheapest(edges, routing.snap_starts(edges, s, cost), cost, hops=hops)
+    got = {r["request"]: r["cost"] for r in routing.snapped(best, edges, s, t, cost).collect()}
+    far = {(i, j): 0.0 if i == j else math.inf for i in range(9) for j in range(9)}
+    for _, a, b, m, *_ in rows:
+        far[a, b] = min(far[a, b], m)
+    for k, i, j in itertools.product(range(9), repeat=3):
+        far[i, j] = min(far[i, j], far[i, k] + far[k, j])
+    want = {}
+    for q, e, f in ends:
+        for sq, se, sf in starts:
+            if sq == q:
+                c = by[se][3] * (1 - sf) + far[by[se][2], by[e][1]] + by[e][3] * f
+                c = min(c, by[e][3] * (f - sf)) if se == e and f >= sf else c
+                want[q] = min(want.get(q, math.inf), c)
+    assert got == pytest.approx({q: c for q, c in want.items() if c < math.inf})
+
+
+def test_a_long_line_takes_all_its_rounds(spark):
+    """Nothing ends the rounds but that no cost falls: the last node of a long road has its cost."""
+    rows = [(n, n + 1, 10.0, 50.0, 4, 0, 0) for n in range(120)]
+    edges = spark.createDataFrame(rows, "source long, target long, length_m double, kmh double, road_class int, access int, flags int")
+    best = routing.cheapest(edges, spark.createDataFrame([(1, 0)], "request long, node long"), routing.edge_cost("shortest"), hops=3, merge_every=4)
+    assert {r["node"]: r["cost"] for r in best.collect()} == {n: 10.0 * n for n in range(121)}
+    assert best.where("node = 120").first()["via"] == 119
+
+
+def test_points_in_faces(spark):
+    rng = random.Random(1)
+    rings = [(1, [(0, 0), (50, 5), (40, 60), (-10, 45)]), (1, [(10, 10), (20, 10), (20, 20)]), (2, [(30, 30), (90, 30), (60, 95)])]
+    points = [(i, rng.uniform(-20, 100), rng.uniform(-20, 100)) for i in range(300)]
+
+    def odd(x, y, ring):
+        n = 0
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+            n += (ay > y) != (by > y) and x < ax + (y - ay) / (by - ay) * (bx - ax)
+        return n
+
+    want = {(i, f) for i, x, y in points for f in (1, 2) if sum(odd(x, y, r) for g, r in rings if g == f) % 2}
+    df = spark.createDataFrame([(f, [(float(a), float(b)) for a, b in r]) for f, r in rings], "face long, ring array<struct<x:double,y:double>>")
+    got = spatial.in_faces(spark.createDataFrame(points, "id long, x double, y double"), df, 25.0)
+    assert {(r["id"], r["face"]) for r in got.collect()} == want and len(want) > 60
+
+
+def test_synthetic_node_ids(spark):
+    df = spark.createDataFrame([(13.5, 55.25, ""), (13.5, 55.25, "l=1;b=;t="), (13.5000000001, 55.25, "")], "lon double, lat double, apart string")
+    a, b, c = (r["id"] for r in df.select(tags.synthetic_node_id(F.col("lon"), F.col("lat"), F.col("apart"), b"test").alias("id")).collect())
+    want = hashlib.blake2b(b"135000000:552500000:", digest_size=8, person=b"test").digest()
+    assert a == c == int.from_bytes(want, "little") & (1 << 63) - 1 and b != a

@@ -27,15 +27,17 @@ _FROM, _TO, _SEVERAL = _ascii_table()
 def normal_form(text: Column) -> Column:
     """Lower-case ASCII words with one space between them.
 
-    Accents go by a table of single characters, in generated code; only texts with ligatures, fractions and the like are
-    taken apart. What is no ASCII after that is dropped, what is no letter or digit separates. A null text counts as empty.
+    ASCII texts need no table. In others accents go by a table of single characters, in generated code; only texts with
+    ligatures, fractions and the like are taken apart. What is no ASCII after that is dropped, what is no letter or digit
+    separates. A null text counts as empty.
     """
     t = F.coalesce(text.cast("string"), F.lit(""))
     spelt = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
     apart = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(spelt, c), c)), "")
-    t = F.when(t.rlike("[" + "".join(_SEVERAL) + "]"), apart).otherwise(t)
-    plain = F.lower(F.translate(t, _FROM, _TO))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7F]", ""), "[^0-9a-z]+", " "))
+    t = F.when((F.octet_length(t) > F.length(t)) & t.rlike("[" + "".join(_SEVERAL) + "]"), apart).otherwise(t)
+    table = F.regexp_replace(F.lower(F.translate(t, _FROM, _TO)), r"[^\x00-\x7F]", "")
+    plain = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(table)
+    return F.trim(F.regexp_replace(plain, "[^0-9a-z]+", " "))
 
 
 def words(normal: Column) -> Column:

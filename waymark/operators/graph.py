@@ -19,7 +19,7 @@ _WAY = ["road_class", "access", "reason", "flags", "layer", "sense", "forward_km
 
 
 def road_ways(ways: DataFrame) -> DataFrame:
-    """Ways whose type is a road, with what their tags say."""
+    """way_id and what the tags say, of ways whose type is a road."""
     g = F.col("tags")
     w = ways.withColumn("_h", F.trim(g["highway"])).withColumn("road_class", tags.road_class(F.col("_h"))).where("road_class IS NOT NULL")
     told = {side: F.coalesce(F.when(g[f"maxspeed:{side}"] != "", g[f"maxspeed:{side}"]), g["maxspeed"]) for side in ("forward", "backward")}
@@ -28,28 +28,30 @@ def road_ways(ways: DataFrame) -> DataFrame:
         "access": a["class"], "reason": a["reason"], "layer": tags.layer(g["layer"]), "sense": tags.oneway(g),
         "flags": F.when(tags.is_true(g["bridge"]), tags.BRIDGE).otherwise(0) + F.when(tags.is_true(g["tunnel"]), tags.TUNNEL).otherwise(0),
     })
-    for side, c in told.items():
-        w = w.withColumn(f"{side}_kmh", tags.speed_kmh(c, F.col("_h"))).withColumn(f"{side}_told", tags.explicit_speed(c).isNotNull())
-    return w.drop("_h")
+    for side, c in told.items():  # a speed's text is parsed once; what it says is used twice
+        w = w.withColumn(f"_{side}", tags.explicit_speed(c))
+    for side in told:
+        w = w.withColumn(f"{side}_kmh", F.coalesce(f"_{side}", tags.default_speed(F.col("_h")))).withColumn(f"{side}_told", F.col(f"_{side}").isNotNull())
+    return w.select("way_id", *_WAY)
 
 
 def located(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Way nodes with their places, of ways of two nodes or more that are all known."""
-    j = way_nodes.join(nodes, "node_id", "left")
-    bad = j.groupBy("way_id").agg(F.count("*").alias("n"), F.count_if(F.col("lon").isNull()).alias("lost")).where("n > 1 AND lost = 0")
-    return j.join(bad.select("way_id"), "way_id", "left_semi")
+    way = Window.partitionBy("way_id")
+    j = way_nodes.join(nodes, "node_id", "left").withColumn("_n", F.count("*").over(way)).withColumn("_known", F.count("lon").over(way))
+    return j.where("_n > 1 AND _known = _n").drop("_n", "_known")
 
 
 def _both_ways(steps: DataFrame) -> DataFrame:
-    """Two directed edges of each step; the one against a one-way sense is flagged."""
-    out = []
-    for source, target, side, against in (("from_id", "to_id", "forward", -1), ("to_id", "from_id", "backward", 1)):
-        flags = F.col("flags") + F.when(F.col("sense") == against, tags.AGAINST_ONEWAY).otherwise(0)
-        out.append(steps.select(
-            "way_id", "segment", F.col(source).alias("source"), F.col(target).alias("target"), "length_m", F.col(f"{side}_kmh").alias("kmh"), "road_class", "access", "reason",
-            flags.alias("flags"), "layer", F.col(f"{side}_told").alias("explicit"), F.lit(side == "backward").alias("reversed"),
-        ))
-    return out[0].unionByName(out[1])
+    """Two directed edges of each step, made from one row; the one against a one-way sense is flagged."""
+    both = steps.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
+    ahead = F.col("side") == 1
+    pick = lambda a, b: F.when(ahead, F.col(a)).otherwise(F.col(b))
+    flags = F.col("flags") + F.when(F.col("sense") == -F.col("side"), tags.AGAINST_ONEWAY).otherwise(0)
+    return both.select(
+        "way_id", "segment", pick("from_id", "to_id").alias("source"), pick("to_id", "from_id").alias("target"), "length_m", pick("forward_kmh", "backward_kmh").alias("kmh"), "road_class", "access",
+        "reason", flags.alias("flags"), "layer", pick("forward_told", "backward_told").alias("explicit"), (~ahead).alias("reversed"),
+    )
 
 
 def detailed_edges(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -152,3 +154,27 @@ def violations(edges: DataFrame, index: DataFrame) -> DataFrame:
 
 def stable_edge_id() -> Column:
     return F.format_string("w%d:%d>%d:%d", "way_id", "source", "target", "segment")
+
+
+def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with the places of both their nodes: source_lon, source_lat, target_lon, target_lat."""
+    n = lambda k: nodes.select(F.col("node_id").alias(k), F.col("lon").alias(f"{k}_lon"), F.col("lat").alias(f"{k}_lat"))
+    return edges.join(n("source"), "source").join(n("target"), "target")
+
+
+def usable(edges: DataFrame) -> DataFrame:
+    """Edges that traffic can use: open or for destinations, with a speed."""
+    return edges.where((F.col("access") <= tags.DESTINATION) & (F.col("kmh") > 0))
+
+
+def first_nodes(seen: DataFrame) -> DataFrame:
+    """(node_id, lon, lat): the place with which a node comes first, in the order of (way_id, pos)."""
+    first = seen.groupBy("node_id").agg(F.min(F.struct("way_id", "pos", "lon", "lat")).alias("f"))
+    return first.select("node_id", "f.lon", "f.lat")
+
+
+def name_faults(found: DataFrame, wanted: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """(name, fault): names that are wanted and missing, or found and forbidden."""
+    have = found.select("name").distinct()
+    missing = wanted.select("name").distinct().join(have, "name", "left_anti").select("name", F.lit("missing").alias("fault"))
+    return missing.unionByName(have.join(forbidden.select("name").distinct(), "name", "left_semi").select("name", F.lit("forbidden").alias("fault")))

@@ -128,3 +128,25 @@ def chain_order(rows: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     same = (F.lag("x").over(w) == F.col("x")) & (F.lag("y").over(w) == F.col("y"))
     return rows.withColumn("_s", F.coalesce(same, F.lit(False))).where("NOT _s").drop("_s")
+
+
+def junctions_of(edges: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Approaches and exits of every branching node, from directed edges (source, target, way_id) and places (node, x, y).
+
+    A node branches with three neighbours or more, whatever the ways are. An edge into it is an approach from its source,
+    an edge out of it an exit to its target, named by way and node; approaches that point as an earlier one does are left out.
+    """
+    branching = neighbours(edges).groupBy("node").agg(F.count("*").alias("c")).where("c >= 3").select(F.col("node").alias("junction"))
+    at = lambda name, *cols: places.select(F.col("node").alias(name), *[F.col(c).alias(n) for c, n in zip(("x", "y"), cols, strict=True)])
+    name = lambda node: F.format_string("w%d:n%d", "way_id", node)
+    into = edges.select("way_id", "source", F.col("target").alias("junction")).distinct().join(branching, "junction", "left_semi")
+    into = into.join(at("source", "ax", "ay"), "source").join(at("junction", "jx", "jy"), "junction").select("junction", name("source").alias("approach"), "ax", "ay", "jx", "jy", F.lit(True).alias("known"))
+    into = into.join(distinct_by_direction(into), ["junction", "approach"], "left_semi")
+    out = edges.select("way_id", F.col("source").alias("junction"), "target").distinct().join(branching, "junction", "left_semi")
+    return into, out.join(at("target", "ex", "ey"), "target").select("junction", name("target").alias("exit"), "ex", "ey")
+
+
+def densest(approaches: DataFrame, moves: DataFrame, k: int = 5) -> DataFrame:
+    """(junction, movements, approaches): the ``k`` junctions with the most movements, then approaches, then the smaller id."""
+    n = moves.groupBy("junction").agg(F.count("*").alias("movements")).join(approaches.groupBy("junction").agg(F.count("*").alias("approaches")), "junction")
+    return n.orderBy(F.col("movements").desc(), F.col("approaches").desc(), "junction").limit(k)

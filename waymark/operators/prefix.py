@@ -1,4 +1,4 @@
-"""Ordered positions without a single-partition sort."""
+"""Ordered positions and running sums over whole tables without a single-partition sort."""
 
 from __future__ import annotations
 
@@ -6,21 +6,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.session import Scratch
 
-def prefix_sums(df: DataFrame, key: str, value: Column, out: str, width: int = 65_536) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over all rows with a smaller integer ``key``, which must be unique.
+#: Low bits of ``monotonically_increasing_id`` that number the rows of one partition.
+_ROW_BITS = 33
 
-    Keys are cut into ranges of ``width``. Only the ranges' totals, one row each, are summed in one task; the rest is a
-    window per range.
+
+def _dealt(scratch: Scratch, df: DataFrame, order: list[Column | str], name: str, least_parts: int) -> DataFrame:
+    """``df`` written in the given order over range partitions, with ``_p`` (the partition) and ``_i`` (the row in it)."""
+    parts = max(1, least_parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    table = scratch.save(dealt.withColumn("_m", F.monotonically_increasing_id()), name)
+    return table.withColumn("_p", F.shiftright("_m", _ROW_BITS)).withColumn("_i", F.col("_m").bitwiseAND((1 << _ROW_BITS) - 1)).drop("_m")
+
+
+def _offsets(scratch: Scratch, table: DataFrame, amount: Column, name: str) -> DataFrame:
+    """(_p, _o): what the partitions before hold together; one row a partition, so it is summed in one task and broadcast."""
+    w = Window.partitionBy().orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = table.groupBy("_p").agg(amount.alias("_n"))
+    return F.broadcast(scratch.save(sizes.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_o")).coalesce(1), f"{name}_offsets"))
+
+
+def global_rank(scratch: Scratch, df: DataFrame, order: list[Column | str], name: str, least_parts: int = 1) -> DataFrame:
+    """Add ``rank`` (0-based, dense over the whole table) in the given order.
+
+    Rows are range-partitioned and sorted; the per-partition counts (one row a partition) give the offsets. The order
+    has to end in columns that tell rows apart, or rows that are alike share a partition and are numbered arbitrarily.
     """
-    b = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(key) / width))
-    totals = b.groupBy("_b").agg(F.sum("_v").alias("_t"))
-    before = Window.partitionBy().orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return b.join(totals, "_b").withColumn(out, F.col("_o") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_b", "_v", "_o")
+    table = _dealt(scratch, df, order, name, least_parts)
+    joined = table.join(_offsets(scratch, table, F.count("*"), name), "_p")
+    return joined.withColumn("rank", F.col("_o") + F.col("_i")).drop("_p", "_o", "_i")
+
+
+def prefix_sums(df: DataFrame, key: str, value: Column, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over all rows with a smaller ``key``, which must be unique and may be sparse."""
+    scratch = Scratch(df.sparkSession)
+    table = _dealt(scratch, df.withColumn("_v", value), [key], "dealt", 1)
+    inside = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    joined = table.withColumn("_s", F.coalesce(F.sum("_v").over(inside), F.lit(0))).join(_offsets(scratch, table, F.sum("_v"), "dealt"), "_p")
+    return joined.withColumn(out, F.col("_o") + F.col("_s")).drop("_p", "_i", "_v", "_s", "_o")
+
+
+def dense_index(keys: DataFrame, key: str, out: str) -> DataFrame:
+    """0-based position of each unique ``key`` in ascending order."""
+    return global_rank(Scratch(keys.sparkSession), keys, [key], "keys").withColumnRenamed("rank", out)
 
 
-def dense_index(keys: DataFrame, key: str, out: str, width: int = 65_536) -> DataFrame:
-    """0-based position of each unique integer ``key`` in ascending order."""
-    return prefix_sums(keys, key, F.lit(1).cast("long"), out, width)
+def rank_in_group(scratch: Scratch, df: DataFrame, group: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """Add ``place`` (0-based) in each group and ``n`` (its rows): groups of any size are split over tasks."""
+    ranked = global_rank(scratch, df, [*group, *order], name)
+    g = ranked.groupBy(*group).agg(F.min("rank").alias("_first"), F.count("*").alias("n"))
+    right = g.select(F.struct(*group).alias("_g"), "_first", "n")
+    return ranked.join(right, F.struct(*group).eqNullSafe(F.col("_g"))).withColumn("place", F.col("rank") - F.col("_first")).drop("_g", "_first", "rank")

@@ -7,8 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.session import Scratch
+
+from .prefix import rank_in_group
+
 #: Seconds after which an observation is stale, and the tie limit of a dispatch.
 STALE_S, TIE = 10.0, 1e-6
+#: Fixed values, in metres: a view comes nearer than the first and goes beyond the second; where a first view lies.
+LOD_FAR_M, LOD_NEAR_M, LOD_FIRST_M = (155_000.0, 205_000.0), (38_000.0, 56_000.0), (180_000.0, 45_000.0)
 
 
 def accepted(obs: DataFrame, key: str, arrival: str, t: str) -> DataFrame:
@@ -44,12 +50,52 @@ def tumbling(obs: DataFrame, ts: str, value: str, width: str = "1 hour") -> Data
     return w.select(F.col("w.start").alias("start"), "n", "avg", "max")
 
 
-def nearest_rank(rows: DataFrame, value: str, group: str, share: float, rounding: str = "ceil") -> DataFrame:
-    """(group, n, value): the order statistic at ceil(share * n) - 1 or round(share * (n - 1)), half to even; nothing is interpolated."""
-    n = F.count("*").over(Window.partitionBy(group))
-    at = F.ceil(n * share) - 1 if rounding == "ceil" else F.bround(share * (n - 1)).cast("long")
-    r = rows.withColumn("_n", n).withColumn("_at", at).withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1)
-    return r.where("_i = _at").select(group, F.col("_n").alias("n"), F.col(value).alias("value"))
+def nearest_rank(rows: DataFrame, value: str, group: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """(group, n and each name in ``wanted``): order statistics, nothing interpolated.
+
+    A name asks for a share and a rounding: position ceil(share * n) - 1, or round(share * (n - 1)), half to even. All
+    rows are ranked once over range partitions, so a few large groups are as good as many small ones.
+    """
+    r = rank_in_group(Scratch(rows.sparkSession), rows.select(group, value), [group], [value], "ranked")
+    at = lambda share, how: F.ceil(F.col("n") * share) - 1 if how == "ceil" else F.bround(share * (F.col("n") - 1)).cast("long")
+    picked = [F.max(F.when(F.col("place") == at(*ask), F.col(value))).alias(name) for name, ask in wanted.items()]
+    return r.groupBy(group, "n").agg(*picked)
+
+
+def three_bands(rows: DataFrame, key: str, order: str, value: Column) -> DataFrame:
+    """Add ``lod``: 0 far, 1 middle, 2 near, with different limits for coming and going.
+
+    A key's first row sets its level by plain limits; each row after it is a map of the level before to the next. Maps are
+    composed by doubling: after k windows a row holds the map of its last 2 ** k rows, so a key of n rows takes log2(n)
+    windows over one sort and no replay. The first row's map is constant, so the whole is.
+    """
+    far, near, first = LOD_FAR_M, LOD_NEAR_M, LOD_FIRST_M
+    w = Window.partitionBy(key).orderBy(order)
+    start = F.when(value > first[0], 0).when(value > first[1], 1).otherwise(2)
+    after = F.array(
+        F.when(value < far[0], 1).otherwise(0), F.when(value > far[1], 0).when(value < near[0], 2).otherwise(1), F.when(value > near[1], 1).otherwise(2)
+    )
+    x = rows.withColumn("_map", F.when(F.row_number().over(w) == 1, F.array(start, start, start)).otherwise(after))
+    longest, span = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0, 1
+    while span < longest:
+        x = x.withColumn("_before", F.lag("_map", span).over(w))
+        x = x.withColumn("_map", F.when(F.col("_before").isNull(), F.col("_map")).otherwise(F.transform("_before", lambda i: F.get(F.col("_map"), i)))).drop("_before")
+        span *= 2
+    return x.withColumn("lod", F.col("_map")[0]).drop("_map")
+
+
+def transitions(rows: DataFrame, tick: str, order: str, distance: Column, detailed: Column, near: float, far: float, most: int) -> DataFrame:
+    """Rows that change this tick, with ``action``: promote within ``near``, demote beyond ``far``, at most ``most`` of each, in order."""
+    action = F.when(~detailed & (distance <= near), "promote").when(detailed & (distance >= far), "demote")
+    asked = rows.withColumn("action", action).where("action IS NOT NULL")
+    return rank_in_group(Scratch(rows.sparkSession), asked, [tick, "action"], [order], "asked").where(F.col("place") < most).drop("place", "n")
+
+
+def peaks(rows: DataFrame, key: str, order: str, value: str, consumed: Column) -> DataFrame:
+    """(key, reading, n, total, peak): counters between readings; a row that reads takes what came before it and starts anew."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    x = rows.withColumn("reading", F.coalesce(F.sum(consumed.cast("int")).over(w), F.lit(0)))
+    return x.groupBy(key, "reading").agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("peak"))
 
 
 def hysteresis(rows: DataFrame, key: str, order: str, value: Column, up: float, down: float) -> DataFrame:
@@ -65,27 +111,31 @@ def hysteresis(rows: DataFrame, key: str, order: str, value: Column, up: float,
 def greedy_dispatch(incidents: DataFrame, units: DataFrame, zone: str = "zone") -> DataFrame:
     """(zone, incident, unit, distance_m): incidents by priority, then sequence, each get the nearest free unit of their role.
 
-    Each choice depends on the ones before, so a zone is worked through in order; zones are independent and bound what a
-    task holds. incidents: zone, incident, x, y, priority, role, sequence; units: zone, unit, role, x, y. Incidents that
-    get no unit have none.
+    incidents: zone, incident, x, y, priority, role, sequence; units: zone, unit, role, x, y. A zone with u units of a role
+    serves its first u incidents of that role, and only those are worked on. In each round every open incident asks for
+    the nearest unit that no earlier one holds, and each unit keeps the earliest that asks; who is turned away asks again.
+    As all units prefer incidents alike, this ends with what serving one after the other gives. Distances within ``TIE``
+    are equal, and the smaller unit is taken. Incidents that get no unit have none.
     """
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = {u.unit: u for u in right.sort_values("unit").itertuples()}
-        out = []
-        for i in left.sort_values(["priority", "sequence"], ascending=[False, True]).itertuples():
-            best = None
-            for u in free.values():
-                if u.role == i.role:
-                    d = float(((u.x - i.x) ** 2 + (u.y - i.y) ** 2) ** 0.5)
-                    if best is None or d < best[0] - TIE:
-                        best = (d, u.unit)
-            out.append((i.zone, i.incident, best and best[1], best and best[0]))
-            if best:
-                del free[best[1]]
-        return pd.DataFrame(out, columns=["zone", "incident", "unit", "distance_m"]).astype({"unit": "Int64"})
-
-    return incidents.groupBy(zone).cogroup(units.groupBy(zone)).applyInPandas(run, "zone long, incident long, unit long, distance_m double")
+    scratch = Scratch(incidents.sparkSession)
+    queue = rank_in_group(scratch, incidents, [zone, "role"], [F.col("priority").desc(), "sequence"], "queue").drop("n")
+    free = units.groupBy(zone, "role").agg(F.count("*").alias("_units"))
+    served = queue.join(free, [zone, "role"]).where(F.col("place") < F.col("_units")).select(zone, "role", "incident", "place", "x", "y")
+    served, n = scratch.save_counted(served, "served")
+    u = scratch.save(units.select(zone, "role", "unit", F.col("x").alias("_ux"), F.col("y").alias("_uy")), "units")
+    held = scratch.save(served.limit(0).select(zone, F.lit(None).cast(units.schema["unit"].dataType).alias("unit"), "place", "incident", F.lit(0.0).alias("d")), "held0")
+    open_, k = served, 0
+    while n:
+        k += 1
+        asked = open_.join(u, [zone, "role"]).join(held.select(zone, "unit", F.col("place").alias("_by")), [zone, "unit"], "left")
+        d = F.hypot(F.col("x") - F.col("_ux"), F.col("y") - F.col("_uy"))
+        asked = asked.where("_by IS NULL OR _by > place").withColumn("d", d).groupBy(zone, "incident", "place").agg(F.min(F.struct(F.round(F.col("d") / TIE).alias("near"), "unit", "d")).alias("b"))
+        every = held.unionByName(asked.select(zone, "b.unit", "place", "incident", "b.d"))
+        kept = every.groupBy(zone, "unit").agg(F.min(F.struct("place", "incident", "d")).alias("b")).select(zone, "unit", "b.*")
+        held = scratch.save(kept, f"held{k}")
+        open_, n = scratch.save_counted(served.join(held.select(zone, "incident"), [zone, "incident"], "left_anti"), f"open{k}")
+        scratch.drop(f"held{k - 1}", *([f"open{k - 1}"] if k > 1 else []))
+    return incidents.select(zone, "incident").join(held.select(zone, "incident", "unit", F.col("d").alias("distance_m")), [zone, "incident"], "left").select(zone, "incident", "unit", "distance_m")
 
 
 def offence_steps(obs: DataFrame, key: str, handoff_s: float = 6.0) -> DataFrame:

@@ -118,3 +118,63 @@ def light_points(points: DataFrame, light_m: float = 450.0, density_m: float = 2
 def boxes_overlap(a: tuple, b: tuple) -> Column:
     """Whether two boxes (x1, y1, x2, y2) touch."""
     return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
+
+
+def overlapping_boxes(rows: DataFrame, windows: DataFrame, size: float) -> DataFrame:
+    """Each row with each window that its box touches: columns of both. rows: x1, y1, x2, y2; windows: wx1, wy1, wx2, wy2.
+
+    Both stand in the cells that they touch; a pair that meets in several is kept in the one with the lower left corner
+    of what they share.
+    """
+    cells = lambda a: cells_of_box(*[F.col(c) for c in a], size)
+    r = rows.withColumn("_c", F.explode(cells(("x1", "y1", "x2", "y2"))))
+    w = windows.withColumn("_c", F.explode(cells(("wx1", "wy1", "wx2", "wy2"))))
+    corner = (F.col("_c.cx") == geo.cell(F.greatest("x1", "wx1"), size)) & (F.col("_c.cy") == geo.cell(F.greatest("y1", "wy1"), size))
+    touch = boxes_overlap(tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), tuple(F.col(c) for c in ("wx1", "wy1", "wx2", "wy2")))
+    return r.join(w, "_c").where(touch & corner).drop("_c")
+
+
+def within_reach(left: DataFrame, right: DataFrame, reach: float, on: list[str], how: str = "inner") -> DataFrame:
+    """Rows of ``left`` (x, y) with rows of ``right`` (rx, ry) nearer than ``reach`` that share ``on``, by cells as wide as the reach.
+
+    Where ``how`` is left_anti, the rows of ``left`` that have none; ``right`` may hold ``but``, the ``id`` that a row is not held against.
+    """
+    l = left.withColumn("_cx", geo.cell(F.col("x"), reach)).withColumn("_cy", geo.cell(F.col("y"), reach))
+    r = right.withColumn("_c", F.explode(cells_around(F.col("rx"), F.col("ry"), reach, 1)))
+    r = r.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns], F.col("_c.cx").alias("_rx"), F.col("_c.cy").alias("_ry"))
+    near = (l["_cx"] == r["_rx"]) & (l["_cy"] == r["_ry"]) & (F.hypot(l["x"] - r["rx"], l["y"] - r["ry"]) < reach)
+    for c in on:
+        near = near & (l[c] == r[f"_{c}"])
+    if "but" in right.columns:
+        near = near & (l["id"] != r["but"])
+    return l.join(r, near, how).drop("_cx", "_cy", "_rx", "_ry", *[f"_{c}" for c in on])
+
+
+def in_faces(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
+    """(id, face): the faces that hold each point, by the number of edges that a ray to the right crosses.
+
+    points: id, x, y; rings: face, ring (array of structs x, y; outer and inner rings alike, so a hole is outside). A
+    point meets only the edges of faces whose box touches its cell.
+    """
+    shifted = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
+    edges = rings.select("face", F.explode(F.arrays_zip(F.col("ring").alias("p"), shifted.alias("q"))).alias("e")).select("face", F.col("e.p.x").alias("ax"), F.col("e.p.y").alias("ay"), F.col("e.q.x").alias("bx"), F.col("e.q.y").alias("by"))
+    box = edges.groupBy("face").agg(F.min("ax").alias("x1"), F.min("ay").alias("y1"), F.max("ax").alias("x2"), F.max("ay").alias("y2"))
+    held = box.withColumn("_c", F.explode(cells_of_box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), size)))
+    at = F.struct(geo.cell(F.col("x"), size).alias("cx"), geo.cell(F.col("y"), size).alias("cy"))
+    near = points.withColumn("_c", at).join(held, "_c").where(F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2")))
+    j = near.select("id", "x", "y", "face").join(edges, "face")
+    crosses = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < F.col("ax") + (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax")))
+    return j.groupBy("id", "face").agg(F.count_if(crosses).alias("n")).where("n % 2 = 1").select("id", "face")
+
+
+def nearest_on_polyline(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, segment, fraction, px, py, distance_m): the place on a point's own line that is nearest; of equals the smaller x, then y.
+
+    points: id, line, x, y; lines: line, pos, ax, ay, bx, by. A point meets the segments of one line only.
+    """
+    j = points.join(lines, "line")
+    f = geo.fraction_on_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    j = j.withColumn("fraction", f).withColumn("px", F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("fraction")).withColumn("py", F.col("ay") + (F.col("by") - F.col("ay")) * F.col("fraction"))
+    j = j.withColumn("distance_m", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")))
+    best = j.groupBy("id").agg(F.min(F.struct(F.round("distance_m", 9).alias("d"), "px", "py", F.col("pos").alias("segment"), "fraction", "distance_m")).alias("b"))
+    return best.select("id", "b.segment", "b.fraction", "b.px", "b.py", "b.distance_m")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.streaming import events as ev
 from waymark.session import shared_dir
 
+from . import motion
 from . import tables as t
 
 
@@ -75,10 +76,10 @@ m AS (SELECT *, max(t) OVER (PARTITION BY unit ORDER BY event_id ROWS BETWEEN UN
 
 
 def st_offences(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream through the offence states (G17). Rows only: a fold per unit; tests compare it with the batch form."""
+    """The events as a stream through the offence states (G17): a fold per unit, as the batch form has it."""
     s = _events(spark, d).select("event_id", "unit", "t", (F.col("kind") != "view").alias("current"), (F.col("value") > 60).alias("offence"), (F.col("kind") == "signup").alias("complied"))
     return ev.drained(ev.offences(s, handoff_s=3600.0), _folder(spark))
 
 
 QUERIES = {"G30_build_plan": g30_build_plan, "ST_windows": st_windows, "ST_accepted": st_accepted, "ST_offences": st_offences}
-SQL = {"G30_build_plan": G30, "ST_windows": ST_WINDOWS, "ST_accepted": ST_ACCEPTED}
+SQL = {"ST_offences": motion.G17, "G30_build_plan": G30, "ST_windows": ST_WINDOWS, "ST_accepted": ST_ACCEPTED}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.operators import junctions, sightings
+from waymark.operators import junctions, sightings, spatial
 
 from . import tables as t
 
@@ -56,11 +56,20 @@ def j13_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g13_phases(spark: SparkSession, d: str) -> DataFrame:
-    """Conflict-free phases: each phase's movements are disjoint from their conflicts (G12, G13). Rows only: greedy choice in order."""
+    """Conflict-free phases: each phase's movements are disjoint from their conflicts (G13): a greedy choice in order."""
     m = _moves(spark, d)
     return junctions.phases(m, junctions.conflicts(m))
 
 
+G13 = f"""WITH RECURSIVE {_CLASH}, mo AS (SELECT junction, movement, row_number() OVER (PARTITION BY junction ORDER BY movement) AS i FROM mv WHERE resolved),
+both_ AS (SELECT junction, a AS m, b AS x FROM clash UNION ALL SELECT junction, b, a FROM clash),
+cl AS (SELECT mo.junction, mo.i, mo.movement, coalesce(list(x) FILTER (x IS NOT NULL), []) AS l FROM mo LEFT JOIN both_ c ON c.junction = mo.junction AND c.m = mo.movement GROUP BY ALL),
+f(junction, i, xs) AS (SELECT DISTINCT junction, 0::BIGINT, []::STRUCT(m VARCHAR, p BIGINT)[] FROM mo UNION ALL
+  SELECT cl.junction, cl.i, list_append(xs, {{'m': movement, 'p': list_min(list_filter(range(0, len(xs) + 1), lambda q: len(list_filter(xs, lambda x: x.p = q AND list_contains(l, x.m))) = 0))}})
+  FROM f JOIN cl ON cl.junction = f.junction AND cl.i = f.i + 1),
+g AS (SELECT junction, unnest(arg_max(xs, i)) AS x FROM f GROUP BY junction) SELECT junction, x.m AS movement, x.p AS phase FROM g"""
+
+
 def g14_signal_state(spark: SparkSession, d: str) -> DataFrame:
     """Phase and stage of a controller with 1 to 4 phases at each event's time."""
     o = t.observations(spark, d).withColumn("n", (F.col("unit") % 4 + 1).cast("int")).withColumn("s", F.floor(F.col("t") - 1704067200).cast("double"))
@@ -138,10 +147,9 @@ A22 = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, co
 def a20_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """95th percentile of each kind by nearest rank, both roundings, and the mean and worst."""
     o = t.observations(spark, d)
-    up = sightings.nearest_rank(o, "value", "kind", 0.95).withColumnRenamed("value", "p95_ceil")
-    near = sightings.nearest_rank(o, "value", "kind", 0.95, "round").select("kind", F.col("value").alias("p95_round"))
+    ranked = sightings.nearest_rank(o, "value", "kind", {"p95_ceil": (0.95, "ceil"), "p95_round": (0.95, "round")})
     rest = o.groupBy("kind").agg(F.round(F.avg("value"), 6).alias("avg"), F.max("value").alias("worst"))
-    return up.join(near, "kind").join(rest, "kind")
+    return ranked.join(rest, "kind")
 
 
 A20 = """WITH r AS (SELECT event_type AS kind, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
@@ -160,18 +168,35 @@ SELECT event_id, unit, coalesce(last_value(told IGNORE NULLS) OVER (PARTITION BY
 
 
 def t05_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    """Customers of a nation as incidents, suppliers as units: greedy by priority, then sequence (T05, T06, J16). Rows only."""
+    """Customers of a nation as incidents, suppliers as units: greedy by priority, then sequence."""
     c = t.customers(spark, d).select(F.col("c_nationkey").cast("long").alias("zone"), F.col("id").alias("incident"), "x", "y", (F.col("id") % 5).alias("priority"), (F.col("id") % 2).alias("role"), F.col("id").alias("sequence"))
     s = t.suppliers(spark, d).select(F.col("s_nationkey").cast("long").alias("zone"), F.col("id").alias("unit"), (F.col("id") % 2).alias("role"), "x", "y")
     return sightings.greedy_dispatch(c, s).select("zone", "incident", "unit", F.round("distance_m", 4).alias("distance_m"))
 
 
+T05 = f"""WITH RECURSIVE {t.CUSTOMERS}, {t.SUPPLIERS},
+i AS (SELECT c_nationkey::BIGINT AS zone, id % 2 AS role, id AS incident, x, y, row_number() OVER (PARTITION BY c_nationkey, id % 2 ORDER BY id % 5 DESC, id) AS k FROM customers),
+u AS (SELECT s_nationkey::BIGINT AS zone, id % 2 AS role, id AS unit, x, y FROM suppliers),
+f(zone, role, k, taken, incident, unit, d) AS (SELECT DISTINCT zone, role, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE FROM u UNION ALL
+  SELECT zone, role, k, list_append(taken, best.unit), incident, best.unit, best.d FROM (
+    SELECT f.zone, f.role, i.k, i.incident, any_value(f.taken) AS taken, min({{'near': round(sqrt((i.x - u.x) ** 2 + (i.y - u.y) ** 2) / 1e-6), 'unit': u.unit, 'd': sqrt((i.x - u.x) ** 2 + (i.y - u.y) ** 2)}}) AS best
+    FROM f JOIN i ON i.zone = f.zone AND i.role = f.role AND i.k = f.k + 1 JOIN u ON u.zone = f.zone AND u.role = f.role AND NOT list_contains(f.taken, u.unit) GROUP BY f.zone, f.role, i.k, i.incident))
+SELECT i.zone, i.incident, f.unit, round(f.d, 4) AS distance_m FROM i LEFT JOIN f ON f.zone = i.zone AND f.role = i.role AND f.incident = i.incident"""
+
+
 def g17_offences(spark: SparkSession, d: str) -> DataFrame:
-    """State of each unit after every event: patrol, observe, stop attempt, pursuit (G17). Rows only: a fold per unit."""
+    """State of each unit after every event: patrol, observe, stop attempt, pursuit (G17): a fold per unit."""
     o = t.observations(spark, d).select("event_id", "unit", "t", (F.col("kind") != "view").alias("current"), (F.col("value") > 60).alias("offence"), (F.col("kind") == "signup").alias("complied"))
     return sightings.offence_steps(o, "unit", handoff_s=3600.0)
 
 
+G17 = f"""WITH RECURSIVE {t.OBSERVATIONS}, o AS (SELECT event_id, unit, t, kind <> 'view' AS cur, value > 60 AS off, kind = 'signup' AS comp, row_number() OVER (PARTITION BY unit ORDER BY t, event_id) AS i FROM obs),
+f(unit, i, event_id, state, since) AS (SELECT DISTINCT unit, 0::BIGINT, NULL::BIGINT, 'patrol', 0.0::DOUBLE FROM o UNION ALL
+  SELECT unit, i, event_id, CASE WHEN NOT cur THEN CASE s WHEN 'observe' THEN 'patrol' ELSE s END WHEN off THEN 'stop' WHEN s = 'patrol' THEN 'observe' ELSE s END, CASE WHEN cur AND off THEN t ELSE since END
+  FROM (SELECT o.*, f.since, CASE WHEN f.state <> 'stop' THEN f.state WHEN comp THEN 'observe' WHEN o.t - f.since >= 3600 THEN 'pursuit' ELSE 'stop' END AS s FROM f JOIN o ON o.unit = f.unit AND o.i = f.i + 1))
+SELECT event_id, unit, state FROM f WHERE i > 0"""
+
+
 def g20_search_area(spark: SparkSession, d: str) -> DataFrame:
     """Radius and nine points of the search around each unit's last place, and the point nearest to an officer."""
     k = 0.70710678
@@ -208,9 +233,8 @@ SELECT *, round(atan2(lead(y) OVER w - y, lead(x) OVER w - x), 6) AS heading FRO
 def j21_free_places(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers with no other of an even key and the same nation within 3 km: reservations that stand alone."""
     s = t.suppliers(spark, d).select("id", "x", "y", F.col("s_nationkey").alias("tactic"))
-    o = s.where("id % 2 = 0").select(F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), "tactic")
-    near = (s.tactic == o.tactic) & (s.id != o.oid) & (F.hypot(s.x - o.ox, s.y - o.oy) < 3000)
-    return s.join(o, near, "left_anti").select("id", "tactic")
+    o = s.where("id % 2 = 0").select(F.col("id").alias("but"), F.col("x").alias("rx"), F.col("y").alias("ry"), "tactic")
+    return spatial.within_reach(s, o, 3000.0, ["tactic"], "left_anti").select("id", "tactic")
 
 
 J21 = f"""WITH {t.SUPPLIERS} SELECT s.id, s.s_nationkey AS tactic FROM suppliers s WHERE NOT EXISTS (SELECT 1 FROM suppliers o WHERE o.id % 2 = 0 AND o.s_nationkey = s.s_nationkey AND o.id <> s.id
@@ -230,7 +254,7 @@ QUERIES = {
 }
 SQL = {
     "J12_movements": f"WITH {_MOVES} SELECT junction, movement, resolved, round(sx, 5) AS stop_x, round(sy, 5) AS stop_y FROM mv", "J13_conflicts": f"WITH {_CLASH} SELECT junction, a, b FROM clash",
-    "G14_signal_state": G14, "U06_distinct_approaches": U06, "J11_nearest_junction": J11, "J20_latest": J20, "F17_accepted": F17, "A22_windows": A22, "A20_percentiles": A20, "W07_hysteresis": W07,
+    "G13_phases": G13, "T05_dispatch": T05, "G17_offences": G17, "G14_signal_state": G14, "U06_distinct_approaches": U06, "J11_nearest_junction": J11, "J20_latest": J20, "F17_accepted": F17, "A22_windows": A22, "A20_percentiles": A20, "W07_hysteresis": W07,
     "G20_search_area": G20, "W05_route_points": W05, "J21_free_places": J21,
     "A23_shares": "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity, round(100 * sum(l_quantity) / sum(sum(l_quantity)) OVER (), 6) AS percent FROM lineitem GROUP BY l_returnflag",
 }

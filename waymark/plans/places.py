@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, sky, tags, text
 from waymark.operators import search, spatial
+from waymark.session import Scratch
 
 from . import tables as t
+from .scalars import F01
 
 
 def a01_grid_density(spark: SparkSession, d: str) -> DataFrame:
@@ -37,6 +39,9 @@ def a02_categories(spark: SparkSession, d: str) -> DataFrame:
     return taken.unionByName(left).groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 
+A02 = f"""WITH r AS ({F01}) SELECT CASE WHEN category IS NULL THEN 'excluded' ELSE 'included' END AS kind, coalesce(category, bucket) AS name, count(*) AS n FROM r WHERE poi GROUP BY ALL"""
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     """Short stretches of road from the parts: edge, ends, half width, speed and whether it was told."""
     p = t.table(spark, d, "part").select(F.col("p_partkey").alias("edge"), F.expr(t.POI_X).cast("double").alias("ax"), F.expr(t.POI_Y).cast("double").alias("ay"), "p_size")
@@ -115,9 +120,11 @@ ASKED = ("brand", "part 12", "pa", "1", "part 7 b", "standard", "econ", "promo",
 def t01_search(spark: SparkSession, d: str) -> DataFrame:
     """Eight best parts for each of some queries."""
     records = t.table(spark, d, "part").select(F.format_string("poi:%d", "p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_partkey").alias("display"), F.concat_ws(" ", "p_brand", "p_type").alias("subtitle"))
-    indexed = search.index(records)
+    scratch = Scratch(spark)  # the index is written once and read by trigram
+    indexed = scratch.save(search.index(records), "records")
+    posted = scratch.save(search.postings(indexed).repartitionByRange("g"), "postings")
     asked = spark.createDataFrame([(q,) for q in ASKED], "query string")
-    return search.search(indexed, search.postings(indexed), asked)
+    return search.search(indexed, posted, asked)
 
 
 _NORMAL = "trim(regexp_replace(lower(strip_accents({})), '[^0-9a-z]+', ' ', 'g'))"
@@ -197,10 +204,9 @@ FROM pois WHERE city IS NOT NULL"""
 
 def f13_box_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of the road stretches that touch one of a few windows, each pair."""
-    w = spark.createDataFrame([(1, -9500.0, -8000.0, -4000.0, 0.0), (2, -500.0, -500.0, 4000.0, 4000.0)], "win int, x1 double, y1 double, x2 double, y2 double")
-    s = _segments(spark, d)
-    box = (F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))
-    return s.join(F.broadcast(w), spatial.boxes_overlap(box, (F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))).select("edge", "win")
+    w = spark.createDataFrame([(1, -9500.0, -8000.0, -4000.0, 0.0), (2, -500.0, -500.0, 4000.0, 4000.0)], "win int, wx1 double, wy1 double, wx2 double, wy2 double")
+    s = _segments(spark, d).select("edge", F.least("ax", "bx").alias("x1"), F.least("ay", "by").alias("y1"), F.greatest("ax", "bx").alias("x2"), F.greatest("ay", "by").alias("y2"))
+    return spatial.overlapping_boxes(s, w, 1000.0).select("edge", "win")
 
 
 F13 = f"""WITH {_SEGMENTS} SELECT edge, win FROM seg, (VALUES (1, -9500, -8000, -4000, 0), (2, -500, -500, 4000, 4000)) w(win, x1, y1, x2, y2)
@@ -261,7 +267,7 @@ QUERIES = {
     "W02_thinning": w02_thinning, "F12_windows": f12_windows, "F13_box_overlap": f13_box_overlap, "K05_tiles": k05_tiles, "A05_bounds": a05_bounds, "U04_joined_parts": u04_joined_parts,
 }
 SQL = {
-    "T09_light_order": T09, "T09_light_points": T09_POINTS, "A01_grid_density": A01, "J18_stencil": J18, "J06_nearest_segment": J06, "J07_speed_limit": J07, "J08_on_road": J08, "J10_neighbour_vote": J10, "J09_unique_value": J09, "T01_search": T01,
+    "T09_light_order": T09, "T09_light_points": T09_POINTS, "A01_grid_density": A01, "J18_stencil": J18, "A02_categories": A02, "J06_nearest_segment": J06, "J07_speed_limit": J07, "J08_on_road": J08, "J10_neighbour_vote": J10, "J09_unique_value": J09, "T01_search": T01,
     "X11_postings": X11, "A10_areas": A10, "W02_thinning": W02, "F12_windows": F12, "F13_box_overlap": F13, "K05_tiles": K05, "A05_bounds": A05,
     "U04_joined_parts": "SELECT p_partkey, trim(p_brand) || ' ' || trim(p_type) AS name FROM part",
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import build, motion, places, roads, scalars
+from . import build, motion, network, places, roads, scalars
 
-MODULES: tuple = (scalars, roads, places, motion, build)
+MODULES: tuple = (scalars, roads, places, motion, network, build)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

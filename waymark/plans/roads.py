@@ -144,10 +144,10 @@ def _road_net(spark: SparkSession, d: str) -> DataFrame:
     e = e.join(far, "target").withColumn("length_m", F.round(geo.distance_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), 3))
     e = e.where("length_m > 0 AND source % 5 <> 0").withColumn("kmh", F.when(F.col("road_class") == 0, 110.0).when(F.col("road_class") == 4, 70.0).otherwise(40.0))
     e = e.withColumn("access", F.lit(0)).withColumn("flags", F.when(F.col("source") % 7 == 0, 1).otherwise(0))
-    return e.select("source", "target", "length_m", "kmh", "road_class", "access", "flags")
+    return e.select((F.col("source") * 10_000 + F.col("s.step")).alias("edge"), "source", "target", "length_m", "kmh", "road_class", "access", "flags")
 
 
-_NET = f"""{t.NODES}, net AS (SELECT a.node_id AS source, b.node_id AS target, round({_HAVERSINE.format(a="a.", b="b.")}, 3) AS length_m, cls AS road_class, CASE cls WHEN 0 THEN 110.0::DOUBLE WHEN 4 THEN 70 ELSE 40 END AS kmh
+_NET = f"""{t.NODES}, net AS (SELECT a.node_id * 10000 + step AS edge, a.node_id AS source, b.node_id AS target, round({_HAVERSINE.format(a="a.", b="b.")}, 3) AS length_m, cls AS road_class, CASE cls WHEN 0 THEN 110.0::DOUBLE WHEN 4 THEN 70 ELSE 40 END AS kmh
   FROM nodes a, (VALUES (1, 11), (13, 4), (97, 4), (1009, 0)) v(step, cls) JOIN nodes b ON b.node_id = a.node_id + step WHERE a.node_id % 5 <> 0 AND a.node_id % 7 <> 0)"""
 
 

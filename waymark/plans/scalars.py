@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, sky, tags, text
 from waymark.functions.tags import ROAD_SPEEDS
+from waymark.operators import spatial
 
 from . import tables as t
 
@@ -202,11 +203,11 @@ X27 = f"""WITH {t.OBSERVATIONS} SELECT event_id, isodow(ts) AS weekday,
 
 def f15_visibility(spark: SparkSession, d: str) -> DataFrame:
     """Which customers a supplier of their nation sees: range, field of view and a clear line (F15, F16 on a speed)."""
-    s = t.suppliers(spark, d).select(F.col("id").alias("unit"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("s_nationkey").alias("nation"))
-    c = t.customers(spark, d)
-    j = c.join(s, c.c_nationkey == s.nation)
-    seen = geo.can_observe(F.col("ox"), F.col("oy"), F.radians(F.col("unit") % 360), F.col("x"), F.col("y"), F.col("id") % 7 != 0, reach=1200.0)
-    return j.where(seen).select("unit", "id", F.round(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")), 3).alias("distance_m"))
+    s = t.suppliers(spark, d).select(F.col("id").alias("unit"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("s_nationkey").alias("nation"))
+    c = t.customers(spark, d).select("id", "x", "y", F.col("c_nationkey").alias("nation"))
+    j = spatial.within_reach(c, s, 1200.5, ["nation"])
+    seen = geo.can_observe(F.col("rx"), F.col("ry"), F.radians(F.col("unit") % 360), F.col("x"), F.col("y"), F.col("id") % 7 != 0, reach=1200.0)
+    return j.where(seen).select("unit", "id", F.round(F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry")), 3).alias("distance_m"))
 
 
 F15 = f"""WITH {t.CUSTOMERS}, {t.SUPPLIERS}, j AS (SELECT s.id AS unit, c.id, c.x - s.x AS dx, c.y - s.y AS dy, radians(s.id % 360) AS a FROM customers c JOIN suppliers s ON c_nationkey = s_nationkey WHERE c.id % 7 <> 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,15 @@ _WAY = "_id BIGINT, nd ARRAY<STRUCT<_ref: BIGINT>>, tag ARRAY<STRUCT<_k: STRING,
 POI = "osm_type STRING, osm_id BIGINT, x DOUBLE, y DOUBLE, tags MAP<STRING, STRING>"
 ADDRESS = "osm_type STRING, osm_id BIGINT, street STRING, housenumber STRING, postcode STRING, locality STRING, x DOUBLE, y DOUBLE"
 SEARCH = "id STRING, kind STRING, display STRING, x DOUBLE, y DOUBLE, subtitle STRING, search STRING"
-FACTS = {"pois": POI, "addresses": ADDRESS, "search": SEARCH}
+_RING = "ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>"
+HIGHWAY = "way_id BIGINT, node_ids ARRAY<BIGINT>, lons ARRAY<DOUBLE>, lats ARRAY<DOUBLE>, tags MAP<STRING, STRING>"
+AREA = f"osm_type STRING, osm_id BIGINT, tags MAP<STRING, STRING>, polygons ARRAY<STRUCT<`outer`: {_RING}, holes: ARRAY<{_RING}>>>"
+ROAD_TILE = "lod INT, tx INT, ty INT, road_class INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE"
+GRAPH_NODE = "node_id BIGINT, node_index BIGINT, adjacency_offset BIGINT, adjacency_count BIGINT"
+GRAPH_EDGE = "way_id BIGINT, segment BIGINT, source BIGINT, target BIGINT, length_m DOUBLE, kmh DOUBLE, road_class INT, access INT, reason INT, flags INT, layer INT, explicit BOOLEAN"
+FACTS = {
+    "pois": POI, "addresses": ADDRESS, "search": SEARCH, "highways": HIGHWAY, "areas": AREA, "road_tiles": ROAD_TILE, "graph_nodes": GRAPH_NODE, "graph_edges": GRAPH_EDGE,
+}
 
 
 def xml_nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -129,3 +138,15 @@ class GeoPackageLayer(DataSource):
 def geopackage(spark: SparkSession, path: str, layer: str, schema: str) -> DataFrame:
     spark.dataSource.register(GeoPackageLayer)
     return spark.read.format("gpkg").schema(schema).option("layer", layer).load(path)
+
+
+def layers(named: dict[str, DataFrame]) -> DataFrame:
+    """Layers of one map as one table with the column ``layer``; a column that a layer lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("layer", F.lit(name)) for name, df in named.items()])
+
+
+def without_relations(facts: DataFrame, areas: DataFrame) -> DataFrame:
+    """Facts but for relations; those that come back as areas (osm_type, osm_id) stay."""
+    known = areas.select("osm_type", "osm_id").distinct()
+    relation = facts.where("osm_type = 'relation'")
+    return facts.where("osm_type <> 'relation'").unionByName(relation.join(known, ["osm_type", "osm_id"], "left_semi"))

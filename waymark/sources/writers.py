@@ -36,18 +36,30 @@ def digest(df: DataFrame) -> tuple[int, str]:
     return r["n"], r["h"]
 
 
-def publish(df: DataFrame, path: str, schema_version: int = 1) -> dict:
-    """Write a table to a staging folder, check it, then put it in place with a sidecar of its rows and digest."""
+def publish(df: DataFrame, path: str, schema_version: int = 1, schema: str | None = None) -> dict:
+    """Write a table to a staging folder, check it, then put it in place with a sidecar of its rows and digest.
+
+    With ``schema``, its columns are taken by name and cast to it first. A table that is there already is moved aside, and
+    only deleted once the new one is in place, so a crash in between leaves one of them whole.
+    """
+    if schema:
+        df = df.select(*[F.col(f.name).cast(f.dataType) for f in df.sparkSession.createDataFrame([], schema).schema])
     spark, staging = df.sparkSession, f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     df.write.parquet(staging)
     rows, sha = digest(spark.read.schema(df.schema).parquet(staging))
     entry = {"schema": schema_version, "rows": rows, "sha256": sha, "complete": True}
     source, fs = _fs(spark, staging)
     target, _ = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
+    aside, _ = _fs(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    there = fs.exists(target)
+    if there and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(source, target):
+        if there:
+            fs.rename(aside, target)
         raise OSError(f"could not put {path} in place")
+    if there:
+        fs.delete(aside, True)
     _write_text(spark, f"{path.rstrip('/')}.manifest.json", json.dumps(entry, sort_keys=True))
     return entry
 
@@ -67,6 +79,16 @@ def write_tiles(df: DataFrame, path: str, size: float, shards: int = 256) -> Non
     t.repartition(shards, "tx", "ty").write.partitionBy("tx", "ty").option("maxRecordsPerFile", 1_000_000).mode("overwrite").parquet(path)
 
 
+def road_tiles(steps: DataFrame, size: float, most_class: tuple[int, ...]) -> DataFrame:
+    """Road pieces (road_class, x1, y1, x2, y2) by level of detail and the tile of their middle, relative to its corner."""
+    lods = F.array(*[F.struct(F.lit(i).alias("lod"), F.lit(c).alias("most")) for i, c in enumerate(most_class)])
+    s = steps.withColumn("l", F.explode(lods)).where("road_class <= l.most")
+    tile = lambda a, b: F.floor((F.col(a) + F.col(b)) * 0.5 / size).cast("int")
+    s = s.withColumn("tx", tile("x1", "x2")).withColumn("ty", tile("y1", "y2"))
+    near = [(F.col(f"{a}{i}") - F.col(f"t{a}") * size).alias(f"{a}{i}") for i in (1, 2) for a in "xy"]
+    return s.select(F.col("l.lod").alias("lod"), "tx", "ty", "road_class", *near)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
