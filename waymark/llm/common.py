@@ -1,85 +1,15 @@
-"""Helpers shared by the training-data operators: durable intermediate tables and distributed row numbers."""
+"""Helpers shared by the training-data operators: texts, seeded numbers, ranks, components and dropping rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from waymark.operators.prefix import global_rank
+from waymark.session import Scratch, shuffles_cleared  # noqa: F401
 
 #: Characters that separate words in size counts, as a character class body.
 SPACE = r"\x20\x09-\x0D"
-#: Low bits of ``monotonically_increasing_id`` that number the rows of one partition.
-_ROW_BITS = 33
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the setting is absent and the master is local (tests) is a temporary folder made.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="waymark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-@contextmanager
-def shuffles_cleared(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs inside go as soon as it has run."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
-
-
-class Scratch:
-    """Parquet tables in the shared folder. They cut lineage and survive lost executors.
-
-    Tables go when ``drop`` names them, or else when the application ends.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self._root = f"{shared_root(spark)}/waymark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-        self._paths: dict[str, str] = {}
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths[name])
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def place(self, name: str) -> str:
-        """A path that goes as the tables do."""
-        self._paths[name] = f"{self._root}/{name}"
-        path, fs = self._path(name)
-        fs.deleteOnExit(path)
-        return self._paths[name]
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table. The shuffle files that it took go at once."""
-        path = self.place(name)
-        with shuffles_cleared(self.spark):
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(self._paths[name])
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no result still reads."""
-        for name in names:
-            path, fs = self._path(name)
-            fs.delete(path, True)
-            del self._paths[name]
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -97,24 +27,6 @@ def seeded(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def global_rank(scratch: Scratch, df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
-    """Add ``rank`` (0-based, dense over the whole table) in the given order, without a single-partition sort.
-
-    Rows are range-partitioned and sorted; the per-partition counts (one row a partition) give the offsets. The order
-    has to end in columns that tell rows apart, or rows that are alike share a partition and are numbered arbitrarily.
-    """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    table = scratch.save(dealt.withColumn("_m", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_m", _ROW_BITS)
-    w = Window.partitionBy().orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = table.groupBy(part.alias("_p")).count()
-    offsets = sizes.select("_p", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_o"))
-    offsets = scratch.save(offsets.coalesce(1), f"{name}_offsets")  # one row a partition
-    joined = table.withColumn("_p", part).join(F.broadcast(offsets), "_p")
-    return joined.withColumn("rank", F.col("_o") + F.col("_m").bitwiseAND((1 << _ROW_BITS) - 1)).drop("_p", "_o", "_m")
-
-
 def dense_ranks(scratch: Scratch, rows: DataFrame, order: list[str], rank: str, name: str) -> DataFrame:
     """The distinct ``rows`` with their 0-based ``rank`` in the given order, numbered without a single-partition sort."""
     return global_rank(scratch, rows, list(order), name).withColumnRenamed("rank", rank)
@@ -129,7 +41,7 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """(node, comp) of the nodes in ``links`` (x, y): the smallest node of each connected component.
 
     Each round, every component hooks to its smallest neighbour if that is smaller, chains of hooks are halved until they
-    are flat, and links inside a component go. Components at least halve a round.
+    are flat, and links inside a component go. Components at least halve a round. Tables go once their last reader is written.
     """
     edges = scratch.save(links.where("x <> y").select("x", "y"), f"edges_{name}0")
     labels = scratch.save(edges.select(F.col("x").alias("node")).union(edges.select("y")).distinct().withColumn("comp", F.col("node")), f"labels_{name}0")
@@ -137,21 +49,24 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     while not edges.isEmpty():
         k += 1
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        hooks = scratch.save(both.groupBy("x").agg(F.min("y").alias("up")).select(F.col("x").alias("c"), F.least("x", "up").alias("up")), f"hooks_{name}{k}")
-        j = 0
-        while True:
+        last = f"hooks_{name}{k}"
+        hooks = scratch.save(both.groupBy("x").agg(F.min("y").alias("up")).select(F.col("x").alias("c"), F.least("x", "up").alias("up")), last)
+        j, moving = 0, True
+        while moving:
             above = hooks.select(F.col("c").alias("up"), F.col("up").alias("_up"))
             further = hooks.join(above, "up").select("c", F.col("_up").alias("new"), (F.col("_up") != F.col("up")).alias("moved"))
             j += 1
             further = scratch.save(further, f"hooks_{name}{k}_{j}")
-            hooks = further.select("c", F.col("new").alias("up"))
-            if further.where("moved").isEmpty():
-                break
+            scratch.drop(last)
+            last, hooks = f"hooks_{name}{k}_{j}", further.select("c", F.col("new").alias("up"))
+            moving = not further.where("moved").isEmpty()
         to = hooks.select(F.col("c").alias("comp"), F.col("up").alias("_up"))
         labels = scratch.save(labels.join(to, "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp")), f"labels_{name}{k}")
         x, y = hooks.withColumnsRenamed({"c": "x", "up": "_x"}), hooks.withColumnsRenamed({"c": "y", "up": "_y"})
         edges = edges.join(x, "x").join(y, "y").where("_x <> _y")
         edges = scratch.save(edges.select(F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y")).distinct(), f"edges_{name}{k}")
+        scratch.drop(last, f"labels_{name}{k - 1}", f"edges_{name}{k - 1}")
+    scratch.drop(f"edges_{name}{k}")
     return labels
 
 

@@ -133,61 +133,68 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def _matches(a: list[int], b: list[int], band: int) -> int:
-    """Longest common subsequence of pairs at most ``band`` apart; bits of ``row`` are 0 where its length grows."""
-    at: dict[int, int] = {}
+    """Longest common subsequence of pairs at most ``band`` apart, by a row of 2 * band + 1 bits that slides along.
+
+    A bit is 0 where the length grows. Where values of ``b`` lie in ``a`` is kept in chunks as wide as the row, so a step
+    looks at two chunks and costs what the band is wide, not what the text is long.
+    """
+    width = 2 * band + 1
+    at: dict[tuple[int, int], int] = {}
     for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row, window = full, (1 << (2 * band + 1)) - 1
-    for j, x in enumerate(b):
-        if x in at:
-            near = window << (j - band) if j >= band else window >> (band - j)
-            hit = row & at[x] & near
+        k = (x, (i + band) // width)
+        at[k] = at.get(k, 0) | 1 << (i + band) % width
+    full = (1 << width) - 1
+    row, found = full, 0
+    for j, x in enumerate(b):  # bit 0 is position j - band of ``a``
+        chunk, off = divmod(j, width)
+        hit = at.get((x, chunk), 0) >> off
+        if off:
+            hit |= at.get((x, chunk + 1), 0) << (width - off) & full
+        if hit:
+            hit &= row
             row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+        found += not row & 1
+        row = row >> 1 | 1 << (width - 1)
+    return found + width - row.bit_count()
 
 
 def _sketched(texts: DataFrame, words: int, sketches: int, tuple_size: int) -> DataFrame:
-    """(node, n, keys) for each text with words."""
+    """(node, hash, n, keys) for each text with words."""
 
     def run(batches):
         cache: dict[str, int] = {}
         for b in batches:
             s = [shingles(t, words, cache) for t in b["norm"]]
-            yield pd.DataFrame({"node": b["node"], "n": [len(x) for x in s], "keys": [order_minhash(x, sketches, tuple_size) for x in s]})
-
-    return texts.where("norm <> ''").mapInPandas(run, "node binary, n long, keys array<long>")
+            yield pd.DataFrame({"node": b["node"], "hash": b["hash"], "n": [len(x) for x in s], "keys": [order_minhash(x, sketches, tuple_size) for x in s]})
 
+    return texts.where("norm <> ''").mapInPandas(run, "node long, hash binary, n long, keys array<long>")
 
-def _with_texts(pairs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, norm) of the nodes in ``pairs``: the text of one row each."""
-    wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    first = members.groupBy("node").agg(F.min("at").alias("at"))
-    keys = wanted.join(first, "node").select("node", "at")
-    return rows.join(small(keys, BROADCAST_NODES), ["node", "at"], "left_semi").select("node", "norm").dropDuplicates(["node"])
 
-
-def _texts_joined(scratch: Scratch, pairs: DataFrame, rows: DataFrame, members: DataFrame, name: str) -> DataFrame:
+def _texts_joined(scratch: Scratch, pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """(x, y, _x, _y): pairs with both texts. A sort-merge join leaves them sorted by y, so what y gives can be kept from pair to pair."""
-    texts = scratch.save(_with_texts(pairs, rows, members), f"texts_{name}")
+    wanted = scratch.save(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct(), f"wanted_{name}")
+    texts = scratch.save(rows.join(small(wanted, BROADCAST_NODES), "node", "left_semi").select("node", "norm"), f"texts_{name}")
+    scratch.drop(f"wanted_{name}")
     t = lambda k: texts.select(F.col("node").alias(k), F.col("norm").alias(f"_{k}"))
     return pairs.join(t("x"), "x").join(t("y"), "y").select("x", "y", "_x", "_y")
 
 
-def _verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, members: DataFrame, words: int, similarity: float, name: str) -> DataFrame:
+def _verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, words: int, similarity: float, name: str) -> DataFrame:
     """The (x, y) that align."""
 
     def run(batches):
         cache: dict[str, int] = {}
         for b in batches:
             ok, last, hub = [], None, None
-            for x, y in zip(b["_x"], b["_y"], strict=True):
+            for x, y, tx, ty in zip(b["x"], b["y"], b["_x"], b["_y"], strict=True):
                 if y != last:
-                    last, hub = y, shingles(y, words, cache)
-                ok.append(aligned(shingles(x, words, cache), hub, similarity))
+                    last, hub = y, shingles(ty, words, cache)
+                ok.append(aligned(shingles(tx, words, cache), hub, similarity))
             yield b.loc[ok, ["x", "y"]]
 
-    return scratch.save(_texts_joined(scratch, pairs, rows, members, name).mapInPandas(run, "x binary, y binary"), f"links_{name}")
+    links = scratch.save(_texts_joined(scratch, pairs, rows, name).mapInPandas(run, "x long, y long"), f"links_{name}")
+    scratch.drop(f"texts_{name}")
+    return links
 
 
 def _near_sizes(low: Column, high: Column, similarity: float) -> Column:
@@ -202,21 +209,23 @@ def _under_hubs(scratch: Scratch, buckets: DataFrame, hubs: DataFrame, comps: Da
     hub, where ``own`` is null. A bucket of m rows gives at most m ** 1.5.
     """
     b = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    b = scratch.save(b.select("i", "key", "node", "n", "weight", "comp"), "held")
-    parts = b.groupBy("i", "key", "comp").agg(F.count("*").alias("k"), F.max_by("node", F.struct("weight", "node")).alias("centre"))
+    b = scratch.save(b.select("key", "node", "n", "weight", "comp"), "held")
+    parts = b.groupBy("key", "comp").agg(F.count("*").alias("k"), F.max_by("node", F.struct("weight", "node")).alias("centre"))
     parts = scratch.save(parts, "parts")
-    mixed = parts.groupBy("i", "key").agg(F.count("*").alias("comps"), F.sum("k").alias("m")).where("comps > 1")
-    mixed = scratch.save(mixed.select("i", "key", "m"), "mixed")
-    large = parts.join(mixed, ["i", "key"]).where(F.col("k") > F.greatest(F.lit(4.0), F.sqrt("m")))
-    large = scratch.save(large.select("i", "key", F.col("comp").alias("main"), F.col("centre").alias("hub")), "large")
-    held = b.join(mixed.select("i", "key"), ["i", "key"])
-    to_centre = held.join(large, ["i", "key"]).select("hub", (F.col("comp") == F.col("main")).alias("own"), "node", "n", "comp")
-    rest = held.join(large.select("i", "key", F.col("main").alias("comp")), ["i", "key", "comp"], "left_anti")
-    to_first = rest.join(hubs, ["i", "key"]).select(F.col("y").alias("hub"), F.lit(None).cast("boolean").alias("own"), "node", "n", "comp")
-    return scratch.save(to_centre.unionByName(to_first).distinct(), "under")
-
-
-def _across(scratch: Scratch, under: DataFrame, rows: DataFrame, members: DataFrame, words: int, similarity: float, common: int) -> DataFrame:
+    mixed = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("k").alias("m")).where("comps > 1")
+    mixed = scratch.save(mixed.select("key", "m"), "mixed")
+    large = parts.join(mixed, "key").where(F.col("k") > F.greatest(F.lit(4.0), F.sqrt("m")))
+    large = scratch.save(large.select("key", F.col("comp").alias("main"), F.col("centre").alias("hub")), "large")
+    held = b.join(mixed.select("key"), "key")
+    to_centre = held.join(large, "key").select("hub", (F.col("comp") == F.col("main")).alias("own"), "node", "n", "comp")
+    rest = held.join(large.select("key", F.col("main").alias("comp")), ["key", "comp"], "left_anti")
+    to_first = rest.join(hubs, "key").select(F.col("y").alias("hub"), F.lit(None).cast("boolean").alias("own"), "node", "n", "comp")
+    under = scratch.save(to_centre.unionByName(to_first).distinct(), "under")
+    scratch.drop("held", "parts", "mixed", "large")
+    return under
+
+
+def _across(scratch: Scratch, under: DataFrame, rows: DataFrame, words: int, similarity: float, common: int) -> DataFrame:
     """Pairs of different components that may still be alike.
 
     Let H be the shingles of a hub and all those that more than ``common`` members under it have. If x and y share no
@@ -224,6 +233,10 @@ def _across(scratch: Scratch, under: DataFrame, rows: DataFrame, members: DataFr
     are at least half the share that their sizes ask for; only members that are made of H come so far, and those outside
     the hub's component are few. All other pairs share a shingle beyond H, and if those come first in the order of a
     prefix filter, one of them is in both prefixes. As at most ``common`` members have it, pairs follow the rows.
+
+    Most shingles occur once under their hub. So each goes out as a 64-bit key of (hub, shingle), only keys that recur are
+    joined back, and a shingle's place follows from its index and the frequent ones before it. Keys that collide add to H
+    or to the pairs, which are verified, so none is lost.
     """
     share = 2 * similarity / (1 + similarity)
 
@@ -231,38 +244,40 @@ def _across(scratch: Scratch, under: DataFrame, rows: DataFrame, members: DataFr
         cache: dict[str, int] = {}
         for x in batches:
             last, hub, out = None, None, []
-            for t, y in zip(x["_x"], x["_y"], strict=True):
+            for y, tx, ty in zip(x["y"], x["_x"], x["_y"], strict=True):
                 if y != last:
-                    last, hub = y, labelled(shingles(y, words, cache))
-                own = labelled(shingles(t, words, cache))
+                    last, hub = y, labelled(shingles(ty, words, cache))
+                own = labelled(shingles(tx, words, cache))
                 new = np.sort(own[~np.isin(own, hub)])
                 most = len(own) - int(np.ceil(len(own) * similarity - 1e-9)) + 1
                 out.append((len(own) - len(new), most, len(new) <= 2 * most, new[: 2 * most].astype("int64")))
             yield pd.DataFrame({"node": x["x"], "hub": x["y"]} | {k: [o[i] for o in out] for i, k in enumerate(("c", "most", "whole", "new"))})
 
     asked = under.where("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
-    found = _texts_joined(scratch, asked, rows, members, "under").mapInPandas(beyond, "node binary, hub binary, c long, most long, whole boolean, new array<long>")
+    found = _texts_joined(scratch, asked, rows, "under").mapInPandas(beyond, "node long, hub long, c long, most long, whole boolean, new array<long>")
     found = found.join(under, ["node", "hub"]).withColumn("first", F.col("own").isNull())
-    found = scratch.save(found, "beyond")
+    found = scratch.save(found.withColumn("p", F.monotonically_increasing_id()), "beyond")
+    scratch.drop("texts_under")
     to_hub = found.where("NOT own").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y"))
-    key = ["hub", "first"]
-    shared = found.select(*key, "own", "node", "n", "comp", "most", F.explode("new").alias("s"))
-    often = shared.groupBy(*key, "s").agg(F.count("*").alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    often = scratch.save(often.where("k > 1").select(*key, "s", (F.col("k") > common).alias("often"), (F.col("low") != F.col("high")).alias("mixed")), "often")
-    shared = shared.join(often, [*key, "s"], "left").fillna({"often": False, "mixed": False})
-    place = F.sum(F.when(F.col("often"), 0).otherwise(1)).over(Window.partitionBy(*key, "node").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
-    shared = scratch.save(shared.withColumn("place", place).select(*key, "own", "node", "n", "comp", "s", "most", "often", "mixed", "place"), "shared")
-    held = shared.where("NOT often AND mixed AND place <= most")
+    seen = found.select("p", "comp", "hub", "first", F.posexplode("new").alias("i", "s")).select("p", "i", "comp", F.xxhash64("hub", "first", "s").alias("k"))
+    often = seen.groupBy("k").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("m > 1")
+    often = scratch.save(often.select("k", (F.col("m") > common).alias("often"), (F.col("low") != F.col("high")).alias("mixed")), "often")
+    hits = seen.select("k", "p", "i").join(often, "k")
+    before = F.sum(F.col("often").cast("int")).over(Window.partitionBy("p").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    hits = scratch.save(hits.withColumn("place", F.col("i") + 1 - before), "shared")
+    facts = found.select("p", "hub", "first", "own", "node", "n", "comp", "most")
+    held = scratch.save(hits.where("NOT often AND mixed").select("k", "p", "place").join(facts, "p").where("place <= most").drop("p", "hub", "place", "most"), "prefixes")
     one = held.where("first")
-    among = _component_pairs(one, one.select("hub", "s", "comp").distinct(), ["hub", "s"], similarity)
-    side = lambda own, k: held.where(f"own = {own}").select("hub", "s", F.col("node").alias(k), F.col("n").alias(f"n{k}"))
-    around = side("true", "y").join(side("false", "x"), ["hub", "s"]).where(_near_sizes(F.col("nx"), F.col("ny"), similarity))
+    among = _component_pairs(one, one.select("k", "comp").distinct(), ["k"], similarity)
+    side = lambda own, name: held.where(f"own = {own}").select("k", F.col("node").alias(name), F.col("n").alias(f"n{name}"))
+    around = side("true", "y").join(side("false", "x"), "k").where(_near_sizes(F.col("nx"), F.col("ny"), similarity))
     around = around.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = shared.groupBy(*key, "node").agg(F.count_if("often").alias("often"), F.max("place").alias("beyond"))
-    inside = found.join(more, [*key, "node"], "left").fillna({"often": 0, "beyond": 0})
-    cut_short = ~F.col("whole") & (F.col("beyond") < F.col("most"))
+    more = hits.groupBy("p").agg(F.count_if("often").alias("often"))
+    inside = found.withColumn("listed", F.size("new")).drop("new").join(more, "p", "left").fillna({"often": 0})
+    cut_short = ~F.col("whole") & (F.col("listed") - F.col("often") < F.col("most"))
     inside = inside.withColumn("c", F.when(cut_short, F.col("n")).otherwise(F.col("c") + F.col("often")))
-    inside = scratch.save(inside.where(2 * F.col("c") >= share * F.col("n") * (1 + similarity) - 1e-9).select(*key, "own", "node", "n", "c", "comp"), "inside")
+    inside = scratch.save(inside.where(2 * F.col("c") >= share * F.col("n") * (1 + similarity) - 1e-9).select("hub", "first", "own", "node", "n", "c", "comp"), "inside")
+    key = ["hub", "first"]
     z = inside.select(*key, *[F.col(c).alias(f"{c}_z") for c in ("own", "node", "n", "c", "comp")])
     sides = F.when(F.col("first"), F.col("node") < F.col("node_z")).otherwise(~F.col("own") & F.col("own_z"))
     fits = sides & (F.col("comp") != F.col("comp_z")) & (2 * F.least("c", "c_z") >= share * (F.col("n") + F.col("n_z")) - 1e-9) & _near_sizes(F.col("n"), F.col("n_z"), similarity)
@@ -285,33 +300,42 @@ def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
     sketches: int = SKETCHES, tuple_size: int = TUPLE, common: int = COMMON, scratch: Scratch | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, node (of its text), class_id, class_node, class_size."""
+    """One row per document: doc_id, node (hash of its text), class_id, class_node, class_size.
+
+    Inside, a text goes by the number of one of its rows in the table of normalised texts.
+    """
     scratch = scratch or Scratch(docs.sparkSession)
-    at = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("row"), at.alias("at"), normalised(text_or_empty(text_col)).alias("norm")).withColumn("node", node_of(F.col("norm")))
-    rows = scratch.save(rows, "normal")  # read again wherever texts are compared
-    sketched = scratch.save(_sketched(rows.select("node", "norm"), words, sketches, tuple_size).dropDuplicates(["node"]), "sketches")
-    members = scratch.save(rows.select("row", "at", "node"), "members")
-    keyed = sketched.select("node", "n", F.posexplode("keys").alias("i", "key"))
-    met = scratch.save(keyed.groupBy("i", "key").agg(F.count("*").alias("size")).where("size > 1"), "met")
+    rows = docs.select(F.col(id_col).alias("row"), normalised(text_or_empty(text_col)).alias("norm")).withColumn("hash", node_of(F.col("norm")))
+    rows = scratch.save(rows.withColumn("node", F.monotonically_increasing_id()), "normal")  # read again wherever texts are compared
+    sketched = scratch.save(_sketched(rows, words, sketches, tuple_size).dropDuplicates(["hash"]), "sketches")
+    members = scratch.save(rows.select("row", "hash"), "members")
+    keyed = sketched.select("node", "n", F.explode("keys").alias("key"))  # a key holds its seed
+    met = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "met")
     # The hub of a bucket is the member that shares the most: where copies differ from one another, it is like most of them.
-    buckets = keyed.join(met, ["i", "key"]).withColumn("weight", F.sum("size").over(Window.partitionBy("node")))
+    buckets = keyed.join(met, "key").withColumn("weight", F.sum("size").over(Window.partitionBy("node")))
     buckets = scratch.save(buckets.drop("size"), "buckets")
-    best = buckets.groupBy("i", "key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("hub"))
-    best = scratch.save(best.select("i", "key", F.col("hub.node").alias("y"), F.col("hub.n").alias("ny")), "hubs")
-    pairs = buckets.join(best, ["i", "key"]).where(F.col("node") != F.col("y")).where(_near_sizes(F.col("n"), F.col("ny"), similarity))
+    scratch.drop("met")
+    best = buckets.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("hub"))
+    best = scratch.save(best.select("key", F.col("hub.node").alias("y"), F.col("hub.n").alias("ny")), "hubs")
+    pairs = buckets.join(best, "key").where(F.col("node") != F.col("y")).where(_near_sizes(F.col("n"), F.col("ny"), similarity))
     pairs = scratch.save(pairs.select(F.col("node").alias("x"), "y").distinct(), "pairs_hub")
-    links = _verified(scratch, pairs, rows, members, words, similarity, "hub")
-    comps = components(scratch, links, "hub")
-    under = _under_hubs(scratch, buckets, best.select("i", "key", "y"), comps)
-    more = _across(scratch, under, rows, members, words, similarity, common)
+    near = _verified(scratch, pairs, rows, words, similarity, "hub")
+    comps = components(scratch, near, "hub")
+    under = _under_hubs(scratch, buckets, best.select("key", "y"), comps)
+    scratch.drop("buckets", "hubs")
+    more = _across(scratch, under, rows, words, similarity, common)
     done = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
     more = scratch.save(more.join(done, ["x", "y"], "left_anti"), "pairs_across")
-    links = links.unionByName(_verified(scratch, more, rows, members, words, similarity, "across"))
-    comps = components(scratch, links, "all")
-    placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    scratch.drop("under", "beyond", "often", "shared", "prefixes", "inside", "pairs_hub")
+    links = near.unionByName(_verified(scratch, more, rows, words, similarity, "across"))
+    scratch.drop("normal", "pairs_across")
+    named = sketched.select(F.col("node").alias("comp"), F.col("hash").alias("comp_hash"))
+    comps = components(scratch, links, "all").join(named, "comp").join(sketched.select("node", "hash"), "node")
+    comps = scratch.save(comps.select("hash", "comp_hash"), "comps")
+    scratch.drop("sketches", "links_hub", "links_across")
+    placed = members.join(comps, "hash", "left").select("row", F.col("hash").alias("node"), F.coalesce("comp_hash", "hash").alias("comp"))
     placed = scratch.save(placed, "placed")
-    scratch.drop("normal", "texts_hub", "texts_under", "texts_across")
+    scratch.drop("members", "comps")
     least = F.min(F.struct(F.col("row").isNull(), "row", "node"))
     classes = scratch.save(placed.groupBy("comp").agg(least.alias("least"), F.count("*").alias("class_size")), "classes")
     return placed.join(classes, "comp").select(
