@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,26 +61,31 @@ def nearest_rank(rows: DataFrame, value: str, group: str, wanted: dict[str, tupl
     return r.groupBy(group, "n").agg(*picked)
 
 
-def three_bands(rows: DataFrame, key: str, order: str, value: Column) -> DataFrame:
-    """Add ``lod``: 0 far, 1 middle, 2 near, with different limits for coming and going.
+def replayed(rows: DataFrame, key: str, order: list[str], step: Column, initial: int = 0) -> DataFrame:
+    """Add ``state``: where each key's rows lead, in order, from ``initial``; ``step`` is a row's map, an array of the next state for each.
 
-    A key's first row sets its level by plain limits; each row after it is a map of the level before to the next. Maps are
-    composed by doubling: after k windows a row holds the map of its last 2 ** k rows, so a key of n rows takes log2(n)
-    windows over one sort and no replay. The first row's map is constant, so the whole is.
+    Maps are composed by doubling: after k windows a row holds the map of its last 2 ** k rows, so a key of n rows takes
+    log2(n) windows over one sort, and nothing is replayed row by row.
     """
-    far, near, first = LOD_FAR_M, LOD_NEAR_M, LOD_FIRST_M
-    w = Window.partitionBy(key).orderBy(order)
-    start = F.when(value > first[0], 0).when(value > first[1], 1).otherwise(2)
-    after = F.array(
-        F.when(value < far[0], 1).otherwise(0), F.when(value > far[1], 0).when(value < near[0], 2).otherwise(1), F.when(value > near[1], 1).otherwise(2)
-    )
-    x = rows.withColumn("_map", F.when(F.row_number().over(w) == 1, F.array(start, start, start)).otherwise(after))
+    w = Window.partitionBy(key).orderBy(*order)
+    x = rows.withColumn("_map", step)
     longest, span = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0, 1
     while span < longest:
         x = x.withColumn("_before", F.lag("_map", span).over(w))
         x = x.withColumn("_map", F.when(F.col("_before").isNull(), F.col("_map")).otherwise(F.transform("_before", lambda i: F.get(F.col("_map"), i)))).drop("_before")
         span *= 2
-    return x.withColumn("lod", F.col("_map")[0]).drop("_map")
+    return x.withColumn("state", F.col("_map")[initial]).drop("_map")
+
+
+def three_bands(rows: DataFrame, key: str, order: str, value: Column) -> DataFrame:
+    """Add ``lod``: 0 far, 1 middle, 2 near, with different limits for coming and going; a key's first row goes by plain limits."""
+    far, near, first = LOD_FAR_M, LOD_NEAR_M, LOD_FIRST_M
+    start = F.when(value > first[0], 0).when(value > first[1], 1).otherwise(2)
+    after = F.array(
+        F.when(value < far[0], 1).otherwise(0), F.when(value > far[1], 0).when(value < near[0], 2).otherwise(1), F.when(value > near[1], 1).otherwise(2)
+    )
+    opening = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
+    return replayed(rows, key, [order], F.when(opening, F.array(start, start, start)).otherwise(after)).withColumnRenamed("state", "lod")
 
 
 def transitions(rows: DataFrame, tick: str, order: str, distance: Column, detailed: Column, near: float, far: float, most: int) -> DataFrame:
@@ -138,30 +142,25 @@ def greedy_dispatch(incidents: DataFrame, units: DataFrame, zone: str = "zone")
     return incidents.select(zone, "incident").join(held.select(zone, "incident", "unit", F.col("d").alias("distance_m")), [zone, "incident"], "left").select(zone, "incident", "unit", "distance_m")
 
 
+#: The states of a unit, in the order of their numbers.
+STATES = ("patrol", "observe", "stop", "pursuit")
+
+
 def offence_steps(obs: DataFrame, key: str, handoff_s: float = 6.0) -> DataFrame:
-    """Add ``state`` after each row (patrol, observe, stop, pursuit) from columns t, current, offence and complied.
+    """(event_id, key, state) after each row (patrol, observe, stop, pursuit) from columns t, current, offence and complied.
 
-    A row that sees an offence starts a stop attempt; later time without one runs towards the handoff to a pursuit.
+    A row that sees an offence starts a stop attempt; later time without one runs towards the handoff to a pursuit. The
+    attempt's start is the last offence seen before, whatever the state, so each row's map of states is known beforehand.
     """
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        state, since, out = "patrol", 0.0, []
-        for r in batch.sort_values(["t", "event_id"]).itertuples():
-            if state == "stop":
-                if r.complied:
-                    state = "observe"
-                elif r.t - since >= handoff_s:
-                    state = "pursuit"
-            if not r.current:
-                state = "patrol" if state == "observe" else state
-            else:
-                state = "observe" if state == "patrol" else state
-                if r.offence:
-                    state, since = "stop", r.t
-            out.append((r.event_id, getattr(r, key), state))
-        return pd.DataFrame(out, columns=["event_id", key, "state"])
-
-    return obs.groupBy(key).applyInPandas(run, f"event_id long, {key} long, state string")
+    w = Window.partitionBy(key).orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    x = obs.withColumn("_since", F.coalesce(F.last(F.when(F.col("current") & F.col("offence"), F.col("t")), ignorenulls=True).over(w), F.lit(0.0)))
+    patrol, observe, stop, pursuit = range(4)
+    stopped = F.when(F.col("complied"), observe).when(F.col("t") - F.col("_since") >= handoff_s, pursuit).otherwise(stop)
+    seen = lambda s: F.when(F.col("offence"), stop).when(s == patrol, observe).otherwise(s)
+    unseen = lambda s: F.when(s == observe, patrol).otherwise(s)
+    step = F.array(*[F.when(F.col("current"), seen(s)).otherwise(unseen(s)) for s in (F.lit(patrol), F.lit(observe), stopped, F.lit(pursuit))])
+    x = replayed(x, key, ["t", "event_id"], step)
+    return x.select("event_id", key, F.element_at(F.array(*[F.lit(s) for s in STATES]), F.col("state") + 1).alias("state"))
 
 
 def search_radius(age_s: Column) -> Column:

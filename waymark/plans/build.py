@@ -33,13 +33,13 @@ def g30_build_plan(spark: SparkSession, d: str) -> DataFrame:
     part, line, supp = (t.table(spark, d, n) for n in ("part", "lineitem", "supplier"))
     targets = part.select(F.col("p_partkey").alias("target"), (F.col("p_partkey") % 10 != 0).alias("requested"), F.col("p_brand").alias("builder"))
     routes = supp.select(F.col("s_suppkey").alias("route"), F.sha2("s_name", 256).alias("sha256"), (F.col("s_suppkey") % 3).alias("version"), (F.col("s_suppkey") % 40 != 7).alias("complete"))
-    needs = line.where("l_linenumber = 1").select(F.col("l_partkey").alias("target"), F.col("l_suppkey").alias("route")).distinct()
+    needs = line.select(F.col("l_partkey").alias("target"), F.col("l_suppkey").alias("route")).distinct()
     fresh = plan(targets, routes, needs, spark.createDataFrame([], "target long, fingerprint string, present boolean"))
     old = fresh.select("target", F.when(F.col("target") % 4 == 1, F.lit("old")).otherwise(F.col("fingerprint")).alias("fingerprint"), (F.col("target") % 7 != 3).alias("present")).where("fingerprint IS NOT NULL")
     return plan(targets, routes, needs, old)
 
 
-G30 = """WITH need AS (SELECT DISTINCT l_partkey AS target, l_suppkey AS route FROM lineitem WHERE l_linenumber = 1),
+G30 = """WITH need AS (SELECT DISTINCT l_partkey AS target, l_suppkey AS route FROM lineitem),
 dep AS (SELECT target, string_agg(s_suppkey || '|' || (s_suppkey % 3) || '|' || sha256(s_name), chr(10) ORDER BY s_suppkey || '|' || (s_suppkey % 3) || '|' || sha256(s_name)) AS deps, bool_and(s_suppkey % 40 <> 7) AS ok
   FROM need JOIN supplier ON s_suppkey = route GROUP BY target),
 p AS (SELECT p_partkey AS target, p_partkey % 10 <> 0 AS requested, CASE WHEN coalesce(ok, true) THEN sha256(concat_ws(chr(10), CAST(p_partkey AS VARCHAR), p_brand, deps)) END AS fp FROM part LEFT JOIN dep ON target = p_partkey)
