@@ -48,9 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written and read again."""
+    """All stages over ``documents``; each stage's result is written and read again, and goes once the next one's is written."""
     scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if last:
+            scratch.drop(last)
+        last = name
     return docs

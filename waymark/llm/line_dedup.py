@@ -7,12 +7,16 @@ that share their first n lines are an interval of the suffix array with a longes
 overlapping ranks name it. Lines that occur once can be in no repeated run, so only islands of repeated lines are ranked.
 
 A line goes if it lies in a run of ``min_words`` words or more that also begins earlier in the order. Every such run is
-covered by the shortest runs with that many words that begin or end at each of its lines, so those are looked up: the
-first suffix of each interval stays, and the run goes from every later one. Doubling ends at the longest of those runs.
+covered by the shortest runs with that many words that begin or end at each of its lines, so the array is only needed to
+the depth of those: doubling ends at the longest of them. In the sorted suffixes, those whose longest common prefix with
+their neighbours reaches n are one interval, and they are just the suffixes that agree in two overlapping ranks; so an
+interval is a group of (n, rank, rank), of any size, without a sort in one task. The first suffix of an interval stays,
+and the run goes from every later one. Adjacent lines that go are the maximal repeated runs (``repeated_runs``).
 
 A null text counts as empty; it has one empty line. Runs of fewer words, such as single short lines, are never the
 reason to delete. Rows that repeat both id and text are treated alike, as one document. A run that overlaps its own
-earlier copy loses the lines of the later one. An empty table gives an empty result. Other columns are not read.
+earlier copy loses the lines of the later one. An empty table gives an empty result. Other columns are not read, whatever
+their names. A long text is split once and rebuilt from slices, in one task; its lines are spread over tasks.
 """
 
 from __future__ import annotations
@@ -130,6 +134,17 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return runs.select(F.col("doc.id").alias("doc_id"), F.col("doc.hash").alias("text_hash"), "first_line", "lines")
 
 
+def _without(parts: Column, gone: Column) -> Column:
+    """The lines but for the sorted numbers in ``gone``. A lambda names the split text, so it is split once and sliced at the gaps."""
+
+    def cut(lines: Column) -> Column:
+        before, after = F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(lines)))
+        gaps = F.filter(F.zip_with(before, after, lambda a, b: F.struct((a + 2).alias("first"), (b - a - 1).alias("n"))), lambda g: g["n"] > 0)
+        return F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["first"], g["n"]))), "\n")
+
+    return F.get(F.transform(F.array(parts), cut), F.lit(0))
+
+
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
     """``docs`` with the later copies deleted from its texts; ``n_chars``, where there is such a column, follows the text.
 
@@ -141,9 +156,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = docs.withColumn("_key", key)
     j = keyed.join(gone, keyed["_key"].eqNullSafe(gone["_doc"]), "left")
     parts = lines_of(text_or_empty(text_col))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    cut = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(cut)
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(_without(parts, F.col("_gone")))
     j = j.withColumn("_text", text)
     counts = [F.size(parts).cast("long").alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_deleted")]
     chars = lambda c: F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.length("_text")).cast(docs.schema[c].dataType)
@@ -156,11 +169,10 @@ WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS doc, doc_id
 l0 AS (SELECT doc, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
 l AS (SELECT *, CAST(len(regexp_extract_all(line, '[^{SPACE}]+')) AS BIGINT) AS w, count(*) OVER (PARTITION BY line) AS n FROM l0),
 c AS (SELECT *, sum(w) OVER (PARTITION BY doc ORDER BY pos) AS c, sum(w) OVER (PARTITION BY doc ORDER BY pos) - w AS b FROM l),
-f AS (SELECT s.doc, s.pos AS lo, min(e.pos) AS hi FROM c s JOIN c e ON s.doc = e.doc AND e.pos >= s.pos AND e.c >= s.b + {MIN_WORDS}
-  AND e.pos <= s.pos + 200 WHERE s.n > 1 GROUP BY ALL),
-g AS (SELECT e.doc, max(s.pos) AS lo, e.pos AS hi FROM c s JOIN c e ON s.doc = e.doc AND s.pos <= e.pos AND s.b <= e.c - {MIN_WORDS}
-  AND s.pos >= e.pos - 200 WHERE e.n > 1 GROUP BY ALL),
-r AS (SELECT x.*, array_to_string(d.ls[lo:hi], chr(10)) AS run FROM (SELECT * FROM f UNION SELECT * FROM g) x JOIN d USING (doc)),
+e AS (SELECT *, sum(w) OVER (PARTITION BY doc) AS total, max(pos) OVER (PARTITION BY doc) AS last FROM c),
+f AS (SELECT doc, n, pos AS lo, coalesce(min(pos) OVER (PARTITION BY doc ORDER BY b RANGE BETWEEN {MIN_WORDS} FOLLOWING AND UNBOUNDED FOLLOWING) - 1, CASE WHEN total - b >= {MIN_WORDS} THEN last END) AS hi FROM e),
+g AS (SELECT doc, n, coalesce(max(pos) OVER (PARTITION BY doc ORDER BY c RANGE BETWEEN UNBOUNDED PRECEDING AND {MIN_WORDS} PRECEDING) + 1, CASE WHEN c >= {MIN_WORDS} THEN 1 END) AS lo, pos AS hi FROM e),
+r AS (SELECT x.*, array_to_string(d.ls[lo:hi], chr(10)) AS run FROM (SELECT doc, lo, hi FROM f WHERE n > 1 UNION SELECT doc, lo, hi FROM g WHERE n > 1) x JOIN d USING (doc) WHERE lo <= hi),
 k AS (SELECT *, (doc, lo) > min((doc, lo)) OVER (PARTITION BY run) AS later FROM r),
 gone AS (SELECT DISTINCT doc, unnest(range(lo, hi + 1)) AS pos FROM k WHERE later),
 stay AS (SELECT l0.doc, string_agg(line, chr(10) ORDER BY l0.pos) AS text FROM l0 ANTI JOIN gone ON l0.doc = gone.doc AND l0.pos = gone.pos GROUP BY ALL),

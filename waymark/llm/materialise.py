@@ -11,7 +11,8 @@ Shards are written by Spark's text writer, byte for byte, to any file system tha
 their task is committed. The index (id, start, length, slot) is a Parquet table beside them.
 
 A null text counts as empty and still has its end id. Rows that repeat id and text have equal sequences, numbered one
-after the other. An empty table gives no shards and an empty index.
+after the other. An empty table gives no shards and an empty index. A long text is tokenised whole, in one task, and handed
+on in sequences. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, global_rank, shuffles_cleared, text_or_empty
-from .packing import END_ID, tokenizer_path
+from .packing import END_ID, HELD_IDS, tokenizer_path
 from .tokens import encode_in_parts, id_bytes
 
 LENGTH, SHARD_SEQUENCES, KEY, ROUNDS, PASSES = 512, 16_384, 20_240_601, 8, 2
+#: Sequences that one task orders at most, on average.
+RANKED_ROWS = 1 << 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -63,13 +66,21 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = EN
     """doc_id, start, length and ids (not padded), in the width of ``id_bytes``."""
     width = id_bytes(path)
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids"]).astype({"doc_id": "Int64"})
+
     def cut(batches):
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for doc, ids in zip(b["doc_id"], encode_in_parts(path, b["text"].tolist()), strict=True):
                 ids = np.append(ids, end_id).astype(f"<u{width}")
                 rows += [(doc, start, len(ids[start : start + length]), ids[start : start + length].tobytes()) for start in range(0, len(ids), length)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids"]).astype({"doc_id": "Int64"})
+                held += len(ids)
+                if held > HELD_IDS:
+                    yield frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield frame(rows)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInPandas(cut, "doc_id long, start long, length long, ids binary")
@@ -99,7 +110,7 @@ def materialise(
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     width = id_bytes(path)
     cut = scratch.save(sequences(docs, path, length, end_id, id_col, text_col), "sequences")
-    ranked = global_rank(scratch, cut, ["doc_id", "start", F.crc32("ids"), "ids"], "ranked")
+    ranked = global_rank(scratch, cut, ["doc_id", "start", F.crc32("ids"), "ids"], "ranked", -(-cut.count() // RANKED_ROWS))
     scratch.drop("sequences")
     n = ranked.count()
     placed = scratch.save(ranked.withColumn("slot", slot_column(F.col("rank"), n, key)).drop("rank"), "placed")

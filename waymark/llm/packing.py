@@ -7,7 +7,8 @@ filled. Each placement names a length, a range of ranks, a first sequence and an
 length over the whole table, find their place by a look-up.
 
 A null text counts as empty and still has its end id. Rows that repeat an id are separate documents. An empty table gives
-an empty result.
+an empty result. A long text is tokenised whole, in one task, and handed on in pieces. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import Scratch, global_rank, text_or_empty
 from .tokens import encode_in_parts
 
 SEQUENCE, END_ID = 2048, 1
+#: Ids after which a worker hands on what it has cut.
+HELD_IDS = 1 << 21
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -37,15 +40,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def token_pieces(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens and (``with_ids``) ids, little-endian unsigned 32-bit."""
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+
     def cut(batches):
         for b in batches:
-            texts, rows = b["text"].tolist(), []
-            for doc, ids in zip(b["doc_id"], encode_in_parts(path, texts), strict=True):
+            rows, held = [], 0
+            for doc, ids in zip(b["doc_id"], encode_in_parts(path, b["text"].tolist()), strict=True):
                 ids = np.append(ids, end_id).astype("<u4")
                 for start in range(0, len(ids), length):
                     piece = ids[start : start + length].tobytes()
                     rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), len(ids), piece)[: 6 if with_ids else 5])
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                held += len(ids)
+                if held > HELD_IDS:  # what a worker holds doesn't follow the lengths of texts
+                    yield frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield frame(rows)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids

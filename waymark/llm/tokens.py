@@ -1,4 +1,4 @@
-"""Token ids of whole texts with a public tokenizer file, with a bounded cache of words in each Python worker."""
+"""Token ids of whole texts with a public tokenizer file, with a cache of words in each Python worker, bounded in bytes."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from array import array
 
 import numpy as np
 
-#: Words that a worker keeps at most; further words are tokenised each time.
-CACHE_WORDS = 400_000
+#: Bytes that a worker's cache takes at most, and what a word takes beside its characters and ids; further words are tokenised each time.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 190
 #: Slots, less one, in which it notes that a word has come.
 _MET = (1 << 23) - 1
 #: Texts in which white space surely separates tokens and lower case is simple: plain and accented Latin.
@@ -45,6 +45,7 @@ class WordTokenizer:
             self.ends[i] = bool(end) and token.endswith(end)
         self.met = bytearray(_MET + 1)
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,10 +80,13 @@ class WordTokenizer:
         known.update(fresh)
         for i, words in split:
             out[i] = b"".join(map(known.__getitem__, words))
-        full, met = len(known) > CACHE_WORDS, self.met
-        for w in fresh:  # a word is kept once it has come in a second batch, as most come in one only
+        met = self.met
+        for w, ids in fresh.items():  # a word is kept once it has come in a second batch, as most come in one only
             at = hash(w) & _MET
-            if full or not met[at]:
+            size = ENTRY_BYTES + len(w) + len(ids)
+            if met[at] and self.held + size <= CACHE_BYTES:
+                self.held += size
+            else:
                 del known[w]
             met[at] = 1
         return [np.frombuffer(b, self.dtype) for b in out]
