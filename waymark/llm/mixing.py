@@ -6,8 +6,12 @@ in blocks of ``block_words`` words. Highest quotients deal the blocks to sources
 shards, so that each shard has an integer quota. In a shard the documents stand in a seeded order, are cut into blocks,
 and a seeded run of blocks (cyclic) is taken; a quota above the shard's number of blocks takes all blocks again first.
 
-A null text has no words. A document without words is never taken. Rows that are alike are separate documents. An empty
-table gives an empty result. Only ``id_col``, ``source_col`` and ``text_col`` are read; other columns are carried along.
+A null text has no words. A document without words is never taken. Rows that are alike are separate documents; rows that
+share an id are ordered by size and a hash of the text. An empty table gives an empty result. Only ``id_col``,
+``source_col`` and ``text_col`` are read; other columns are carried along, whatever their names. A long text is measured
+whole, and a part of it is cut out in one task.
+
+Sources, one row each, are ranked in one task; shards and documents are not.
 """
 
 from __future__ import annotations
@@ -16,34 +20,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, Scratch, seeded, text_or_empty, word_count
+from .common import SPACE, Scratch, global_rank, seeded, text_or_empty, word_count
 
 WEIGHTS, SHARE, CAP, BLOCK_WORDS, SHARD_WORDS, SEED = (3, 1, 2), 1.5, 2, 64, 1 << 18, "mix"
+#: Divisors that a round of the apportionment counts at, and rounds.
+POINTS, ROUNDS = 128, 3
+#: Groups whose totals are broadcast at most; more are joined by shuffling.
+BROADCAST_GROUPS = 100_000
 
 
-def sainte_lague(parties: DataFrame, group: list[str], key: Column, votes: str, total: str, limit: str) -> DataFrame:
+def sainte_lague(scratch: Scratch, parties: DataFrame, group: list[str], key: Column, votes: str, total: str, limit: str, name: str) -> DataFrame:
     """Add ``seats``: the ``total`` seats of each group go to the highest quotients votes / (2 k + 1), k < limit.
 
-    Every party first gets a number of seats that it holds in any case, a margin below its ideal share; only the
-    quotients within the margin are then compared. With m parties the divisor that fills all seats differs from the
-    ideal one by m / 2 seats in all, so a party's seats differ by its share of m, plus rounding.
+    How many quotients reach a divisor is a sum over parties, so each round counts them at ``POINTS`` divisors at once and
+    keeps the gap that holds the last seat. Then only the few quotients inside the gap are ordered, by range partitions
+    over all groups. Sums go by partial aggregates, so a group of any size is split over tasks. Parties without votes get
+    what others can't take.
     """
-    w = Window.partitionBy(*group)
-    share = F.when(F.sum(votes).over(w) > 0, F.col(votes) / F.sum(votes).over(w)).otherwise(0.0)
-    sized = parties.withColumn("_share", share).withColumn("_m", F.count("*").over(w))
-    sized = sized.withColumn("_near", F.floor(F.col("_share") * F.col(total)))
-    sized = sized.withColumn("_margin", 2 + F.ceil(F.col("_share") * F.col("_m")))
-    sized = sized.withColumn("_low", F.least(F.greatest(F.lit(0).cast("long"), F.col("_near") - F.col("_margin")), F.col(limit)))
-    sized = sized.withColumn("_high", F.least(F.col("_near") + F.col("_margin") + 1, F.col(limit)))
-    sized = sized.withColumn("_left", F.col(total) - F.sum("_low").over(w)).withColumn("_key", key)
+    keyed = parties.withColumn("_g", F.struct(*group) if group else F.struct(F.lit(0).alias("all"))).withColumn("_key", key)
+    keyed = scratch.save(keyed.withColumn("_id", F.monotonically_increasing_id()), f"{name}_parties")
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:  # null is a group as any other
+        right = right.withColumnRenamed("_g", "_r")
+        return left.join(F.broadcast(right) if groups <= BROADCAST_GROUPS else right, left["_g"].eqNullSafe(right["_r"])).drop("_r")
+
+    def reached(divisor: Column) -> Column:
+        return F.least(F.floor((F.col(votes) / divisor + 1) / 2), F.col(limit)).cast("long")
+
+    some = F.col(votes) > 0
+    gaps = keyed.groupBy("_g").agg(
+        (F.min(F.when(some, F.col(votes))) / (2 * F.max(limit) + 3)).alias("_lo"), (2.0 * F.max(votes)).alias("_hi"), F.first(total).alias("_seats"), F.coalesce(F.sum(F.when(some, F.col(limit))), F.lit(0)).alias("_most")
+    )
+    gaps, groups = scratch.save_counted(gaps, f"{name}_gaps0")
+    for k in range(1, ROUNDS + 1):
+        at = lambda j: F.col("_lo") * F.pow(F.col("_hi") / F.col("_lo"), j / POINTS)
+        points = F.transform(F.sequence(F.lit(0), F.lit(POINTS)), at)
+        tried = joined(keyed.where(some), gaps.withColumn("_points", points)).select("_g", F.posexplode(F.transform("_points", reached)).alias("_j", "_n"))
+        counted = joined(tried.groupBy("_g", "_j").agg(F.sum("_n").alias("_n")), gaps).withColumn("_d", at(F.col("_j")))
+        over = F.col("_n") > F.col("_seats")
+        gap = counted.groupBy("_g").agg(F.coalesce(F.max(F.when(over, F.col("_d"))), F.min("_d")).alias("_lo"), F.coalesce(F.min(F.when(~over, F.col("_d"))), F.max("_d")).alias("_hi"), F.first("_seats").alias("_seats"), F.first("_most").alias("_most"))
+        gaps = scratch.save(gap, f"{name}_gaps{k}")
+        scratch.drop(f"{name}_gaps{k - 1}")
+    # A hair outside the gap, so that rounding leaves no quotient between what is given and what is compared.
+    bounds = joined(keyed, gaps).withColumn("_low", F.when(some, reached(F.col("_hi") * (1 + 1e-9))).otherwise(0))
+    bounds = bounds.withColumn("_high", F.when(some, reached(F.col("_lo") * (1 - 1e-9))).otherwise(F.least(F.col(limit), F.greatest(F.lit(0), F.col("_seats") - F.col("_most")))))
+    bounds = scratch.save(bounds.select("_g", "_id", "_key", votes, "_low", "_high", "_seats"), f"{name}_bounds")
     few = F.when(F.col("_high") > F.col("_low"), F.sequence("_low", F.col("_high") - 1))
-    tried = sized.withColumn("_k", F.explode_outer(few)).withColumn("_quotient", F.col(votes) / (2 * F.col("_k") + 1))
-    place = Window.partitionBy(*group).orderBy(F.col("_quotient").desc_nulls_last(), F.col("_key").asc_nulls_last())
-    won = F.when(F.col("_k").isNotNull() & (F.row_number().over(place) <= F.col("_left")), 1).otherwise(0)
-    tried = tried.withColumn("_won", won)
-    keep = [c for c in parties.columns]
-    out = tried.groupBy(*keep, "_low").agg(F.sum("_won").alias("_more"))
-    return out.withColumn("seats", (F.col("_low") + F.col("_more")).cast("long")).drop("_low", "_more")
+    close = bounds.select("_g", "_id", "_key", votes, F.explode(few).alias("_k")).select("_g", "_id", "_key", (F.col(votes) / (2 * F.col("_k") + 1)).alias("_quotient"))
+    ranked = global_rank(scratch, close, ["_g", F.col("_quotient").desc_nulls_last(), F.col("_key").asc_nulls_last()], f"{name}_quotients")
+    left = bounds.groupBy("_g").agg((F.first("_seats") - F.sum("_low")).alias("_left"))
+    ends = joined(ranked.groupBy("_g").agg(F.min("rank").alias("_first")), left).select("_g", (F.col("_first") + F.col("_left")).alias("_end"))
+    won = joined(ranked, ends).where(F.col("rank") < F.col("_end")).groupBy("_id").agg(F.count("*").alias("_more"))
+    given = bounds.select("_id", "_low").join(won, "_id", "left").select("_id", (F.col("_low") + F.coalesce("_more", F.lit(0))).cast("long").alias("seats"))
+    return keyed.join(given, "_id", "left").select(*parties.columns, F.coalesce("seats", F.lit(0)).alias("seats"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -69,13 +98,13 @@ def _quotas(scratch: Scratch, measured: DataFrame, weights, share, cap, block_wo
     s = source_targets(measured, weights, share, cap)
     s = s.withColumn("_total", F.floor(F.sum("target").over(Window.partitionBy()) / block_words + 0.5))
     s = s.withColumn("_limit", F.floor(cap * blocks(F.col("source_size"))))
-    s = sainte_lague(s, [], F.col("source"), "target", "_total", "_limit")
+    s = sainte_lague(scratch, s, [], F.col("source"), "target", "_total", "_limit", "by_source")
     s = s.withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_words)))
     s = scratch.save(s.withColumnRenamed("seats", "source_blocks").drop("_total", "_limit"), "sources")
     shards = with_source(measured, s).withColumn("shard", _shard(seed))
     shards = shards.groupBy("source", "shard", "source_size", "target", "shards", "source_blocks").agg(F.sum("size").alias("words"))
     shards = shards.withColumn("blocks", blocks(F.col("words"))).withColumn("_limit", F.floor(cap * F.col("blocks")))
-    quotas = sainte_lague(shards, ["source"], F.col("shard"), "words", "source_blocks", "_limit").withColumnRenamed("seats", "quota")
+    quotas = sainte_lague(scratch, shards, ["source"], F.col("shard"), "words", "source_blocks", "_limit", "by_shard").withColumnRenamed("seats", "quota")
     start = F.when(F.col("blocks") > 0, F.pmod(seeded(seed, "start", F.col("source"), F.col("shard")), F.col("blocks")))
     return scratch.save(quotas.withColumn("start", F.coalesce(start, F.lit(0))).drop("_limit", "source_blocks"), "quotas")
 
@@ -101,14 +130,14 @@ def plan_mix(
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_or_empty(text_col)).alias("size"),
-        *([F.struct(*carry).alias("row")] if carry else []),
+        F.xxhash64(text_or_empty(text_col)).alias("hash"), *([F.struct(*carry).alias("row")] if carry else []),
     )
-    measured = scratch.save(rows.select("doc_id", "source", "size"), "sizes")
+    measured = scratch.save(rows.select("doc_id", "source", "size", "hash"), "sizes")
     q = _quotas(scratch, measured, weights, share, cap, block_words, shard_words, seed)
     placed = with_source(rows if carry else measured, q.select("source", "shards").distinct()).withColumn("shard", _shard(seed))
     right = q.drop("shards").withColumnsRenamed({"source": "_source", "shard": "_shard"})
     placed = placed.join(right, placed.source.eqNullSafe(right._source) & (placed.shard == right._shard)).drop("_source", "_shard")
-    w = Window.partitionBy("source", "shard").orderBy(seeded(seed, "order", F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("source", "shard").orderBy(seeded(seed, "order", F.col("doc_id")), "doc_id", "size", "hash").rowsBetween(Window.unboundedPreceding, -1)
     p = placed.withColumn("_a", F.coalesce(F.sum("size").over(w), F.lit(0))).withColumn("_b", F.col("_a") + F.col("size"))
     some = F.col("blocks") > 0
     p = p.withColumn("passes", F.when(some, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).cast("long"))
