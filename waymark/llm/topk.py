@@ -7,10 +7,17 @@ rows lie above its lower end. The last pass keeps rows at or above that threshol
 Queries go out in groups of at most ``group_queries`` vectors, broadcast to scans of the candidates in Arrow batches;
 a task emits, per query, only bins at or above the one that holds its own k-th value, so little is shuffled.
 
+Scores are exact. Where the norms say that no sum can reach 2**53, floating-point products are, and they are used; beyond
+that the same products are taken in 64-bit integers. A score beyond +-2**62 counts as +-2**62, and such scores tie.
+
 Vectors that are null, empty, or hold null or non-finite components take no part. A query and a candidate of different
-lengths are not compared. A row is never its own query's result, which is told by its id; a null id takes no part as
-query or candidate. Of query rows that repeat an id the smallest vector counts. A query with fewer than k candidates
-returns all of them. Components beyond +-2**20 after scaling are rejected, since their products leave a long's exact range.
+lengths are not compared. Each row is a query or a candidate of its own: only the very row is no candidate of its query,
+another with the same id is one, and query rows that repeat an id have a result each. A null id takes no part. Rows equal
+in score and id are ranked arbitrarily, which shows nowhere. A query with fewer than k candidates returns all of them. An
+empty table gives an empty result. Other columns are not read, whatever their names.
+
+A group of queries scans the candidates once for each round of refinement and once for the results, so N queries take
+about 3 N / ``group_queries`` scans, one group after the other.
 """
 
 from __future__ import annotations
@@ -26,20 +33,31 @@ from pyspark.sql.window import Window
 from .common import Scratch
 
 BINS, ENOUGH, BLOCK = 1024, 8, 512
+#: Below EXACT, sums of products are exact in a double; scores stop at LIMIT.
+EXACT, LIMIT = 1 << 53, 1 << 62
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): integer vectors floor(scale * x), of rows that take part."""
+    """(id, v): vectors of whole numbers floor(scale * x), as doubles, of rows that take part."""
     x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND size(v) > 0")
     x = x.withColumn("v", F.transform("v", lambda c: c.cast("double")))
     x = x.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
-    limit = float(1 << 20)
-    v = F.transform("v", lambda c: F.when(F.abs(F.floor(c * scale)) <= limit, F.floor(c * scale)).otherwise(F.raise_error(F.lit("component out of range"))))
-    return x.select("id", v.alias("v"))
+    # A component whose square leaves a long is held at a size that does so too, as the floor of a double is a long.
+    held = lambda c: F.least(F.greatest(c * scale, F.lit(-float(LIMIT))), F.lit(float(LIMIT)))
+    return x.select("id", F.transform("v", lambda c: F.floor(held(c)).cast("double")).alias("v"))
+
+
+def _products(cand: np.ndarray, queries: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products as 64-bit integers, a row a query. ``exact``: none reaches 2**53."""
+    sums = (cand @ queries).T
+    if exact:
+        return sums.astype("int64")
+    whole = (cand.astype("int64") @ queries.astype("int64")).T  # modulo 2**64, so right wherever the sum is in range
+    return np.where(np.abs(sums) < LIMIT, whole, np.sign(sums).astype("int64") * LIMIT)
 
 
-def _scorer(ids: np.ndarray, vectors: list[np.ndarray]):
-    """Blocks of queries by vector length; ``run`` yields (query positions, candidate ids, scores with own rows masked)."""
+def _scorer(rows: np.ndarray, vectors: list[np.ndarray], exact: bool):
+    """Blocks of queries by vector length; ``run`` yields (query positions, candidate ids, scores, whether it's another row)."""
     lengths = np.array([len(v) for v in vectors])
     blocks = []
     for n in np.unique(lengths):
@@ -51,11 +69,11 @@ def _scorer(ids: np.ndarray, vectors: list[np.ndarray]):
     def run(batch: pd.DataFrame):
         size = batch["v"].map(len).to_numpy()
         for n in np.unique(size):
-            rows = batch[size == n]
-            cand, c = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()).astype("float64")
+            some = batch[size == n]
+            cand, c = some["id"].to_numpy(), np.stack(some["v"].to_numpy()).astype("float64")
             for length, part, q in blocks:
-                if length == n:  # sums of fewer than 2**13 products below 2**40 are exact in a double
-                    yield part, cand, (c @ q).T, ids[part][:, None] != cand[None, :]
+                if length == n:
+                    yield part, cand, _products(c, q, exact), rows[part][:, None] != some["row"].to_numpy()[None, :]
 
     return run
 
@@ -65,9 +83,10 @@ def _histograms(low: np.ndarray, width: np.ndarray, run, k: int, batches: Iterat
     counts = np.zeros((len(low), bins + 1), dtype="int64")
     for batch in batches:
         for part, _, scores, other in run(batch):
-            at = np.floor((scores - low[part][:, None]) / width[part][:, None])
-            ok = other & (at >= 0)
-            flat = (np.arange(len(part))[:, None] * (bins + 1) + np.minimum(at, bins))[ok].astype("int64")
+            base = low[part][:, None]
+            ok = other & (scores >= base)
+            at = np.minimum(np.where(ok, (scores - base).astype("uint64") // width[part][:, None].astype("uint64"), 0), bins)
+            flat = (np.arange(len(part))[:, None] * (bins + 1) + at.astype("int64"))[ok]
             counts[part] += np.bincount(flat, minlength=len(part) * (bins + 1)).reshape(len(part), bins + 1)
     above = counts[:, ::-1].cumsum(axis=1)[:, ::-1] - counts
     q, b = np.nonzero((counts > 0) & (above < k))
@@ -80,7 +99,7 @@ def _survivors(low: np.ndarray, run, k: int, batches: Iterator[pd.DataFrame]) ->
     for batch in batches:
         for part, cand, scores, other in run(batch):
             r, c = np.nonzero(other & (scores >= low[part][:, None]))
-            best.append(pd.DataFrame({"q": part[r], "vec_id": cand[c], "score": scores[r, c].astype("int64")}))
+            best.append(pd.DataFrame({"q": part[r], "vec_id": cand[c], "score": scores[r, c]}))
         if sum(map(len, best)) > 200_000:
             best = [_first(pd.concat(best), k)]
     yield _first(pd.concat(best), k) if best else pd.DataFrame({"q": [], "vec_id": [], "score": []}).astype("int64")
@@ -95,16 +114,16 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best candidates among all other rows."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
-    table = scratch.save(usable(vectors, id_col, vector_col, scale), "vectors")
-    asked = table.where(is_query(F.col("id")) if callable(is_query) else is_query).groupBy("id").agg(F.min("v").alias("v"))
+    table = scratch.save(usable(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asked = table.where(is_query(F.col("id")) if callable(is_query) else is_query)
     norm = table.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))).first()[0] or 0.0
     asked = scratch.save(asked, "queries")
     groups = max(1, -(-asked.count() // group_queries))
-    # Groups of bounded size: hashed ids spread evenly, so twice the mean is never reached by a group of thousands.
-    in_group = F.pmod(F.xxhash64("id"), F.lit(groups))
+    # Groups of bounded size: hashed row numbers spread evenly, so twice the mean is never reached by a group of thousands.
+    in_group = F.pmod(F.xxhash64("row"), F.lit(groups))
     parts = []
     for g in range(groups):
-        rows = asked.where(in_group == g).orderBy("id").collect()  # at most about group_queries vectors
+        rows = asked.where(in_group == g).orderBy("id", "row").collect()  # at most about group_queries vectors
         if rows:
             parts.append(_group(spark, scratch, table, rows, norm, k, g))
     if not parts:
@@ -116,10 +135,12 @@ def top_k(
 
 
 def _group(spark, scratch: Scratch, table: DataFrame, rows: list, norm: float, k: int, g: int) -> DataFrame:
-    ids, vectors = np.array([r["id"] for r in rows]), [np.array(r["v"], dtype="int64") for r in rows]
-    sent = spark.sparkContext.broadcast((ids, vectors))
-    bound = np.array([np.ceil(np.sqrt((v.astype("float64") ** 2).sum()) * norm) + 1 for v in vectors])
-    low, width = -bound, np.ceil((2 * bound + 1) / BINS)
+    ids, vectors = np.array([r["id"] for r in rows]), [np.array(r["v"]) for r in rows]
+    norms = [float(np.sqrt((v**2).sum())) * norm for v in vectors]
+    exact = max(norms) < EXACT / 2
+    sent = spark.sparkContext.broadcast((np.array([r["row"] for r in rows]), vectors, exact))
+    bound = [min(LIMIT, int(x * (1 + 1e-9)) + 1) for x in norms]
+    low, width = np.array([-b for b in bound], "int64"), np.array([-(-(2 * b + 1) // BINS) for b in bound], "int64")
     open_ = np.ones(len(rows), dtype=bool)
     while open_.any():
 
@@ -136,7 +157,7 @@ def _group(spark, scratch: Scratch, table: DataFrame, rows: list, norm: float, k
             if open_[r["q"]] and r["bin"] < BINS:
                 low[r["q"]] += r["bin"] * width[r["q"]]
                 open_[r["q"]] = k <= r["reach"] and r["reach"] > ENOUGH * k and width[r["q"]] > 1
-                width[r["q"]] = np.ceil(width[r["q"]] / BINS) if open_[r["q"]] else width[r["q"]]
+                width[r["q"]] = -(-int(width[r["q"]]) // BINS) if open_[r["q"]] else width[r["q"]]
             else:
                 open_[r["q"]] = False
         open_ &= seen
