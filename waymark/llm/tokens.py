@@ -10,7 +10,7 @@ from array import array
 import numpy as np
 
 #: Bytes that a worker's cache takes at most, and what a word takes beside its characters and ids; further words are tokenised each time.
-CACHE_BYTES, ENTRY_BYTES = 48 << 20, 190
+CACHE_BYTES, ENTRY_BYTES = 84 << 20, 190
 #: Slots, less one, in which it notes that a word has come.
 _MET = (1 << 23) - 1
 #: Texts in which white space surely separates tokens and lower case is simple: plain and accented Latin.
