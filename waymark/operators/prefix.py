@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,10 +14,11 @@ from waymark.session import Scratch
 _ROW_BITS = 33
 
 
-def _dealt(scratch: Scratch, df: DataFrame, order: list[Column | str], name: str, least_parts: int) -> DataFrame:
-    """``df`` written in the given order over range partitions, with ``_p`` (the partition) and ``_i`` (the row in it)."""
+def _dealt(scratch: Scratch, df: DataFrame, order: list[Column | str], name: str, least_parts: int, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``df`` (or what ``then`` makes of it) written in the given order over range partitions, with ``_p`` (the partition) and ``_i`` (the row in it)."""
     parts = max(1, least_parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = then(dealt) if then else dealt
     table = scratch.save(dealt.withColumn("_m", F.monotonically_increasing_id()), name)
     return table.withColumn("_p", F.shiftright("_m", _ROW_BITS)).withColumn("_i", F.col("_m").bitwiseAND((1 << _ROW_BITS) - 1)).drop("_m")
 
@@ -27,13 +30,16 @@ def _offsets(scratch: Scratch, table: DataFrame, amount: Column, name: str) -> D
     return F.broadcast(scratch.save(sizes.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_o")).coalesce(1), f"{name}_offsets"))
 
 
-def global_rank(scratch: Scratch, df: DataFrame, order: list[Column | str], name: str, least_parts: int = 1) -> DataFrame:
-    """Add ``rank`` (0-based, dense over the whole table) in the given order.
+def global_rank(
+    scratch: Scratch, df: DataFrame, order: list[Column | str], name: str, least_parts: int = 1, then: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Add ``rank`` (0-based, dense over the whole table) in the given order. With ``then``, rows are sorted first, ``then``
+    makes others of them within their partitions (it mustn't shuffle), and those are ranked as they come out.
 
     Rows are range-partitioned and sorted; the per-partition counts (one row a partition) give the offsets. The order
     has to end in columns that tell rows apart, or rows that are alike share a partition and are numbered arbitrarily.
     """
-    table = _dealt(scratch, df, order, name, least_parts)
+    table = _dealt(scratch, df, order, name, least_parts, then)
     joined = table.join(_offsets(scratch, table, F.count("*"), name), "_p")
     return joined.withColumn("rank", F.col("_o") + F.col("_i")).drop("_p", "_o", "_i")
 
