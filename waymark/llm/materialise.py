@@ -1,18 +1,22 @@
 """Training-order materialisation: fixed-stride binary shards in the order of a keyed permutation.
 
 Texts become token ids with an end id and are cut into sequences of ``length`` ids; the last of a document is padded with
-zeros. Sequences are numbered by (id, start) over the whole table, and a keyed Feistel network permutes those numbers:
-its domain is the next power of four, and numbers outside the range walk on until they are inside (cycle-walking). The
-result is the sequence's slot. Shard n holds the slots from n * shard_sequences on, in order, one record of
-``stride`` bytes each: little-endian unsigned ids (16 bits where the vocabulary allows) and a closing line feed. So the
-record of any slot is at a known place, readers go through shards in sequence, and a run resumes from a slot alone.
-
-Shards are written by Spark's text writer, byte for byte, to any file system that Spark writes to, and only appear when
+zeros. Texts are dealt over range partitions by (id, hash) and cut in that order, so that the sequences are numbered by
+(id, start) over the whole table as they are written, without a shuffle of their own. A keyed Feistel network permutes
+those numbers: its domain is the next power of four, and numbers outside the range walk on until they are inside
+(cycle-walking). The result is the sequence's slot. Shard n holds the slots from n * shard_sequences on, in order, one
+record of ``stride`` bytes each: little-endian unsigned ids (16 bits where the vocabulary allows) and a closing line
+feed. So the record of any slot is at a known place, readers go through shards in sequence, and a run resumes from a slot
+alone.
+
+Shards are ranges of slots of one size, so each is a task's partition by its number, without sampling for bounds. They
+are written by Spark's text writer, byte for byte, to any file system that Spark writes to, and only appear when
 their task is committed. The index (id, start, length, slot) is a Parquet table beside them.
 
 A null text counts as empty and still has its end id. Rows that repeat id and text have equal sequences, numbered one
 after the other. An empty table gives no shards and an empty index. A long text is tokenised whole, in one task, and handed
-on in sequences. Other columns are not read, whatever their names.
+on in sequences. Other columns are not read, whatever their names. ``docs`` is read three times (sizes, bounds, texts), so
+it is best a table.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from .packing import END_ID, HELD_IDS, tokenizer_path
 from .tokens import encode_in_parts, id_bytes
 
 LENGTH, SHARD_SEQUENCES, KEY, ROUNDS, PASSES = 512, 16_384, 20_240_601, 8, 2
-#: Sequences that one task orders at most, on average.
-RANKED_ROWS = 1 << 16
+#: Bytes of text that one task orders and tokenises at most, on average.
+TASK_BYTES = 64 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -109,14 +113,18 @@ def materialise(
     """Write the shards and the index to ``folder`` (default: the shared folder, until the application ends)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     width = id_bytes(path)
-    cut = scratch.save(sequences(docs, path, length, end_id, id_col, text_col), "sequences")
-    ranked = global_rank(scratch, cut, ["doc_id", "start", F.crc32("ids"), "ids"], "ranked", -(-cut.count() // RANKED_ROWS))
-    scratch.drop("sequences")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Rows that are alike in id and text may come in any order, so their row numbers spread a large group over partitions.
+    order = ["doc_id", F.xxhash64("text"), "_row"]
+    numbered = texts.withColumn("_row", F.monotonically_increasing_id())
+    ranked = global_rank(scratch, numbered, order, "sequences", -(-size // TASK_BYTES), lambda d: sequences(d, path, length, end_id))
     n = ranked.count()
-    placed = scratch.save(ranked.withColumn("slot", slot_column(F.col("rank"), n, key)).drop("rank"), "placed")
-    scratch.drop("ranked")
-    index = scratch.save(placed.select("doc_id", "start", "length", "slot"), "index") if folder is None else placed.select("doc_id", "start", "length", "slot")
-    if folder is not None:
+    placed = ranked.withColumn("slot", slot_column(F.col("rank"), n, key)).drop("rank")
+    index = placed.select("doc_id", "start", "length", "slot")
+    if folder is None:
+        index = scratch.save(index, "index")
+    else:
         index.write.parquet(f"{folder}/index")
         index = spark.read.parquet(f"{folder}/index")
     record = F.rpad(F.col("ids"), F.lit(length * width), F.lit(b"\x00")).cast("string")
@@ -124,10 +132,10 @@ def materialise(
     tasks = max(1, -(-n // shard_sequences))
     target = f"{folder}/shards" if folder is not None else scratch.place("shards")
     for k in range(PASSES if n else 0):  # a pass shuffles every PASSES-th shard, so that less lies on disk at once
-        part = rows.where(F.col("shard") % PASSES == k).repartitionByRange(-(-tasks // PASSES), "shard").sortWithinPartitions("shard", "slot")
+        part = rows.where(F.col("shard") % PASSES == k).repartitionById(-(-tasks // PASSES), (F.col("shard") / PASSES).cast("int")).sortWithinPartitions("shard", "slot")
         with shuffles_cleared(spark):
             part.select("shard", "record").write.mode("append").partitionBy("shard").option("compression", "none").text(target)
-    scratch.drop("placed")
+    scratch.drop("sequences")
     return Shards(target, n, shard_sequences, length, width, index)
 
 
