@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, line_dedup, materialise, mixing, near_dedup, packing, quality, topk, toxicity
+from . import best_fit, chat_format, exact_dedup, lexical, line_dedup, materialise, mixing, near_dedup, packing, quality, spelling, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.query,
         "op9_exact_dedup": exact_dedup.query,
         "op10_near_dedup": near_dedup.query,
+        "op11_lexical_search": lexical.query,
+        "op12_spelling_variants": spelling.query,
+        "op13_best_fit_packing": best_fit.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op3_chat_format": chat_format.SQL, "op5_exact_topk": topk.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {
+        "op1_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op3_chat_format": chat_format.SQL, "op5_exact_topk": topk.SQL, "op9_exact_dedup": exact_dedup.SQL,
+        "op11_lexical_search": lexical.SQL, "op12_spelling_variants": spelling.SQL,
+    }
