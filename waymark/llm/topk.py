@@ -8,10 +8,12 @@ Queries go out in groups of at most ``group_queries`` vectors, broadcast to scan
 a task emits, per query, only bins at or above the one that holds its own k-th value, so little is shuffled.
 
 Scores are exact. Where the norms say that no sum can reach 2**53, floating-point products are, and they are used; beyond
-that the same products are taken in 64-bit integers. A score beyond +-2**62 counts as +-2**62, and such scores tie.
+that the same products are taken in 64-bit integers, and where a sum may leave those, in Python's. A result's score that
+is no long raises an error: at 2**63 or more as soon as it is met, as it is among the best; at -2**63 or less only if too
+few other candidates are left. So does a component whose 256-fold is no finite double, if it has a say.
 
-Vectors that are null, empty, or hold null or non-finite components take no part. A query and a candidate of different
-lengths are not compared. Each row is a query or a candidate of its own: only the very row is no candidate of its query,
+Vectors that are null or hold null or non-finite components take no part. A query and a candidate of different lengths
+are not compared; two empty vectors score 0. Each row is a query or a candidate of its own: only the very row is no candidate of its query,
 another with the same id is one, and query rows that repeat an id have a result each. A null id takes no part. Rows equal
 in score and id are ranked arbitrarily, which shows nowhere. A query with fewer than k candidates returns all of them. An
 empty table gives an empty result. Other columns are not read, whatever their names.
@@ -33,27 +35,35 @@ from pyspark.sql.window import Window
 from .common import Scratch
 
 BINS, ENOUGH, BLOCK = 1024, 8, 512
-#: Below EXACT, sums of products are exact in a double; scores stop at LIMIT.
-EXACT, LIMIT = 1 << 53, 1 << 62
+#: Below EXACT, sums of products are exact in a double; scores are longs up to LIMIT and above LOWEST, which stands for all below.
+EXACT, LIMIT, LOWEST = 1 << 53, (1 << 63) - 1, -(1 << 63) + 1
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, v): vectors of whole numbers floor(scale * x), as doubles, of rows that take part."""
-    x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND size(v) > 0")
+    x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     x = x.withColumn("v", F.transform("v", lambda c: c.cast("double")))
     x = x.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
-    # A component whose square leaves a long is held at a size that does so too, as the floor of a double is a long.
-    held = lambda c: F.least(F.greatest(c * scale, F.lit(-float(LIMIT))), F.lit(float(LIMIT)))
-    return x.select("id", F.transform("v", lambda c: F.floor(held(c)).cast("double")).alias("v"))
+    # Doubles from 2**53 on are whole numbers, which the floor, a long, might not hold.
+    whole = lambda c: F.when(F.abs(c * scale) < EXACT, F.floor(c * scale).cast("double")).otherwise(c * scale)
+    return x.select("id", F.transform("v", whole).alias("v"))
 
 
-def _products(cand: np.ndarray, queries: np.ndarray, exact: bool) -> np.ndarray:
-    """Inner products as 64-bit integers, a row a query. ``exact``: none reaches 2**53."""
-    sums = (cand @ queries).T
+def _products(cand: np.ndarray, queries: np.ndarray, exact: bool, other: np.ndarray) -> np.ndarray:
+    """Inner products as 64-bit integers, a row a query, of each ``other`` row. ``exact``: none reaches 2**53."""
     if exact:
-        return sums.astype("int64")
-    whole = (cand.astype("int64") @ queries.astype("int64")).T  # modulo 2**64, so right wherever the sum is in range
-    return np.where(np.abs(sums) < LIMIT, whole, np.sign(sums).astype("int64") * LIMIT)
+        return (cand @ queries).T.astype("int64")
+    with np.errstate(all="ignore"):
+        # What a sum's parts add up to at most; sums modulo 2**64 are right where they and the components surely fit.
+        reach = (np.abs(cand) @ np.abs(queries)).T
+        out = (cand.astype("int64") @ queries.astype("int64")).T
+        fits = (reach < 2.0**62) & (np.abs(cand).max(axis=1, initial=0) < 2.0**62) & (np.abs(queries).max(axis=0, initial=0) < 2.0**62)[:, None]
+    for q, c in zip(*np.nonzero(~fits & other), strict=True):
+        score = sum(int(a) * int(b) for a, b in zip(cand[c].tolist(), queries[:, q].tolist(), strict=True) if a and b)
+        if score > LIMIT:
+            raise OverflowError(f"an inner product of {score} is no long")
+        out[q, c] = max(score, LOWEST)
+    return out
 
 
 def _scorer(rows: np.ndarray, vectors: list[np.ndarray], exact: bool):
@@ -73,7 +83,8 @@ def _scorer(rows: np.ndarray, vectors: list[np.ndarray], exact: bool):
             cand, c = some["id"].to_numpy(), np.stack(some["v"].to_numpy()).astype("float64")
             for length, part, q in blocks:
                 if length == n:
-                    yield part, cand, _products(c, q, exact), rows[part][:, None] != some["row"].to_numpy()[None, :]
+                    other = rows[part][:, None] != some["row"].to_numpy()[None, :]
+                    yield part, cand, _products(c, q, exact, other), other
 
     return run
 
@@ -136,10 +147,11 @@ def top_k(
 
 def _group(spark, scratch: Scratch, table: DataFrame, rows: list, norm: float, k: int, g: int) -> DataFrame:
     ids, vectors = np.array([r["id"] for r in rows]), [np.array(r["v"]) for r in rows]
-    norms = [float(np.sqrt((v**2).sum())) * norm for v in vectors]
+    with np.errstate(all="ignore"):
+        norms = [float(np.sqrt((v**2).sum())) * norm if v.any() else 0.0 for v in vectors]
     exact = max(norms) < EXACT / 2
     sent = spark.sparkContext.broadcast((np.array([r["row"] for r in rows]), vectors, exact))
-    bound = [min(LIMIT, int(x * (1 + 1e-9)) + 1) for x in norms]
+    bound = [int(x * (1 + 1e-9)) + 1 if x < 2.0**62 else LIMIT for x in norms]
     low, width = np.array([-b for b in bound], "int64"), np.array([-(-(2 * b + 1) // BINS) for b in bound], "int64")
     open_ = np.ones(len(rows), dtype=bool)
     while open_.any():
@@ -155,7 +167,7 @@ def _group(spark, scratch: Scratch, table: DataFrame, rows: list, norm: float, k
         for r in found.select("q", "_.*").collect():  # one row a query of the group
             seen[r["q"]] = True
             if open_[r["q"]] and r["bin"] < BINS:
-                low[r["q"]] += r["bin"] * width[r["q"]]
+                low[r["q"]] = int(low[r["q"]]) + r["bin"] * int(width[r["q"]])
                 open_[r["q"]] = k <= r["reach"] and r["reach"] > ENOUGH * k and width[r["q"]] > 1
                 width[r["q"]] = -(-int(width[r["q"]]) // BINS) if open_[r["q"]] else width[r["q"]]
             else:
@@ -169,17 +181,18 @@ def _group(spark, scratch: Scratch, table: DataFrame, rows: list, norm: float, k
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
     best = best.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
     id_of = spark.createDataFrame(pd.DataFrame({"q": np.arange(len(ids)), "query_id": ids}), "q long, query_id long")
-    done = scratch.save(best.join(F.broadcast(id_of), "q").select("query_id", "rank", "vec_id", "score"), f"best{g}")
+    known = F.when(F.col("score") > LOWEST, F.col("score")).otherwise(F.raise_error(F.lit("an inner product is no long")).cast("long"))
+    done = scratch.save(best.join(F.broadcast(id_of), "q").select("query_id", "rank", "vec_id", known.alias("score")), f"best{g}")
     sent.destroy()
     return done
 
 
 SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r AND q.vec_id % 50 = 0 AND len(q.e) = len(c.e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
 
