@@ -6,7 +6,9 @@ every node's ancestor pointer, so a tree of depth d takes log2(d) rounds. A leaf
 
 A null text or role is empty, a null score is 0. A parent that is not in the tree makes its child a root. Nodes on a
 cycle have no root and are left out. Of rows that repeat a (tree, node) the smallest (parent, role, text, score) counts.
-Equal scores are ranked by node. An empty table gives an empty result. A null tree is a tree of its own.
+Equal scores are ranked by node. An empty table gives an empty result. A null tree is a tree of its own. Columns other than
+those named are not read, so their names may clash. A path is one row of the result, so a very long text or path has to
+fit one task; writing and reading it back takes time in proportion to its length, however many turns it has.
 """
 
 from __future__ import annotations
@@ -75,7 +77,7 @@ def format_trees(
     messages: DataFrame, tree: str = "tree", node: str = "node", parent: str = "parent", role: str = "role", text: str = "text",
     score: str = "score", top: int = 1, train_roles: tuple[str, ...] = ("assistant",),
 ) -> DataFrame:
-    """tree, branch, leaf, n_turns, formatted, loss_spans (array of begin, length in code points of the formatted text)."""
+    """tree, branch, leaf, n_turns, formatted, loss_spans (array of turn, from 0, and begin, length in code points of the formatted text)."""
     scratch = Scratch(messages.sparkSession)
     m = messages.select(
         F.coalesce(F.concat(F.lit("="), F.col(tree).cast("string")), F.lit("-")).alias("tree"), F.col(tree).alias("_tree"),
@@ -90,7 +92,7 @@ def format_trees(
     turns = turns.withColumn("_piece", F.concat("_head", "_body", F.lit(END)))
     w = Window.partitionBy("tree", "leaf").orderBy(F.col("height").desc())
     before = F.coalesce(F.sum(F.length("_piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    span = F.struct((before + F.length("_head")).cast("long").alias("begin"), F.length("_body").cast("long").alias("length"))
+    span = F.struct((F.row_number().over(w) - 1).alias("turn"), (before + F.length("_head")).cast("long").alias("begin"), F.length("_body").cast("long").alias("length"))
     turns = turns.withColumn("_span", F.when(F.col("role").isin(*train_roles), span)).withColumn("_at", -F.col("height"))
     out = turns.groupBy("tree", "leaf").agg(
         F.first("_tree").alias("_tree"), F.first("branch").alias("branch"), F.count("*").alias("n_turns"),
@@ -109,18 +111,26 @@ def conversation_tree(conversations: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """tree, n_turns, turns (array of role, text), loss_text and formatted_chars, all parsed from the formatted text."""
+    """tree, n_turns, turns (array of role, text), loss_text and formatted_chars, all parsed from the formatted text.
+
+    The text is cut at its turns once, and a span is taken from its own turn, not from the start of the text.
+    """
     def turn(part: Column) -> Column:
         role = F.substring_index(part, "\n", 1)
         body = F.substring(part, F.length(role) + 2, F.length(part) - F.length(role) - 1 - len(END))
         return F.struct(unescape_role(role).alias("role"), unescape(body).alias("text"))
 
+    def masked(parts: Column) -> Column:
+        body = lambda s, part: F.substring(part, F.length(F.substring_index(part, "\n", 1)) + 2, s["length"].cast("int"))
+        return F.array_join(F.transform("loss_spans", lambda s: unescape(body(s, F.get(parts, s["turn"])))), "")
+
+    def read(parts: Column) -> Column:
+        return F.struct(F.size(parts).cast("long").alias("n_turns"), F.transform(parts, turn).alias("turns"), masked(parts).alias("loss_text"))
+
     parts = F.filter(F.split("formatted", F.lit(r"<\|im_start\|>")), lambda x: x != "")
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["begin"] + 1).cast("int"), s["length"].cast("int"))))
-    return formatted.select(
-        "tree", F.size(parts).cast("long").alias("n_turns"), F.transform(parts, turn).alias("turns"),
-        F.array_join(loss, "").alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    cut = F.get(F.transform(F.array(parts), read), F.lit(0))  # a lambda names the cut text, so it is cut once
+    back = formatted.select("tree", cut.alias("_"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return back.select("tree", "_.*", "formatted_chars")
 
 
 #: The conversation that the query adds.
