@@ -61,16 +61,26 @@ def _needed_runs(level0: DataFrame, min_words: int) -> DataFrame:
     every = Window.partitionBy("doc", "island")
     x = x.withColumn("c", F.sum("words").over(upto)).withColumn("b", F.col("c") - F.col("words"))
     x = x.withColumn("total", F.sum("words").over(every)).withColumn("first", F.min("pos").over(every)).withColumn("last", F.max("pos").over(every))
-    # The run from a line ends before the first line that has ``min_words`` words between itself and that line.
-    after = Window.partitionBy("doc", "island").orderBy("b").rangeBetween(min_words, Window.unboundedFollowing)
-    end = F.coalesce(F.min("pos").over(after), F.when(F.col("total") - F.col("b") >= min_words, F.col("last") + 1)) - 1
-    before = Window.partitionBy("doc", "island").orderBy("c").rangeBetween(Window.unboundedPreceding, -min_words)
-    begin = F.coalesce(F.max("pos").over(before), F.when(F.col("c") >= min_words, F.col("first") - 1)) + 1
-    x = x.withColumn("end", end).withColumn("begin", begin)
-    whole = F.when(F.col("words") >= min_words, F.array(F.struct("pos", F.lit(1).alias("n"))))
-    runs = F.array(F.struct("pos", (F.col("end") - F.col("pos") + 1).alias("n")), F.struct(F.col("begin").alias("pos"), (F.col("pos") - F.col("begin") + 1).alias("n")))
+    x = x.select("doc", "island", "pos", "words", "b", "c", "total", "first", "last")
     # A line with enough words is a run by itself; the shorter ones around it may still need it at an end of theirs.
-    return x.select("doc", F.explode(F.coalesce(whole, runs)).alias("run")).select("doc", "run.*").where("n IS NOT NULL").distinct()
+    short = x.where(F.col("words") < min_words)
+
+    def met(bound: Column, key: str, order: Column, places: Column) -> DataFrame:
+        """The short lines with ``met``, the last line's place up to their bound: lines and bounds are merged into one order and walked once."""
+        asked = short.withColumn("at", bound).withColumn("line", F.lit(None).cast("int"))
+        lines = x.withColumn("at", F.col(key)).withColumn("line", F.col("pos"))
+        walk = Window.partitionBy("doc", "island").orderBy(order, F.col("line").isNull(), places).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return lines.unionByName(asked).withColumn("met", F.last("line", ignorenulls=True).over(walk)).where("line IS NULL")
+
+    # The run from a line ends before the first line that has ``min_words`` words between itself and that line.
+    ends = met(F.col("b") + min_words, "b", F.col("at").desc(), F.col("pos").desc())
+    ends = ends.withColumn("end", F.coalesce("met", F.when(F.col("total") - F.col("b") >= min_words, F.col("last") + 1)) - 1)
+    begins = met(F.col("c") - min_words, "c", F.col("at").asc(), F.col("pos").asc())
+    begins = begins.withColumn("begin", F.coalesce("met", F.when(F.col("c") >= min_words, F.col("first") - 1)) + 1)
+    runs = x.where(F.col("words") >= min_words).select("doc", "pos", F.lit(1).alias("n"))
+    runs = runs.unionByName(ends.select("doc", "pos", (F.col("end") - F.col("pos") + 1).alias("n")))
+    runs = runs.unionByName(begins.select("doc", F.col("begin").alias("pos"), (F.col("pos") - F.col("begin") + 1).alias("n")))
+    return runs.where("n IS NOT NULL").distinct()
 
 
 def _named_runs(scratch: Scratch, level0: DataFrame, runs: DataFrame) -> DataFrame:
@@ -111,8 +121,18 @@ def later_copies(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS)
     place = F.struct("doc", "pos")
     first = named.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     first = scratch.save(first, "first")
-    later = named.join(first, ["n", "a", "b"]).where(place != F.col("first"))
-    return later.select("doc", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("pos")).distinct()
+    later = named.join(first, ["n", "a", "b"]).where(place != F.col("first")).select("doc", "pos", (F.col("pos") + F.col("n") - 1).alias("last"))
+    return _lines_of_runs(later)
+
+
+def _lines_of_runs(runs: DataFrame) -> DataFrame:
+    """(doc, pos): each line of the runs (doc, pos, last) once. Runs that overlap are merged before they are told line by line."""
+    w = Window.partitionBy("doc").orderBy("pos", "last")
+    before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = runs.withColumn("_new", F.when(before.isNull() | (F.col("pos") > before), 1).otherwise(0))
+    merged = opened.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = merged.groupBy("doc", "_run").agg(F.min("pos").alias("pos"), F.max("last").alias("last"))
+    return merged.select("doc", F.explode(F.sequence("pos", "last")).alias("pos"))
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
