@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -102,8 +103,26 @@ def test_topk_of_large_components_and_repeated_ids(spark, size):
 
 def test_topk_beyond_a_long(spark):
     rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [0.0, 2.0])]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0).orderBy("rank").collect()
-    assert [(r["vec_id"], r["score"]) for r in got] == [(1, topk.LIMIT), (3, 256 * 512), (2, -topk.LIMIT)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="is no long"):  # of 1 and 0
+        topk.top_k(df, lambda i: i == 0).collect()
+    with pytest.raises(Exception, match="is no long"):  # of 2 and 0, as too few others are left
+        topk.top_k(df.where("vec_id <> 1"), lambda i: i == 0, k=2).collect()
+    got = topk.top_k(df.where("vec_id <> 1"), lambda i: i == 0, k=1).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(3, 256 * 512)]
+
+
+def test_topk_up_to_a_long(spark):
+    """Scores between 2**62 and 2**63 are exact and told apart, those near -2**63 too, and giant components that meet zeros count 0."""
+    big = 2**31.25 / 256
+    rows = [(50, [big, 0.0]), (51, [big, 0.0]), (52, [big, 2.0**30 / 256]), (53, [-big, 0.0]), (54, [0.0, 1e300]), (55, [big * 0.999, 0.5])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 50).orderBy("rank").collect()
+    v = {i: [math.floor(256 * x) for x in e] for i, e in rows}
+    want = sorted((-sum(a * b for a, b in zip(v[50], v[i], strict=True)), i) for i in v if i != 50)
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, -s) for s, i in want] and got[0]["score"] > 2**62
+    assert got[0]["score"] == 6521908909838825889
+    empty = spark.createDataFrame([(0, []), (1, []), (2, [1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(empty, lambda i: i == 0).collect()] == [(0, 1, 1, 0)]
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -145,7 +164,7 @@ def test_slots_are_permuted_ranks(spark, sf):
 
 @pytest.mark.parametrize("seed", range(5))
 def test_packs_equal_plain_shortest_pack_first(seed):
-    """The histogram form fills as many sequences, to the same sums, as placing pieces one by one."""
+    """The histogram form places every piece once and needs at most a twentieth more sequences than placing pieces one by one."""
     rng = random.Random(seed)
     size = rng.choice((8, 50, 2048))
     histogram = {n: rng.randint(1, 40) for n in rng.sample(range(1, size + 1), min(size, 30))}
@@ -168,7 +187,28 @@ def test_packs_equal_plain_shortest_pack_first(seed):
     assert len(sums) <= len(packs) * 1.05 + 1
 
 
-def test_line_rebuild_is_linear_and_exact(spark):
+@pytest.mark.parametrize("lines", [["word"] * 100_000, [""] * 100_000 + ["five words are in here"], [f"line {i % 3000}" for i in range(100_000)]])
+def test_lines_that_repeat_side_by_side(spark, lines):
+    """A hundred thousand short or blank lines in one text, and again in another: work in proportion to them, in seconds."""
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["first line is told apart", *lines]))], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: (r["_lines"], r["_deleted"], r["text"]) for r in line_dedup.drop_repeated_lines(df, report=True).collect()}
+    assert time.monotonic() - began < 120
+    assert got[2] == (len(lines) + 1, len(lines), "first line is told apart")
+    assert got[1][0] == len(lines) and (lines[0] != "" or got[1][1] == 0)
+
+
+def test_conversation_of_many_turns(spark):
+    """Twenty thousand turns are written and read back in seconds."""
+    said = [("user" if i % 2 == 0 else "assistant", f"turn {i} <|im_end|> " + "x" * 300) for i in range(20_000)]
+    df = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(said)], "conv_id long, turn long, role string, text string")
+    began = time.monotonic()
+    row = chat_format.read_back(chat_format.format_trees(chat_format.conversation_tree(df))).first()
+    assert time.monotonic() - began < 60
+    assert [(t["role"], t["text"]) for t in row["turns"]] == said and row["loss_text"] == "".join(x for r, x in said if r == "assistant")
+
+
+def test_line_rebuild_is_exact(spark):
     lines = [f"line {i % 50} of a table that is long" if i % 3 else "" for i in range(30_000)]
     df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(reversed(lines)))], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(df).collect()}
@@ -224,8 +264,7 @@ def test_pipeline_carries_clashing_columns(spark, odd, sf):
 
 
 def test_line_stage_equals_plain_code_on_whole_texts(spark, sf):
-    """No text is left out: long ones are compared line by line with the shortest runs only."""
+    """No text is left out. The table's ids are unique."""
     docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    some = sorted(docs, key=lambda d: d[1].count("\n"))[:160]
-    df = spark.createDataFrame(some, "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(df).collect()} == plain_lines(some, line_dedup.MIN_WORDS)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(df).collect()} == plain_lines(docs, line_dedup.MIN_WORDS)
