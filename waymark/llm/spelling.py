@@ -3,8 +3,9 @@
 A word of L code points, padded on both sides, has L + Q - 1 positional grams of Q. One edit touches at most Q of them, so
 two words one edit apart, the longer of length L, share at least L - 1 grams, at places that differ by 0 (before the edit)
 or by 1 (after an edit that changes the length). Hence they share one of the Q + 1 grams that come first in any common
-order of grams: the rarest, as told by how frequent their letter pairs are (a table bounded by the alphabet). Words are
-posted under those grams, their places and the longer word's length; a shuffle brings together what shares a posting.
+order of grams (Q, of the shorter word): the rarest, as told by how frequent their letter pairs are (a table bounded by
+the alphabet). Words are posted under those grams, their places and the longer word's length; a shuffle brings together
+what shares a posting.
 
 Inside a posting's words a task builds the inverted index of all their grams by place. For each word it merges, by a heap,
 the lists of its own grams under the limits on length and place, and keeps the words that occur in L - 1 lists at least;
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heapreplace
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-Q, PAD = 4, "#"
+Q, PAD = 3, "#"
 #: Words of a posting that one task indexes at a time, and distinct words that a counting worker holds.
 BLOCK, HELD_WORDS = 2000, 300_000
 #: Bytes of Latin-1 as words see them: letters (A-Z lower-cased), all else as spaces.
@@ -93,45 +95,63 @@ def rarest_grams(word: str, common: dict[str, int]) -> list[int]:
 
 
 def postings(words: DataFrame, common) -> DataFrame:
-    """(gram, place, length, word, n): where each word is indexed (length: its own) and where it asks for longer ones (one more)."""
+    """(at, length, word, n): where each word is indexed (length: its own) and where it asks for longer ones (one more). ``at`` hashes gram and place."""
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for word, n in zip(b["word"], b["n"], strict=True):
                 p, size = _padded(word), len(word)
-                for i in rarest_grams(word, common.value):
+                for k, i in enumerate(rarest_grams(word, common.value)):
                     gram = p[i : i + Q]
-                    rows += [(gram, i, size, word, n), (gram, i, size + 1, word, n), (gram, i + 1, size + 1, word, n)]
+                    rows.append((gram, i, size, word, n))
+                    if k < Q:  # a word has one gram less than a longer one, so one less is left out of what comes first
+                        rows += [(gram, i, size + 1, word, n), (gram, i + 1, size + 1, word, n)]
             yield pd.DataFrame(rows, columns=["gram", "place", "length", "word", "n"])
 
-    return words.mapInPandas(post, "gram string, place int, length int, word string, n long")
+    return words.mapInPandas(post, "gram string, place int, length int, word string, n long").select(F.xxhash64("gram", "place").alias("at"), "length", "word", "n")
 
 
 def merged(lists: list[list[int]], least: int) -> Iterator[int]:
-    """Numbers that occur in at least ``least`` of the ascending lists, by a heap over the lists' heads."""
-    heap, at = [(x[0], i) for i, x in enumerate(lists)], [1] * len(lists)
+    """Numbers that occur in at least ``least`` of the ascending lists.
+
+    Such a number is in one of any ``len(lists) - least + 1`` lists: the shortest are merged, by a heap over their heads, and
+    the longer ones are searched for what comes up.
+    """
+    lists = sorted(lists, key=len)
+    cut = max(0, len(lists) - least + 1)
+    short, long = lists[:cut], lists[cut:]
+    heap, at = [(x[0], i) for i, x in enumerate(short)], [1] * cut
     heapify(heap)
-    while len(heap) >= least:  # fewer lists can't hold a number often enough
-        number, times = heap[0][0], 0
+    while heap:
+        number, missing = heap[0][0], cut - len(lists) + least  # of the longer lists and of this number's heads
         while heap and heap[0][0] == number:
             i = heap[0][1]
-            if at[i] < len(lists[i]):
-                heapreplace(heap, (lists[i][at[i]], i))
+            if at[i] < len(short[i]):
+                heapreplace(heap, (short[i][at[i]], i))
                 at[i] += 1
             else:
                 heappop(heap)
-            times += 1
-        if times >= least:
+            missing -= 1
+        spare = len(long) - missing
+        for x in long:
+            if spare < 0 or missing <= 0:
+                break
+            k = bisect_left(x, number)
+            if k < len(x) and x[k] == number:
+                missing -= 1
+            else:
+                spare -= 1
+        if missing <= 0:
             yield number
 
 
 def one_edit(short: str, long: str) -> bool:
     """Whether the words, the shorter first, are one replaced or one further code point apart."""
-    if len(short) == len(long):
-        return sum(a != b for a, b in zip(short, long, strict=True)) == 1
-    i = next((i for i, c in enumerate(short) if c != long[i]), len(short))
-    return short[i:] == long[i + 1 :]
+    for i, c in enumerate(short):
+        if c != long[i]:
+            return short[i + (len(short) == len(long)) :] == long[i + 1 :]
+    return len(long) == len(short) + 1
 
 
 class Posting:
@@ -140,20 +160,29 @@ class Posting:
     def __init__(self, length: int) -> None:
         self.length = length
         self.words: list[tuple[str, int]] = []
-        self.index: dict[tuple[str, int], list[int]] = {}
+        self.index: list[dict[str, list[int]]] = [{} for _ in range(length + Q - 1)]  # by place
 
     def add(self, word: str, n: int) -> None:
-        p = _padded(word)
-        for i in range(self.length + Q - 1):
-            self.index.setdefault((p[i : i + Q], i), []).append(len(self.words))
+        p, k = _padded(word), len(self.words)
+        for i, at in enumerate(self.index):
+            at.setdefault(p[i : i + Q], []).append(k)
         self.words.append((word, n))
 
     def near(self, word: str) -> Iterator[tuple[str, int]]:
         """Indexed words one edit from this one, which is as long or one code point shorter."""
-        p, get, shorter = _padded(word), self.index.get, len(word) < self.length
-        lists = [x for i in range(len(p) - Q + 1) if (x := get((p[i : i + Q], i)))]
-        if shorter:
-            lists += [x for i in range(len(p) - Q + 1) if (x := get((p[i : i + Q], i + 1)))]
+        p, index, lists, shorter = _padded(word), self.index, [], len(word) < self.length
+        spare = Q - shorter  # grams that need not occur
+        for i in range(len(p) - Q + 1):
+            gram = p[i : i + Q]
+            here = index[i].get(gram)
+            if shorter and (later := index[i + 1].get(gram)):
+                here = sorted({*here, *later}) if here else later
+            if here:
+                lists.append(here)
+            elif spare:
+                spare -= 1
+            else:
+                return
         for k in merged(lists, max(1, self.length - 1)):
             if one_edit(word, self.words[k][0]):
                 yield self.words[k]
@@ -164,7 +193,7 @@ def near_pairs(rows: Iterator[tuple]) -> Iterator[tuple[str, int, str, int]]:
     now, posting = None, None
     for key, word, n, home in rows:
         if key != now:
-            now, posting = key, Posting(key[2])
+            now, posting = key, Posting(key[1])
         if posting.words:
             for other, other_n in posting.near(word):
                 if home or len(word) < posting.length or word < other:  # of two blocks, the greater word's finds the pair
@@ -176,8 +205,8 @@ def near_pairs(rows: Iterator[tuple]) -> Iterator[tuple[str, int, str, int]]:
 def links(scratch: Scratch, words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): each pair of words (word, n) that are one edit apart, once."""
     common = scratch.spark.sparkContext.broadcast(letter_pairs(words))
-    key = ["gram", "place", "length"]
     posted = scratch.save(postings(words, common), "postings")
+    key = ["at", "length"]
     sizes = posted.groupBy(*key).agg(F.count("*").alias("size"), F.count_if(F.length("word") == F.col("length")).alias("homes"))
     # A posting of one word, or of words that only ask, pairs nothing; most are so. Larger ones say into how many blocks they go.
     wanted = sizes.where("size > 1 AND homes > 0").select(*key, F.ceil(F.col("homes") / BLOCK).cast("int").alias("blocks"))
@@ -187,7 +216,8 @@ def links(scratch: Scratch, words: DataFrame) -> DataFrame:
     dealt = dealt.select(*key, "word", "n", home.alias("home"))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ((k, w, n, h) for b in batches for k, w, n, h in zip(zip(*(b[c] for c in key), strict=True), b["word"], b["n"], b["home"], strict=True))
+        lists = (tuple(b[c].tolist() for c in (*key, "word", "n", "home")) for b in batches)
+        rows = ((r[:3], *r[3:]) for columns in lists for r in zip(*columns, strict=True))
         pairs = near_pairs(rows)
         while part := list(islice(pairs, 10_000)):
             yield pd.DataFrame(part, columns=["a", "a_n", "b", "b_n"])
