@@ -124,7 +124,7 @@ def merged(lists: list[list[int]], least: int) -> Iterator[int]:
     heap, at = [(x[0], i) for i, x in enumerate(short)], [1] * cut
     heapify(heap)
     while heap:
-        number, missing = heap[0][0], cut - len(lists) + least  # of the longer lists and of this number's heads
+        number, missing = heap[0][0], least
         while heap and heap[0][0] == number:
             i = heap[0][1]
             if at[i] < len(short[i]):
