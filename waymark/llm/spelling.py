@@ -7,9 +7,9 @@ order of grams (Q, of the shorter word): the rarest, as told by how frequent the
 the alphabet). Words are posted under those grams, their places and the longer word's length; a shuffle brings together
 what shares a posting.
 
-Inside a posting's words a task builds the inverted index of all their grams by place. For each word it merges, by a heap,
-the lists of its own grams under the limits on length and place, and keeps the words that occur in L - 1 lists at least;
-those are verified for exactly one edit. Postings with more than ``BLOCK`` words are dealt into blocks: each word is indexed
+Inside a posting's words a task builds the inverted index of all their grams by place. For each word it takes the lists of
+its own grams under the limits on length and place and merges, by a heap, as many of the shortest as hold every word that
+is in L - 1 of them; words that share L - 1 grams by place are kept and verified for exactly one edit. Postings with more than ``BLOCK`` words are dealt into blocks: each word is indexed
 in one block and asks all blocks, one after the other, so a task's memory is bounded and no pair is lost.
 
 Words and their numbers are counted over all documents; a pair found under several postings is one link. A word's form
@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heapreplace
 from itertools import islice
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,6 +80,11 @@ def _padded(word: str) -> str:
     return PAD * (Q - 1) + word + PAD * (Q - 1)
 
 
+def _grams(word: str) -> list[str]:
+    p = _padded(word)
+    return [p[i : i + Q] for i in range(len(p) - Q + 1)]
+
+
 def letter_pairs(words: DataFrame) -> dict[str, int]:
     """How common each pair of adjacent letters is, on a scale of whole numbers. At most the square of the alphabet."""
     padded = F.concat(F.lit(PAD), F.col("word"), F.lit(PAD))
@@ -113,37 +119,27 @@ def postings(words: DataFrame, common) -> DataFrame:
 
 
 def merged(lists: list[list[int]], least: int) -> Iterator[int]:
-    """Numbers that occur in at least ``least`` of the ascending lists.
+    """Candidates for occurring in at least ``least`` of the ascending lists, in order, each once.
 
-    Such a number is in one of any ``len(lists) - least + 1`` lists: the shortest are merged, by a heap over their heads, and
-    the longer ones are searched for what comes up.
+    Such a number is in one of any ``len(lists) - least + 1`` lists: the shortest are merged, by a heap over their heads.
     """
-    lists = sorted(lists, key=len)
-    cut = max(0, len(lists) - least + 1)
-    short, long = lists[:cut], lists[cut:]
-    heap, at = [(x[0], i) for i, x in enumerate(short)], [1] * cut
+    short = sorted(lists, key=len)[: max(0, len(lists) - least + 1)]
+    if len(short) == 1:
+        yield from short[0]
+        return
+    heap, at = [(x[0], i) for i, x in enumerate(short)], [1] * len(short)
     heapify(heap)
+    last = -1
     while heap:
-        number, missing = heap[0][0], least
-        while heap and heap[0][0] == number:
-            i = heap[0][1]
-            if at[i] < len(short[i]):
-                heapreplace(heap, (short[i][at[i]], i))
-                at[i] += 1
-            else:
-                heappop(heap)
-            missing -= 1
-        spare = len(long) - missing
-        for x in long:
-            if spare < 0 or missing <= 0:
-                break
-            k = bisect_left(x, number)
-            if k < len(x) and x[k] == number:
-                missing -= 1
-            else:
-                spare -= 1
-        if missing <= 0:
+        number, i = heap[0]
+        if at[i] < len(short[i]):
+            heapreplace(heap, (short[i][at[i]], i))
+            at[i] += 1
+        else:
+            heappop(heap)
+        if number != last:
             yield number
+            last = number
 
 
 def one_edit(short: str, long: str) -> bool:
@@ -160,20 +156,21 @@ class Posting:
     def __init__(self, length: int) -> None:
         self.length = length
         self.words: list[tuple[str, int]] = []
+        self.grams: list[list[str]] = []
         self.index: list[dict[str, list[int]]] = [{} for _ in range(length + Q - 1)]  # by place
 
     def add(self, word: str, n: int) -> None:
-        p, k = _padded(word), len(self.words)
-        for i, at in enumerate(self.index):
-            at.setdefault(p[i : i + Q], []).append(k)
+        grams, k = _grams(word), len(self.words)
+        for at, gram in zip(self.index, grams, strict=True):
+            at.setdefault(gram, []).append(k)
         self.words.append((word, n))
+        self.grams.append(grams)
 
     def near(self, word: str) -> Iterator[tuple[str, int]]:
         """Indexed words one edit from this one, which is as long or one code point shorter."""
-        p, index, lists, shorter = _padded(word), self.index, [], len(word) < self.length
-        spare = Q - shorter  # grams that need not occur
-        for i in range(len(p) - Q + 1):
-            gram = p[i : i + Q]
+        grams, index, lists, shorter = _grams(word), self.index, [], len(word) < self.length
+        least, spare = self.length - 1, Q - shorter  # grams that have to occur, and those that need not
+        for i, gram in enumerate(grams):
             here = index[i].get(gram)
             if shorter and (later := index[i + 1].get(gram)):
                 here = sorted({*here, *later}) if here else later
@@ -183,8 +180,11 @@ class Posting:
                 spare -= 1
             else:
                 return
-        for k in merged(lists, max(1, self.length - 1)):
-            if one_edit(word, self.words[k][0]):
+        for k in merged(lists, least):
+            shared = sum(map(eq, grams, self.grams[k]))
+            if shorter and shared < least:
+                shared += sum(map(eq, grams, islice(self.grams[k], 1, None)))
+            if shared >= least and one_edit(word, self.words[k][0]):
                 yield self.words[k]
 
 
