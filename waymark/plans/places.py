@@ -238,17 +238,6 @@ def u04_joined_parts(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "part").select("p_partkey", search.distinct_join(F.col("p_brand"), F.lit(" "), F.col("p_type"), F.concat(F.lit(" "), F.col("p_brand"))).alias("name"))
 
 
-def t09_light_order(spark: SparkSession, d: str) -> DataFrame:
-    """The first 300 cells of 450 m in the order of a stable hash of their key (X17, G29); ``T09_light_points`` has all."""
-    p = t.pois(spark, d)
-    key = F.concat(geo.cell(F.col("x"), 450.0).cast("string"), F.lit(":"), geo.cell(F.col("y"), 450.0).cast("string"))
-    return p.select(key.alias("key")).distinct().withColumn("hash", text.stable_hash(F.col("key"))).orderBy("hash", "key").limit(300)
-
-
-T09 = f"""WITH {t.POIS}, k AS (SELECT DISTINCT CAST(floor(x / 450) AS BIGINT) || ':' || CAST(floor(y / 450) AS BIGINT) AS key FROM pois)
-SELECT key, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda v, c: (xor(v, c) * 16777619) & 2147483647) AS hash FROM k ORDER BY hash, key LIMIT 300"""
-
-
 def t09_light_points(spark: SparkSession, d: str) -> DataFrame:
     """Glow points of all cells of 450 m: round-robin layers by density, in the order of a stable hash, at most 60,000."""
     return spatial.light_points(t.pois(spark, d))
@@ -262,12 +251,12 @@ l AS (SELECT key, unnest(range(CASE WHEN near <= 0 THEN 1 ELSE greatest(1, least
 SELECT key, layer, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda v, c: (xor(v, c) * 16777619) & 2147483647) AS hash FROM l ORDER BY layer, hash, key LIMIT 60000"""
 
 QUERIES = {
-    "T09_light_order": t09_light_order, "T09_light_points": t09_light_points, "A01_grid_density": a01_grid_density, "J18_stencil": j18_stencil, "A02_categories": a02_categories, "J06_nearest_segment": j06_nearest_segment, "J07_speed_limit": j07_speed_limit,
+    "T09_light_points": t09_light_points, "A01_grid_density": a01_grid_density, "J18_stencil": j18_stencil, "A02_categories": a02_categories, "J06_nearest_segment": j06_nearest_segment, "J07_speed_limit": j07_speed_limit,
     "J08_on_road": j08_on_road, "J10_neighbour_vote": j10_neighbour_vote, "J09_unique_value": j09_unique_value, "T01_search": t01_search, "X11_postings": x11_postings, "A10_areas": a10_areas,
     "W02_thinning": w02_thinning, "F12_windows": f12_windows, "F13_box_overlap": f13_box_overlap, "K05_tiles": k05_tiles, "A05_bounds": a05_bounds, "U04_joined_parts": u04_joined_parts,
 }
 SQL = {
-    "T09_light_order": T09, "T09_light_points": T09_POINTS, "A01_grid_density": A01, "J18_stencil": J18, "A02_categories": A02, "J06_nearest_segment": J06, "J07_speed_limit": J07, "J08_on_road": J08, "J10_neighbour_vote": J10, "J09_unique_value": J09, "T01_search": T01,
+    "T09_light_points": T09_POINTS, "A01_grid_density": A01, "J18_stencil": J18, "A02_categories": A02, "J06_nearest_segment": J06, "J07_speed_limit": J07, "J08_on_road": J08, "J10_neighbour_vote": J10, "J09_unique_value": J09, "T01_search": T01,
     "X11_postings": X11, "A10_areas": A10, "W02_thinning": W02, "F12_windows": F12, "F13_box_overlap": F13, "K05_tiles": K05, "A05_bounds": A05,
     "U04_joined_parts": "SELECT p_partkey, trim(p_brand) || ' ' || trim(p_type) AS name FROM part",
 }

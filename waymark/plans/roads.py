@@ -189,21 +189,8 @@ SELECT l.plan, failed_leg, coalesce(sum(m) FILTER (ok), 0) AS distance_m, coales
 FROM l JOIN f ON l.plan = f.plan WHERE failed_leg IS NULL OR leg <= failed_leg GROUP BY ALL"""
 
 
-def g03_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths from node 1 to the nodes whose number is divisible by 50, and their lengths (T10); ``G03_all_paths`` has every node."""
-    net = _road_net(spark, d)
-    best = routing.cheapest(net, spark.createDataFrame([(1, 1)], "request long, node long"), routing.edge_cost("fastest"))
-    targets = t.nodes(spark, d).where("node_id % 50 = 0").select(F.lit(1).cast("long").alias("request"), F.col("node_id").alias("target"))
-    r = routing.routes(best, targets).where("path IS NOT NULL")
-    steps = r.select("target", "cost", F.posexplode("path").alias("i", "source"), "path").select("target", "cost", "source", F.try_element_at("path", F.col("i") + 2).alias("next"))
-    e = net.where("flags = 0").select("source", F.col("target").alias("next"), "length_m", "kmh")
-    one = e.groupBy("source", "next").agg(F.min_by("length_m", F.col("length_m") / F.col("kmh")).alias("m"), F.min(F.col("length_m") / 1000 / F.col("kmh") * 3600).alias("s"))
-    out = steps.join(one, ["source", "next"], "left").groupBy("target", "cost").agg(F.sum("s").alias("s"))
-    return out.select("target", F.round("cost", 3).alias("cost"), F.round(F.coalesce("s", F.lit(0.0)), 3).alias("walked"))
-
-
 def g03_all_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Cost of the best path from node 1 to every node that it reaches, and the seconds that its edges add up to."""
+    """Cost of the best path from node 1 to every node that it reaches, and the seconds that its edges add up to."""
     net = _road_net(spark, d)
     best = routing.cheapest(net, spark.createDataFrame([(1, 1)], "request long, node long"), routing.edge_cost("fastest"))
     return routing.walked(best, net).select(F.col("node").alias("target"), F.round("cost", 3).alias("cost"), F.round("seconds", 3).alias("walked"))
@@ -212,13 +199,12 @@ def g03_all_paths(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "G01_detailed_graph": g01_detailed_graph, "G02_compressed_graph": g02_compressed_graph, "A03_edge_stats": a03_edge_stats, "A03_unknown_speeds": a03_unknown_speeds, "A15_adjacency": a15_adjacency,
     "A16_reverse_adjacency": a16_reverse_adjacency, "A13_degrees": a13_degrees, "W06_physical_edges": w06_physical_edges, "V02_invariants": v02_invariants, "G03_fastest": _g03("fastest"),
-    "G03_shortest": _g03("shortest"), "G03_avoid_small": _g03("avoid_small"), "G03_avoid_major": _g03("avoid_major"), "G03_paths": g03_paths, "G03_all_paths": g03_all_paths, "G10_plan": g10_plan,
+    "G03_shortest": _g03("shortest"), "G03_avoid_small": _g03("avoid_small"), "G03_avoid_major": _g03("avoid_major"), "G03_all_paths": g03_all_paths, "G10_plan": g10_plan,
 }
 SQL = {
     "G01_detailed_graph": f"WITH {_DETAILED} {_SHOWN}", "G02_compressed_graph": f"WITH {_COMPRESSED} {_SHOWN}", "A03_edge_stats": A03, "A03_unknown_speeds": A03U, "A15_adjacency": A15,
     "A16_reverse_adjacency": A16, "A13_degrees": A13, "W06_physical_edges": W06, "V02_invariants": V02, "G03_fastest": _g03_sql(_SECONDS), "G03_shortest": _g03_sql("length_m"),
     "G03_avoid_small": _g03_sql(f"{_SECONDS} * CASE WHEN road_class = 11 THEN 4.0::DOUBLE ELSE 1 END"), "G03_avoid_major": _g03_sql(f"{_SECONDS} * CASE WHEN road_class IN (0, 4) THEN 4.0::DOUBLE ELSE 1 END"),
-    "G03_paths": _g03_sql(_SECONDS).replace("SELECT request, node, round(cost, 3) AS cost FROM best", "SELECT node AS target, round(cost, 3) AS cost, round(cost, 3) AS walked FROM best WHERE request = 1 AND node % 50 = 0"),
     "G03_all_paths": _g03_sql(_SECONDS).replace("SELECT request, node, round(cost, 3) AS cost FROM best", "SELECT node AS target, round(cost, 3) AS cost, round(cost, 3) AS walked FROM best WHERE request = 1"),
     "G10_plan": G10,
 }
