@@ -91,7 +91,7 @@ def test_shapes_may_differ_by_five_metres_or_half_a_percent(spark, told, drawn,
     assert [r["fault"] for r in routing.shape_faults(edges, shapes, far).collect()] == ["ends"]
 
 
-@pytest.mark.parametrize(("hops", "routed", "fault"), [([100.0] * 6, 600.0, False), ([100.0] * 6, 618.6, False), ([100.0] * 6, 618.7, True), ([100.0] * 6, 582.5, False), ([100.0] * 6, 582.4, True), ([100.0] * 4, 400.0, True), ([399.0] * 6, 2394.0, False), ([401.0] * 6, 2406.0, True)])
+@pytest.mark.parametrize(("hops", "routed", "fault"), [([100.0] * 6, 600.0, False), ([100.0] * 6, 618.5, False), ([100.0] * 6, 618.6, True), ([100.0] * 6, 582.6, False), ([100.0] * 6, 582.5, True), ([100.0] * 4, 400.0, True), ([399.0] * 6, 2394.0, False), ([401.0] * 6, 2406.0, True)])
 def test_drawn_routes_have_six_points_400_metres_and_three_percent(spark, hops, routed, fault):
     at = [sum(hops[:i], 0.0) for i in range(len(hops) + 1)]
     points = spark.createDataFrame([(1, 9, i, x, 0.0) for i, x in enumerate(at)], "request long, target long, point long, x double, y double")
