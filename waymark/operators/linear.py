@@ -61,11 +61,11 @@ def speed_profile(steps: DataFrame, shapes: DataFrame, unknown_mps: float = 13.9
     return out.select(*route, "point", F.coalesce("mark.speed_mps", F.lit(unknown_mps)).alias("speed_mps"))
 
 
-def clipped(segments: DataFrame, size: float) -> DataFrame:
+def clipped(segments: DataFrame, size: float, least_m: float = 1e-8) -> DataFrame:
     """Segments (ax, ay, bx, by and others) cut by the tiles that they cross: their columns, tx, ty and the piece's place and ``length_m``.
 
     Each segment goes once to each tile that its box touches and is cut there by the tile's four sides. A piece on a side
-    belongs to the tile above or to the right of it, so the pieces of a segment add up to it.
+    belongs to the tile above or to the right of it, so the pieces of a segment add up to it. Pieces of ``least_m`` or less, where a corner is only touched, are left out.
     """
     span = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
     s = segments.withColumn("tx", F.explode(span("ax", "bx"))).withColumn("ty", F.explode(span("ay", "by")))
@@ -77,5 +77,5 @@ def clipped(segments: DataFrame, size: float) -> DataFrame:
         return F.when(d == 0, 0.0).otherwise(F.least(low, high)), F.when(d == 0, 1.0).otherwise(F.greatest(low, high))
 
     (x0, x1), (y0, y1) = enters(F.col("ax"), dx, F.col("tx")), enters(F.col("ay"), dy, F.col("ty"))
-    s = s.withColumn("from", F.greatest(x0, y0, F.lit(0.0))).withColumn("to", F.least(x1, y1, F.lit(1.0))).where(F.col("from") < F.col("to"))
-    return s.withColumn("length_m", F.hypot(dx, dy) * (F.col("to") - F.col("from")))
+    s = s.withColumn("from", F.greatest(x0, y0, F.lit(0.0))).withColumn("to", F.least(x1, y1, F.lit(1.0)))
+    return s.withColumn("length_m", F.hypot(dx, dy) * (F.col("to") - F.col("from"))).where(F.col("length_m") > least_m)

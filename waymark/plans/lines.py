@@ -85,7 +85,7 @@ spots AS (SELECT r, 0::DOUBLE AS f FROM cuts UNION SELECT r, 1 FROM cuts
   UNION SELECT r, (k * 250 - ax) / (bx - ax) FROM (SELECT *, unnest(range(CAST(floor(least(ax, bx) / 250) AS BIGINT) + 1, CAST(ceil(greatest(ax, bx) / 250) AS BIGINT))) AS k FROM cuts WHERE ax <> bx)
   UNION SELECT r, (k * 250 - ay) / (by_ - ay) FROM (SELECT *, unnest(range(CAST(floor(least(ay, by_) / 250) AS BIGINT) + 1, CAST(ceil(greatest(ay, by_) / 250) AS BIGINT))) AS k FROM cuts WHERE ay <> by_)),
 part AS (SELECT r, f, lead(f) OVER (PARTITION BY r ORDER BY f) AS g FROM spots),
-mid AS (SELECT ax + (bx - ax) * (f + g) / 2 AS x, ay + (by_ - ay) * (f + g) / 2 AS y, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) * (g - f) AS m FROM part JOIN cuts USING (r) WHERE g - f > 1e-12)
+mid AS (SELECT ax + (bx - ax) * (f + g) / 2 AS x, ay + (by_ - ay) * (f + g) / 2 AS y, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) * (g - f) AS m FROM part JOIN cuts USING (r) WHERE sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) * (g - f) > 1e-8)
 SELECT CAST(floor(x / 250) AS BIGINT) AS tx, CAST(floor(y / 250) AS BIGINT) AS ty, count(*) AS pieces, round(sum(m), 2) AS metres FROM mid GROUP BY ALL"""
 
 QUERIES = {"S03_area_rings": s03_area_rings, "G32_look_ahead": g32_look_ahead, "W10_speed_profile": w10_speed_profile, "J22_tile_pieces": j22_tile_pieces}
