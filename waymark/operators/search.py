@@ -15,9 +15,9 @@ def index(records: DataFrame) -> DataFrame:
 
 
 def postings(indexed: DataFrame) -> DataFrame:
-    """(g, id, visible): each record's trigrams, and whether the visible text has them."""
-    seen = text.trigrams(F.col("shown"))
-    rows = indexed.select("id", seen.alias("_v"), F.explode(text.trigrams(F.col("all"))).alias("g"))
+    """(g, id, visible): each record's trigrams, and pieces of one and two letters for short queries; whether the visible text has them."""
+    grams = lambda c: F.concat(text.trigrams(F.col(c)), _pieces(F.col(c)))
+    rows = indexed.select("id", grams("shown").alias("_v"), F.explode(grams("all")).alias("g"))
     return rows.select("g", "id", F.array_contains("_v", F.col("g")).alias("visible"))
 
 
@@ -31,22 +31,18 @@ def search(indexed: DataFrame, posted: DataFrame, queries: DataFrame, k: int = 8
     """(query, rank, id, tier): the k best records of each query, by tier, excess length, visible length and id.
 
     Of a query's trigrams the rarest drives: every match has it, so its posting list holds all candidates, and only those
-    are compared. A query without a trigram (all words below three letters) looks its longest word up among all pieces of
-    one and two letters instead.
+    are compared. A query without a trigram (all words below three letters) looks its longest word up among the posted
+    pieces of one and two letters instead. Each task keeps the k best of a query before they meet in one.
     """
     q = queries.select("query", text.normal_form(F.col("query")).alias("q")).where("q <> ''").distinct()
     grams = q.select("query", "q", F.explode_outer(text.trigrams(F.col("q"))).alias("g"))
     often = posted.join(grams.where("g IS NOT NULL").select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"))
     driver = grams.join(often, "g", "left").groupBy("query", "q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("d"))
     driver = driver.select("query", "q", "d.g")
-    found = driver.where("g IS NOT NULL").join(posted.select("g", "id"), "g").select("query", "q", "id")
-    listed = found.join(indexed, "id")
     longest = F.array_max(F.transform(text.words(F.col("q")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    short = driver.where("g IS NULL").select("query", "q", longest.alias("piece"))
+    listed = driver.withColumn("g", F.coalesce("g", longest)).join(posted.select("g", "id"), "g").select("query", "q", "id").join(indexed, "id")
     tier = text.match_tier(F.col("q"), F.col("shown"), F.col("all"))
-    every = indexed.select("*", F.explode(_pieces(F.col("all"))).alias("piece")).join(short, "piece")
-    columns = ["query", "q", "id", "display", "shown", "all"]
-    scored = listed.select(*columns).unionByName(every.select(*columns)).withColumn("tier", tier).where("tier IS NOT NULL")
+    scored = listed.withColumn("tier", tier).where("tier IS NOT NULL")
     excess = F.greatest(F.lit(0), F.length("shown") - F.length("q"))
     place = F.row_number().over(Window.partitionBy("query").orderBy("tier", excess, F.length("display"), "id"))
     return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query", "rank", "id", "tier")

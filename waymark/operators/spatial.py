@@ -23,15 +23,24 @@ def cells_of_box(x1: Column, y1: Column, x2: Column, y2: Column, size: float) ->
     return F.flatten(F.transform(span(x1, x2), lambda i: F.transform(span(y1, y2), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
+def segment_cells(segments: DataFrame, size: float) -> DataFrame:
+    """Segments (ax, ay, bx, by) in every cell (cx, cy) that their box touches."""
+    return segments.select("*", F.explode(cells_of_box(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size)).alias("c")).select("*", "c.*").drop("c")
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, max_m: float = 250.0, size: float = 256.0) -> DataFrame:
     """(id, edge, distance_m, fraction, px, py): the segment nearest to each point within ``max_m``; ties go to the smaller edge.
 
     Segments (edge, ax, ay, bx, by) stand in every cell that their box touches, points (id, x, y) look into the cells
     around theirs. A pair that meets in several cells is the same candidate each time.
     """
-    s = segments.select("*", F.explode(cells_of_box(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size)).alias("c")).select("*", "c.*").drop("c")
+    return nearest_in_cells(points, segment_cells(segments, size), max_m, size)
+
+
+def nearest_in_cells(points: DataFrame, cells: DataFrame, max_m: float, size: float) -> DataFrame:
+    """``nearest_segment`` over segments that are in their cells already."""
     p = points.select("id", "x", "y", F.explode(cells_around(F.col("x"), F.col("y"), size, math.ceil(max_m / size))).alias("c")).select("id", "x", "y", "c.*")
-    j = p.join(s, ["cx", "cy"])
+    j = p.join(cells, ["cx", "cy"])
     j = j.withColumn("fraction", geo.fraction_on_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
     j = j.withColumn("distance_m", geo.segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("fraction"))).where(F.col("distance_m") <= max_m)
     at = F.struct("fraction", (F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("fraction")).alias("px"), (F.col("ay") + (F.col("by") - F.col("ay")) * F.col("fraction")).alias("py"))
@@ -154,7 +163,8 @@ def in_faces(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
     """(id, face): the faces that hold each point, by the number of edges that a ray to the right crosses.
 
     points: id, x, y; rings: face, ring (array of structs x, y; outer and inner rings alike, so a hole is outside). A
-    point meets only the edges of faces whose box touches its cell.
+    point meets the faces whose box touches its cell, and of their edges those in its own row of cells: the ray crosses
+    no other.
     """
     shifted = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
     edges = rings.select("face", F.explode(F.arrays_zip(F.col("ring").alias("p"), shifted.alias("q"))).alias("e")).select("face", F.col("e.p.x").alias("ax"), F.col("e.p.y").alias("ay"), F.col("e.q.x").alias("bx"), F.col("e.q.y").alias("by"))
@@ -162,7 +172,8 @@ def in_faces(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
     held = box.withColumn("_c", F.explode(cells_of_box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), size)))
     at = F.struct(geo.cell(F.col("x"), size).alias("cx"), geo.cell(F.col("y"), size).alias("cy"))
     near = points.withColumn("_c", at).join(held, "_c").where(F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2")))
-    j = near.select("id", "x", "y", "face").join(edges, "face")
+    rows = F.sequence(geo.cell(F.least("ay", "by"), size), geo.cell(F.greatest("ay", "by"), size))
+    j = near.select("id", "x", "y", "face", F.col("_c.cy").alias("_row")).join(edges.where("ay <> by").withColumn("_row", F.explode(rows)), ["face", "_row"])
     crosses = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < F.col("ax") + (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax")))
     return j.groupBy("id", "face").agg(F.count_if(crosses).alias("n")).where("n % 2 = 1").select("id", "face")
 

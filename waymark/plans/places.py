@@ -140,7 +140,7 @@ SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY tier, greatest
 def x11_postings(spark: SparkSession, d: str) -> DataFrame:
     """Length of each trigram's posting list, and how many of its records show it."""
     records = t.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("display"), F.col("c_mktsegment").alias("subtitle"))
-    p = search.postings(search.index(records))
+    p = search.postings(search.index(records)).where(F.length("g") == 3)
     return p.groupBy("g").agg(F.count("*").alias("records"), F.count_if("visible").alias("visible"))
 
 

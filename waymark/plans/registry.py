@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import build, lines, motion, network, places, roads, scalars
+from . import build, lines, motion, network, places, roads, scalars, serving
 
-MODULES: tuple = (scalars, roads, places, motion, network, lines, build)
+MODULES: tuple = (scalars, roads, places, motion, network, lines, build, serving)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,11 +19,13 @@ SEARCH = "id STRING, kind STRING, display STRING, x DOUBLE, y DOUBLE, subtitle S
 _RING = "ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>"
 HIGHWAY = "way_id BIGINT, node_ids ARRAY<BIGINT>, lons ARRAY<DOUBLE>, lats ARRAY<DOUBLE>, tags MAP<STRING, STRING>"
 AREA = f"osm_type STRING, osm_id BIGINT, tags MAP<STRING, STRING>, polygons ARRAY<STRUCT<`outer`: {_RING}, holes: ARRAY<{_RING}>>>"
+SIGNAL = "osm_id BIGINT, lon DOUBLE, lat DOUBLE, tags MAP<STRING, STRING>"
 ROAD_TILE = "lod INT, tx INT, ty INT, road_class INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE"
 GRAPH_NODE = "node_id BIGINT, node_index BIGINT, adjacency_offset BIGINT, adjacency_count BIGINT"
 GRAPH_EDGE = "way_id BIGINT, segment BIGINT, source BIGINT, target BIGINT, length_m DOUBLE, kmh DOUBLE, road_class INT, access INT, reason INT, flags INT, layer INT, explicit BOOLEAN"
 FACTS = {
     "pois": POI, "addresses": ADDRESS, "search": SEARCH, "highways": HIGHWAY, "areas": AREA, "road_tiles": ROAD_TILE, "graph_nodes": GRAPH_NODE, "graph_edges": GRAPH_EDGE,
+    "signals": SIGNAL,
 }
 
 

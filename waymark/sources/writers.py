@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,12 @@ def publish(df: DataFrame, path: str, schema_version: int = 1, schema: str | Non
     df.write.parquet(staging)
     rows, sha = digest(spark.read.schema(df.schema).parquet(staging))
     entry = {"schema": schema_version, "rows": rows, "sha256": sha, "complete": True}
+    _put_in_place(spark, staging, path)
+    _write_text(spark, f"{path.rstrip('/')}.manifest.json", json.dumps(entry, sort_keys=True))
+    return entry
+
+
+def _put_in_place(spark: SparkSession, staging: str, path: str) -> None:
     source, fs = _fs(spark, staging)
     target, _ = _fs(spark, path)
     aside, _ = _fs(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
@@ -60,10 +66,46 @@ def publish(df: DataFrame, path: str, schema_version: int = 1, schema: str | Non
         raise OSError(f"could not put {path} in place")
     if there:
         fs.delete(aside, True)
+
+
+def publish_kinds(rows: DataFrame, path: str, kinds: dict[str, str], schema_version: int = 1) -> dict:
+    """Write the tables of several kinds (kind: schema) from one pass over ``rows``, which has ``kind`` and their columns.
+
+    Kinds are partitions of one staging folder. Their rows are counted while they are written, each table is read back
+    and must have as many, and one rename puts all in place or none; the sidecar tells rows and digest of each.
+    """
+    spark, staging = rows.sparkSession, f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    counted = Observation()
+    watched = rows.observe(counted, *[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.count_if(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False))).alias("_other"))
+    watched.write.partitionBy("kind").parquet(staging)
+    told = counted.get
+    entry = {"schema": schema_version, "complete": True, "kinds": {}}
+    for kind, schema in kinds.items():
+        n, sha = digest(kind_rows(spark, staging, kind, schema))
+        entry["kinds"][kind] = {"rows": n, "sha256": sha}
+    if told["_other"] or any(entry["kinds"][k]["rows"] != told[k] for k in kinds):
+        folder, fs = _fs(spark, staging)
+        fs.delete(folder, True)
+        raise ValueError(f"{path}: {told} rows were written, {entry['kinds']} are there")
+    _put_in_place(spark, staging, path)
     _write_text(spark, f"{path.rstrip('/')}.manifest.json", json.dumps(entry, sort_keys=True))
     return entry
 
 
+def kind_rows(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+    """The rows of one kind; no file of another is opened."""
+    return spark.read.schema(f"{schema}, kind STRING").parquet(path).where(F.col("kind") == kind).drop("kind")
+
+
+def verified_kind(spark: SparkSession, path: str, kind: str, schema: str, schema_version: int = 1) -> DataFrame:
+    """One table of ``publish_kinds``, once its version, rows and digest are as the sidecar says; else an error."""
+    entry = json.loads(read_text(spark, f"{path.rstrip('/')}.manifest.json"))
+    df, told = kind_rows(spark, path, kind, schema), entry["kinds"].get(kind, {})
+    if not entry.get("complete") or entry["schema"] != schema_version or digest(df) != (told.get("rows"), told.get("sha256")):
+        raise ValueError(f"{kind} of {path} is not what was published")
+    return df
+
+
 def verified(spark: SparkSession, path: str, schema: str, schema_version: int = 1) -> DataFrame:
     """A published table, once its version, rows and digest are as its sidecar says; else an error."""
     entry = json.loads(read_text(spark, f"{path.rstrip('/')}.manifest.json"))
