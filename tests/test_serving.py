@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import snapping, spatial, triangles, views
+from waymark.operators import junctions, snapping, spatial, triangles, views
 from waymark.sources import elements, writers
 from waymark.streaming import events, states
 
@@ -219,3 +219,42 @@ def test_newest_generation_stays(spark, tmp_path):
     put(("b", 7, "b7"))
     run()
     assert ("b", 7, "b7") in seen() and len(seen()) == 3
+
+
+CROSS = {1: (0.0, 0.0), 2: (100.0, 0.0), 3: (200.0, 0.0), 4: (100.0, -90.0), 5: (100.0, 80.0), 6: (100.0, 0.5)}
+
+
+def grouped(spark, ways, signals, closed=(), against=()):
+    both = [(a, b, w) for w, nodes in ways.items() for a, b in zip(nodes, nodes[1:], strict=False)]
+    rows = [(s, t, w, 3 if w in closed else 0, 1 if back and w in against else 0) for a, b, w in both for s, t, back in ((a, b, False), (b, a, True))]
+    edges = spark.createDataFrame(rows, "source long, target long, way_id long, access int, flags int")
+    places = spark.createDataFrame([(n, *p) for n, p in CROSS.items()], "node long, x double, y double")
+    s = spark.createDataFrame(signals, "signal string, node long, ways array<long>, direction_source string, explicit_stop_line boolean, x double, y double")
+    into, out, lost = junctions.signalled(s, edges, places)
+    return into.orderBy("approach").collect(), out, sorted(r["signal"] for r in lost.collect()), into
+
+
+def test_signals_are_grouped_into_junctions(spark):
+    ways = {101: [1, 2, 3], 102: [4, 2, 5]}
+    into, out, lost, df = grouped(spark, ways, [("n1", 1, [101], "explicit", True, 90.0, 1.0), ("n3", 3, [101], "unknown", False, 0.0, 0.0), ("n9", 999, [101], "unknown", False, 0.0, 0.0), ("n0", None, None, None, None, None, None)])
+    assert lost == ["n0", "n9"] and [(r["junction"], r["approach"], r["relationship"], r["stop_source"], tuple(r["stop"])) for r in into] == [
+        (2, "approach:n1", "explicit", "explicit", (90.0, 1.0)), (2, "approach:n3", "inferred", "derived", (104.0, 0.0))]
+    moves = junctions.movements(df, out)
+    assert moves.count() == 6 and out.count() == 4 and junctions.conflicts(moves).count() > 0
+
+
+def test_a_signal_at_a_junction_becomes_its_approaches(spark):
+    ways = {101: [1, 2, 3], 102: [4, 2, 5]}
+    into, out, lost, _ = grouped(spark, ways, [("m", 2, [102, 101, 101], "unknown", False, 100.0, 0.0)], against=(102,))
+    assert [r["approach"] for r in into] == ["approach:m:w101:n1", "approach:m:w101:n3", "approach:m:w102:n4"] and not lost
+    assert {r["relationship"] for r in into} == {"inferred"} and {r["exit"] for r in out.collect()} == {"w101:n1", "w101:n3", "w102:n5"}
+    into, _, lost, _ = grouped(spark, ways, [("a", 1, [101], "unknown", False, 0.0, 0.0), ("m", 2, [101, 102], "unknown", False, 0.0, 0.0), ("z", 2, [102], "unknown", False, 0.0, 0.0), ("u", 2, [], "unknown", False, 0.0, 0.0)])
+    assert [r["approach"] for r in into] == ["approach:a", "approach:m:w101:n3", "approach:m:w102:n5", "approach:z"] and not lost
+    assert [tuple(r["ways"]) for r in into if r["signal"] == "z"] == [(102,)]  # its farthest neighbour is node 4; u points as a does
+
+
+def test_split_ways_and_closed_roads(spark):
+    into, out, _, _ = grouped(spark, {101: [1, 6], 102: [6, 2], 103: [4, 2, 5], 104: [2, 3]}, [("n1", 1, [101], "legacy", False, 0.0, 0.0)], closed=(104,))
+    assert [r["junction"] for r in into] == [2] and "w104:n3" not in {r["exit"] for r in out.collect()}
+    into, out, lost, _ = grouped(spark, {101: [1, 2, 3], 102: [4, 2]}, [("n1", 1, [101], "legacy", False, 0.0, 0.0)], closed=(101, 102))
+    assert (into, out.count(), lost) == ([], 0, ["n1"])

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.functions import geo
+from waymark.functions import geo, tags
 from waymark.session import checkpointed
 
 #: Seconds of the stages of a phase, in order.
@@ -52,13 +52,15 @@ def stop_at(ax: Column, ay: Column, jx: Column, jy: Column, setback: float = SET
 def movements(approaches: DataFrame, exits: DataFrame) -> DataFrame:
     """junction, movement, approach, exit, resolved and the geometry; an approach doesn't leave by its own road.
 
-    approaches: junction, approach, ax, ay, jx, jy, known; exits: junction, exit, ex, ey. Pairs meet per junction only.
+    approaches: junction, approach, ax, ay, jx, jy, known and, where it is told, stop (x, y); exits: junction, exit, ex,
+    ey. Pairs meet per junction only.
     """
     j = approaches.join(exits, "junction")
     turn = geo.cosine(F.col("ax") - F.col("jx"), F.col("ay") - F.col("jy"), F.col("ex") - F.col("jx"), F.col("ey") - F.col("jy"))
     away = lambda x, y: F.hypot(x - F.col("jx"), y - F.col("jy")) > 1e-6
     j = j.where(turn < geo.SAME_DIRECTION).withColumn("resolved", F.col("known") & away(F.col("ax"), F.col("ay")) & away(F.col("ex"), F.col("ey")))
-    return j.withColumn("movement", F.concat("approach", F.lit("->"), "exit")).withColumn("stop", stop_at(F.col("ax"), F.col("ay"), F.col("jx"), F.col("jy")))
+    j = j.withColumn("movement", F.concat("approach", F.lit("->"), "exit"))
+    return j if "stop" in approaches.columns else j.withColumn("stop", stop_at(F.col("ax"), F.col("ay"), F.col("jx"), F.col("jy")))
 
 
 def conflicts(moves: DataFrame) -> DataFrame:
@@ -115,9 +117,10 @@ def signal_state(t: Column, n_phases: Column) -> Column:
     return F.when(n_phases > 0, F.struct(F.floor(into / length).cast("int").alias("phase"), stage.alias("stage"))).otherwise(F.struct(F.lit(0).alias("phase"), F.lit("all_red").alias("stage")))
 
 
-def distinct_by_direction(approaches: DataFrame) -> DataFrame:
+def distinct_by_direction(approaches: DataFrame, order: tuple[str, ...] = ("approach",)) -> DataFrame:
     """Approaches in order of name, without those that point as an earlier kept one does: an ordered fold per junction."""
-    listed = approaches.groupBy("junction").agg(F.sort_array(F.collect_list(F.struct("approach", (F.col("ax") - F.col("jx")).alias("x"), (F.col("ay") - F.col("jy")).alias("y")))).alias("l"))
+    first = [*order, *([] if "approach" in order else ["approach"])]
+    listed = approaches.groupBy("junction").agg(F.sort_array(F.collect_list(F.struct(*first, (F.col("ax") - F.col("jx")).alias("x"), (F.col("ay") - F.col("jy")).alias("y")))).alias("l"))
     alike = lambda a, b: geo.cosine(a["x"], a["y"], b["x"], b["y"]) >= geo.SAME_DIRECTION
     kept = F.aggregate(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), F.slice("l", 1, 1), lambda out, a: F.when(F.exists(out, lambda o: alike(o, a)), out).otherwise(F.concat(out, F.array(a))))
     return listed.select("junction", F.explode(kept).alias("k")).select("junction", "k.approach")
@@ -150,3 +153,58 @@ def densest(approaches: DataFrame, moves: DataFrame, k: int = 5) -> DataFrame:
     """(junction, movements, approaches): the ``k`` junctions with the most movements, then approaches, then the smaller id."""
     n = moves.groupBy("junction").agg(F.count("*").alias("movements")).join(approaches.groupBy("junction").agg(F.count("*").alias("approaches")), "junction")
     return n.orderBy(F.col("movements").desc(), F.col("approaches").desc(), "junction").limit(k)
+
+
+def _directions_source(source: Column, ways: Column, far: Column) -> Column:
+    """How an approach belongs to its signal: as its record tells, else inferred where one way leads to it, else unresolved."""
+    told = F.when(source.isin("explicit", "legacy"), "explicit").when((source == "inferred") | ((F.size(ways) == 1) & far), "inferred")
+    return F.coalesce(told, F.lit("unresolved"))
+
+
+def signalled(signals: DataFrame, edges: DataFrame, places: DataFrame, max_hops: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signals grouped into junctions: (approaches, exits, unresolved).
+
+    signals: signal (its name), node, ways (ids), direction_source, explicit_stop_line, x, y; edges: source, target,
+    way_id, access, flags; places: node, x, y. A signal belongs to the branching node that is nearest by hops. One before
+    its junction is an approach from where it stands; one at the junction on a single way is one from the farthest
+    neighbour along it; one at the junction on two ways or more is an approach of every edge into it along those that may be
+    driven. Of approaches that point alike the first stays: signals before the junction by name, then those at it. Exits
+    are the edges out that may be driven. Signals without a junction, an approach or an exit are unresolved, by name.
+    """
+    s = checkpointed(signals.where("signal IS NOT NULL").withColumn("ways", F.array_sort(F.array_distinct(F.coalesce("ways", F.array().cast("array<long>"))))))
+    edges = checkpointed(edges.select("source", "target", "way_id", "access", "flags"))
+    legal = edges.where((F.col("access") == tags.NORMAL) & (F.col("flags").bitwiseAND(tags.AGAINST_ONEWAY) == 0)).select("way_id", "source", "target").distinct()
+    near = nearest_junction(s.where("node IS NOT NULL").select(F.col("node").alias("signal")).distinct(), edges, max_hops).select(F.col("signal").alias("node"), "junction")
+    spot = lambda name, x, y: places.select(F.col("node").alias(name), F.col("x").alias(x), F.col("y").alias(y))
+    g = s.join(near, "node").join(spot("junction", "jx", "jy"), "junction").join(spot("node", "nx", "ny"), "node")
+    g = checkpointed(g.withColumn("at", (F.col("node") == F.col("junction")) & (F.size("ways") >= 2)))
+
+    before = g.where("NOT at").withColumn("stands", (F.col("node") != F.col("junction")) & (F.hypot(F.col("nx") - F.col("jx"), F.col("ny") - F.col("jy")) > 1.0))
+    ends = edges.select(F.col("source").alias("junction"), F.col("target").alias("other"), "way_id").union(edges.select("target", "source", "way_id")).where("junction <> other").distinct()
+    along = before.where("NOT stands").select("signal", "junction", "ways", "jx", "jy").join(ends, "junction").where((F.size("ways") == 0) | F.array_contains("ways", F.col("way_id")))
+    along = along.join(spot("other", "ox", "oy"), "other").groupBy("signal").agg(F.min(F.struct((-F.hypot(F.col("ox") - F.col("jx"), F.col("oy") - F.col("jy"))).alias("near"), "other", "ox", "oy")).alias("far"))
+    before = before.join(along, "signal", "left").withColumn("ax", F.coalesce("far.ox", "nx")).withColumn("ay", F.coalesce("far.oy", "ny"))
+    relation = _directions_source(F.col("direction_source"), F.col("ways"), F.hypot(F.col("ax") - F.col("jx"), F.col("ay") - F.col("jy")) > 1.0)
+    stop = F.when(F.col("explicit_stop_line"), F.struct("x", "y")).otherwise(stop_at(F.col("ax"), F.col("ay"), F.col("jx"), F.col("jy")))
+    columns = ["junction", "approach", "signal", "ways", "ax", "ay", "jx", "jy", "relationship", "stop_source", "stop", "_at", "_from", "_way"]
+    nothing = F.lit(None).cast("long")
+    before = before.withColumns({
+        "approach": F.concat(F.lit("approach:"), "signal"), "relationship": relation, "stop": stop, "stop_source": F.when(F.col("explicit_stop_line"), "explicit").otherwise("derived"),
+        "_at": F.lit(0), "_from": nothing, "_way": nothing,
+    }).select(*columns)
+
+    into = g.where("at").join(legal.select(F.col("target").alias("junction"), F.col("source").alias("_from"), F.col("way_id").alias("_way")), "junction").where(F.array_contains("ways", F.col("_way")))
+    into = into.join(spot("_from", "ax", "ay"), "_from").withColumns({
+        "approach": F.concat(F.lit("approach:"), "signal", F.format_string(":w%d:n%d", "_way", "_from")), "relationship": F.lit("inferred"), "stop_source": F.lit("derived"),
+        "stop": stop_at(F.col("ax"), F.col("ay"), F.col("jx"), F.col("jy")), "ways": F.array("_way"), "_at": F.lit(1),
+    }).select(*columns)
+
+    every = before.unionByName(into)
+    out = legal.withColumnRenamed("source", "junction").join(g.select("junction").distinct(), "junction", "left_semi")
+    out = out.join(spot("target", "ex", "ey"), "target").select("junction", F.format_string("w%d:n%d", "way_id", "target").alias("exit"), "ex", "ey")
+    every = checkpointed(every.join(out.select("junction").distinct(), "junction", "left_semi"))
+    kept = every.join(distinct_by_direction(every, ("_at", "signal", "_from", "_way")), ["junction", "approach"], "left_semi")
+    known = F.col("relationship") != "unresolved"
+    kept = kept.select("junction", "approach", "signal", "ways", "ax", "ay", "jx", "jy", known.alias("known"), "relationship", "stop_source", "stop")
+    lost = s.join(every.select("signal").distinct(), "signal", "left_anti").select("signal").distinct()
+    return kept, out.join(every.select("junction").distinct(), "junction", "left_semi"), lost

@@ -227,8 +227,9 @@ def t07_densest(spark: SparkSession, d: str) -> DataFrame:
     return junctions.densest(into, junctions.movements(into, out))
 
 
-_JUNCTIONS = f"""{_CHAIN}, one AS (SELECT way_id, source, target FROM chain UNION ALL SELECT node + 1000000, node, node + 1000000 FROM place WHERE node % 9 = 0),
-street AS (SELECT way_id, source, target FROM one UNION ALL SELECT way_id, target, source FROM one), spot AS (SELECT node, x, y FROM place UNION ALL SELECT node + 1000000, x - 30, y + 40 FROM place WHERE node % 9 = 0),
+_STREETS = f"""{_CHAIN}, one AS (SELECT way_id, source, target FROM chain UNION ALL SELECT node + 1000000, node, node + 1000000 FROM place WHERE node % 9 = 0),
+street AS (SELECT way_id, source, target FROM one UNION ALL SELECT way_id, target, source FROM one), spot AS (SELECT node, x, y FROM place UNION ALL SELECT node + 1000000, x - 30, y + 40 FROM place WHERE node % 9 = 0)"""
+_JUNCTIONS = f"""{_STREETS},
 br AS (SELECT source AS junction FROM street GROUP BY source HAVING count(DISTINCT target) >= 3),
 leg AS (SELECT junction, 'w' || way_id || ':n' || target AS name, (s.x - j.x) / sqrt((s.x - j.x) ** 2 + (s.y - j.y) ** 2) AS ux, (s.y - j.y) / sqrt((s.x - j.x) ** 2 + (s.y - j.y) ** 2) AS uy
   FROM br JOIN street ON source = junction JOIN spot s ON s.node = target JOIN spot j ON j.node = junction),
