@@ -167,7 +167,7 @@ def signalled(signals: DataFrame, edges: DataFrame, places: DataFrame, max_hops:
     signals: signal (its name), node, ways (ids), direction_source, explicit_stop_line, x, y; edges: source, target,
     way_id, access, flags; places: node, x, y. A signal belongs to the branching node that is nearest by hops. One before
     its junction is an approach from where it stands; one at the junction on a single way is one from the farthest
-    neighbour along it; one at the junction on two ways or more is an approach of every edge into it along those that may be
+    neighbour along it (to a micrometre; then the smaller id); one at the junction on two ways or more is an approach of every edge into it along those that may be
     driven. Of approaches that point alike the first stays: signals before the junction by name, then those at it. Exits
     are the edges out that may be driven. Signals without a junction, an approach or an exit are unresolved, by name.
     """
@@ -182,7 +182,7 @@ def signalled(signals: DataFrame, edges: DataFrame, places: DataFrame, max_hops:
     before = g.where("NOT at").withColumn("stands", (F.col("node") != F.col("junction")) & (F.hypot(F.col("nx") - F.col("jx"), F.col("ny") - F.col("jy")) > 1.0))
     ends = edges.select(F.col("source").alias("junction"), F.col("target").alias("other"), "way_id").union(edges.select("target", "source", "way_id")).where("junction <> other").distinct()
     along = before.where("NOT stands").select("signal", "junction", "ways", "jx", "jy").join(ends, "junction").where((F.size("ways") == 0) | F.array_contains("ways", F.col("way_id")))
-    along = along.join(spot("other", "ox", "oy"), "other").groupBy("signal").agg(F.min(F.struct((-F.hypot(F.col("ox") - F.col("jx"), F.col("oy") - F.col("jy"))).alias("near"), "other", "ox", "oy")).alias("far"))
+    along = along.join(spot("other", "ox", "oy"), "other").groupBy("signal").agg(F.min(F.struct((-F.round(F.hypot(F.col("ox") - F.col("jx"), F.col("oy") - F.col("jy")), 6)).alias("near"), "other", "ox", "oy")).alias("far"))
     before = before.join(along, "signal", "left").withColumn("ax", F.coalesce("far.ox", "nx")).withColumn("ay", F.coalesce("far.oy", "ny"))
     relation = _directions_source(F.col("direction_source"), F.col("ways"), F.hypot(F.col("ax") - F.col("jx"), F.col("ay") - F.col("jy")) > 1.0)
     stop = F.when(F.col("explicit_stop_line"), F.struct("x", "y")).otherwise(stop_at(F.col("ax"), F.col("ay"), F.col("jx"), F.col("jy")))
