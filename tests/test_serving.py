@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import junctions, snapping, spatial, triangles, views
+from waymark.operators import faces, junctions, snapping, spatial, triangles, views
 from waymark.sources import elements, writers
 from waymark.streaming import events, states
 
@@ -258,3 +258,24 @@ def test_split_ways_and_closed_roads(spark):
     assert [r["junction"] for r in into] == [2] and "w104:n3" not in {r["exit"] for r in out.collect()}
     into, out, lost, _ = grouped(spark, {101: [1, 2, 3], 102: [4, 2]}, [("n1", 1, [101], "legacy", False, 0.0, 0.0)], closed=(101, 102))
     assert (into, out.count(), lost) == ([], 0, ["n1"])
+
+
+def loop(first, *points):
+    return [(first + i, *a, *b) for i, (a, b) in enumerate(zip(points, points[1:] + points[:1], strict=True))]
+
+
+def test_faces_of_a_map(spark):
+    box = loop(0, (0.0, 0.0), (1000.0, 0.0), (1000.0, 1000.0), (0.0, 1000.0))
+    split = [(10, 1000.0, 0.0, 1300.0, 500.0), (11, 1300.0, 500.0, 1000.0, 1000.0), (12, 1300.0, 500.0, 1400.0, 500.0)]  # a second face, with a dead end outside
+    isle = loop(20, (300.0, 300.0), (600.0, 300.0), (600.0, 600.0), (300.0, 600.0))
+    lake = loop(30, (400.0, 400.0), (400.0, 500.0), (500.0, 500.0), (500.0, 400.0))  # clockwise: land is outside it
+    nothing = [(40, 5.0, 5.0, 5.0, 5.0)]
+    rows = [(*r, 20 <= r[0] < 34) for r in box + split + isle + lake + nothing]
+    df = spark.createDataFrame(rows, "seg long, ax double, ay double, bx double, by double, coast boolean")
+    got = sorted((round(r["m2"], 3), r["land"]) for r in faces.land_faces(df, 250.0).collect())
+    assert got == [(10_000.0, False), (80_000.0, True), (150_000.0, False), (910_000.0, False)]
+    n = 3000
+    circle = loop(0, *[(math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)) for i in range(n)])
+    ring = faces.darts_by_face(spark.createDataFrame(circle, "seg long, ax double, ay double, bx double, by double"))
+    assert sorted(map(tuple, ring.groupBy("face").count().collect())) == [(0, n), (1, n)]
+    assert faces.land_faces(df.limit(0), 250.0).count() == 0

@@ -168,6 +168,11 @@ def in_faces(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
     """
     shifted = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
     edges = rings.select("face", F.explode(F.arrays_zip(F.col("ring").alias("p"), shifted.alias("q"))).alias("e")).select("face", F.col("e.p.x").alias("ax"), F.col("e.p.y").alias("ay"), F.col("e.q.x").alias("bx"), F.col("e.q.y").alias("by"))
+    return in_edges(points, edges, size)
+
+
+def in_edges(points: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+    """``in_faces`` from the edges (face, ax, ay, bx, by) of faces, in any order and sense."""
     box = edges.groupBy("face").agg(F.min("ax").alias("x1"), F.min("ay").alias("y1"), F.max("ax").alias("x2"), F.max("ay").alias("y2"))
     held = box.withColumn("_c", F.explode(cells_of_box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), size)))
     at = F.struct(geo.cell(F.col("x"), size).alias("cx"), geo.cell(F.col("y"), size).alias("cy"))
