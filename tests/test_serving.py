@@ -279,3 +279,30 @@ def test_faces_of_a_map(spark):
     ring = faces.darts_by_face(spark.createDataFrame(circle, "seg long, ax double, ay double, bx double, by double"))
     assert sorted(map(tuple, ring.groupBy("face").count().collect())) == [(0, n), (1, n)]
     assert faces.land_faces(df.limit(0), 250.0).count() == 0
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    r = random.Random(4)
+
+    def boxes(n):
+        out = []
+        for i in range(n):
+            x, y, w, h = r.uniform(-1e4, 1e4), r.uniform(-1e4, 1e4), 10 ** r.uniform(-1, 4.5), 10 ** r.uniform(-1, 4.5)
+            out.append((i, x, y, x + w, y + h))
+        return [*out, (900, -1e12, -1e12, 1e12, 1e12), (901, 5.0, 5.0, 5.0, 5.0), (902, None, 0.0, 1.0, 1.0)]
+
+    a, b = boxes(150), boxes(90)
+    left = spark.createDataFrame(a, "id long, x1 double, y1 double, x2 double, y2 double")
+    right = spark.createDataFrame(b, "win long, wx1 double, wy1 double, wx2 double, wy2 double")
+    got = [tuple(p) for p in spatial.overlapping_boxes(left, right, 10.0).select("id", "win").collect()]
+    want = {(p[0], q[0]) for p in a for q in b if None not in p + q and p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert spatial.overlapping_boxes(left.limit(0), right, 10.0).count() == 0
+
+
+def test_points_in_faces_of_all_sizes(spark):
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    rings = [(1, square(-1e5, -1e5, 2e5)), (2, square(0.0, 0.0, 5.0)), (3, square(2.0, 2.0, 700.0)), (3, square(100.0, 100.0, 50.0))]
+    points = [(1, 3.0, 3.0), (2, 120.0, 120.0), (3, 600.0, 600.0), (4, -9e4, 9e4), (5, 2e5, 0.0)]
+    got = spatial.in_faces(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(rings, "face long, ring array<struct<x:double,y:double>>"), 20.0)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 3), (4, 1)]

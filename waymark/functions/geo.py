@@ -34,7 +34,7 @@ def distance_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column
     return EARTH_RADIUS * 2 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
-def cell(v: Column, size: float) -> Column:
+def cell(v: Column, size: float | Column) -> Column:
     """Index of the cell that holds ``v``; negative coordinates round down too."""
     return F.floor(v / size).cast("long")
 

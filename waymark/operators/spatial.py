@@ -17,7 +17,7 @@ def cells_around(x: Column, y: Column, size: float, radius: int) -> Column:
     return F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((geo.cell(x, size) + i).alias("cx"), (geo.cell(y, size) + j).alias("cy")))))
 
 
-def cells_of_box(x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> Column:
+def cells_of_box(x1: Column, y1: Column, x2: Column, y2: Column, size: float | Column) -> Column:
     """Array of the (cx, cy) cells that the box of two points touches."""
     span = lambda a, b: F.sequence(geo.cell(F.least(a, b), size), geo.cell(F.greatest(a, b), size))
     return F.flatten(F.transform(span(x1, x2), lambda i: F.transform(span(y1, y2), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
@@ -129,18 +129,38 @@ def boxes_overlap(a: tuple, b: tuple) -> Column:
     return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
 
 
+def box_level(x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> Column:
+    """How often cells have to double until a box touches nine of them at most."""
+    extent = F.greatest(F.abs(x2 - x1), F.abs(y2 - y1))
+    return F.when(extent > 2 * size, F.least(F.lit(60), F.ceil(F.log2(extent / (2 * size))))).otherwise(0).cast("int")
+
+
+def _levels(boxes: DataFrame, level: str) -> list[int]:
+    """The distinct levels of a table's boxes: 61 numbers at most, as an extent has no more doublings."""
+    return sorted(r[0] for r in boxes.select(level).distinct().collect())
+
+
 def overlapping_boxes(rows: DataFrame, windows: DataFrame, size: float) -> DataFrame:
     """Each row with each window that its box touches: columns of both. rows: x1, y1, x2, y2; windows: wx1, wy1, wx2, wy2.
 
-    Both stand in the cells that they touch; a pair that meets in several is kept in the one with the lower left corner
-    of what they share.
+    A box stands in cells that are doubled until it touches few, so a very large one is no more work than a small one; it
+    also stands in the larger cells where the other table has boxes, and a pair meets at the level of its larger box. A
+    pair that meets in several cells is kept in the one with the lower left corner of what they share. Boxes without a
+    place touch nothing.
     """
-    cells = lambda a: cells_of_box(*[F.col(c) for c in a], size)
-    r = rows.withColumn("_c", F.explode(cells(("x1", "y1", "x2", "y2"))))
-    w = windows.withColumn("_c", F.explode(cells(("wx1", "wy1", "wx2", "wy2"))))
-    corner = (F.col("_c.cx") == geo.cell(F.greatest("x1", "wx1"), size)) & (F.col("_c.cy") == geo.cell(F.greatest("y1", "wy1"), size))
-    touch = boxes_overlap(tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), tuple(F.col(c) for c in ("wx1", "wy1", "wx2", "wy2")))
-    return r.join(w, "_c").where(touch & corner).drop("_c")
+    ends = {"r": ("x1", "y1", "x2", "y2"), "w": ("wx1", "wy1", "wx2", "wy2")}
+    own = {k: df.dropna(subset=list(ends[k])).withColumn(f"_{k}", box_level(*[F.col(c) for c in ends[k]], size)) for k, df in (("r", rows), ("w", windows))}
+    held = {k: _levels(df, f"_{k}") for k, df in own.items()}
+
+    def standing(k: str, other: str) -> DataFrame:
+        larger = F.filter(F.array(*[F.lit(n) for n in held[other]]).cast("array<int>"), lambda n: n > F.col(f"_{k}"))
+        at = own[k].withColumn("_l", F.explode(F.concat(F.array(f"_{k}"), larger)))
+        return at.withColumn("_c", F.explode(cells_of_box(*[F.col(c) for c in ends[k]], size * F.pow(F.lit(2.0), F.col("_l")))))
+
+    side = size * F.pow(F.lit(2.0), F.col("_l"))
+    corner = (F.col("_c.cx") == geo.cell(F.greatest(F.least("x1", "x2"), F.least("wx1", "wx2")), side)) & (F.col("_c.cy") == geo.cell(F.greatest(F.least("y1", "y2"), F.least("wy1", "wy2")), side))
+    touch = boxes_overlap(*[tuple(F.col(c) for c in ends[k]) for k in "rw"])
+    return standing("r", "w").join(standing("w", "r"), ["_l", "_c"]).where((F.greatest("_r", "_w") == F.col("_l")) & touch & corner).drop("_l", "_c", "_r", "_w")
 
 
 def within_reach(left: DataFrame, right: DataFrame, reach: float, on: list[str], how: str = "inner") -> DataFrame:
@@ -163,8 +183,8 @@ def in_faces(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
     """(id, face): the faces that hold each point, by the number of edges that a ray to the right crosses.
 
     points: id, x, y; rings: face, ring (array of structs x, y; outer and inner rings alike, so a hole is outside). A
-    point meets the faces whose box touches its cell, and of their edges those in its own row of cells: the ray crosses
-    no other.
+    point meets the faces whose box touches its cell, which is larger for larger faces, and of their edges those in its own
+    row of the given size: the ray crosses no other.
     """
     shifted = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
     edges = rings.select("face", F.explode(F.arrays_zip(F.col("ring").alias("p"), shifted.alias("q"))).alias("e")).select("face", F.col("e.p.x").alias("ax"), F.col("e.p.y").alias("ay"), F.col("e.q.x").alias("bx"), F.col("e.q.y").alias("by"))
@@ -174,11 +194,15 @@ def in_faces(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
 def in_edges(points: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     """``in_faces`` from the edges (face, ax, ay, bx, by) of faces, in any order and sense."""
     box = edges.groupBy("face").agg(F.min("ax").alias("x1"), F.min("ay").alias("y1"), F.max("ax").alias("x2"), F.max("ay").alias("y2"))
-    held = box.withColumn("_c", F.explode(cells_of_box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), size)))
-    at = F.struct(geo.cell(F.col("x"), size).alias("cx"), geo.cell(F.col("y"), size).alias("cy"))
-    near = points.withColumn("_c", at).join(held, "_c").where(F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2")))
+    corners = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    box = box.withColumn("_l", box_level(*corners, size))
+    side = size * F.pow(F.lit(2.0), F.col("_l"))
+    held = box.withColumn("_c", F.explode(cells_of_box(*corners, side)))
+    at = F.struct(geo.cell(F.col("x"), side).alias("cx"), geo.cell(F.col("y"), side).alias("cy"))
+    levels = F.explode(F.array(*[F.lit(n) for n in _levels(box, "_l")]).cast("array<int>"))
+    near = points.withColumn("_l", levels).withColumn("_c", at).withColumn("_row", geo.cell(F.col("y"), size)).join(held, ["_l", "_c"]).where(F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2")))
     rows = F.sequence(geo.cell(F.least("ay", "by"), size), geo.cell(F.greatest("ay", "by"), size))
-    j = near.select("id", "x", "y", "face", F.col("_c.cy").alias("_row")).join(edges.where("ay <> by").withColumn("_row", F.explode(rows)), ["face", "_row"])
+    j = near.select("id", "x", "y", "face", "_row").join(edges.where("ay <> by").withColumn("_row", F.explode(rows)), ["face", "_row"])
     crosses = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < F.col("ax") + (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax")))
     return j.groupBy("id", "face").agg(F.count_if(crosses).alias("n")).where("n % 2 = 1").select("id", "face")
 
