@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import faces, junctions, snapping, spatial, triangles, views
+from waymark.operators import faces, junctions, sightings, snapping, spatial, triangles, views
 from waymark.sources import elements, writers
 from waymark.streaming import events, states
 
@@ -306,3 +306,16 @@ def test_points_in_faces_of_all_sizes(spark):
     points = [(1, 3.0, 3.0), (2, 120.0, 120.0), (3, 600.0, 600.0), (4, -9e4, 9e4), (5, 2e5, 0.0)]
     got = spatial.in_faces(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(rings, "face long, ring array<struct<x:double,y:double>>"), 20.0)
     assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 3), (4, 1)]
+
+
+def test_latest_equals_a_search(spark):
+    r = random.Random(6)
+    obs = [(r.choice([1, 1, 1, 2, None]), float(r.randrange(200)), i) for i in range(300)] + [(1, None, 900)]
+    asked = [(r.choice([1, 2, 3, None]), i % 50, float(r.randrange(-20, 260))) for i in range(120)] + [(1, 999, None)]
+    got = sightings.latest_at(spark.createDataFrame(asked, "unit long, request long, now double"), spark.createDataFrame(obs, "unit long, t double, event_id long"), "unit", bucket_s=16.0)
+    want = []
+    for unit, request, now in asked:
+        best = max(((t, e) for u, t, e in obs if u == unit and None not in (u, t, now) and t <= now), default=None)
+        want.append((request, unit, best[1], now - best[0], now - best[0] > 10.0) if best else (request, unit, None, 0.0, False))
+    rows = [(x["request"], x["unit"], x["event_id"], x["age_s"], x["stale"]) for x in got.collect()]
+    assert sorted(rows, key=repr) == sorted(want, key=repr)

@@ -25,20 +25,23 @@ def accepted(obs: DataFrame, key: str, arrival: str, t: str) -> DataFrame:
 def latest_at(requests: DataFrame, obs: DataFrame, key: str, bucket_s: float = 3600.0, stale_s: float = STALE_S) -> DataFrame:
     """(request, latest observation, age_s, stale): as-of join of requests (key, request, now) with observations (key, t, event_id).
 
-    Both sides are cut into time buckets. A request joins the observations of its own bucket, and else the last one of
-    the buckets before, which a window over one row per key and bucket carries forward: no pair of a request with all
-    that came before is made.
+    Both sides are cut into time buckets. A request takes the last observation of its own bucket, in one walk over both in
+    the order of time, and else the last one of the buckets before, which a window over one row per key and bucket carries
+    forward: no request meets more than one row. One without a key, a time or an observation before has a null event, age 0,
+    and isn't stale.
     """
-    o = obs.withColumn("_b", F.floor(F.col("t") / bucket_s))
+    o = obs.where(F.col(key).isNotNull() & F.col("t").isNotNull()).withColumn("_b", F.floor(F.col("t") / bucket_s))
     last = o.groupBy(key, "_b").agg(F.max(F.struct("t", "event_id")).alias("_last"))
     r = requests.withColumn("_b", F.floor(F.col("now") / bucket_s))
-    own = r.join(o.select(key, "_b", "t", "event_id"), [key, "_b"]).where(F.col("t") <= F.col("now"))
-    own = own.groupBy(key, "request").agg(F.max(F.struct("t", "event_id")).alias("_own"))
+    seen = o.select(key, "_b", F.col("t").alias("_at"), F.lit(0).alias("_k"), F.col("event_id").alias("_id"), F.struct("t", "event_id").alias("_own"))
+    both = seen.unionByName(r.select(key, "_b", F.col("now").alias("_at"), F.lit(1).alias("_k"), "request", "now"), allowMissingColumns=True)
+    so_far = Window.partitionBy(key, "_b").orderBy("_at", "_k", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("_own", F.last("_own", ignorenulls=True).over(so_far)).where("_k = 1")
     marks = last.unionByName(r.select(key, "_b", F.lit(None).cast(last.schema["_last"].dataType).alias("_last")))
     marks = marks.groupBy(key, "_b").agg(F.max("_last").alias("_last"))
     carried = F.last("_last", ignorenulls=True).over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     marks = marks.select(key, "_b", carried.alias("_before"))
-    out = r.join(marks, [key, "_b"], "left").join(own, [key, "request"], "left").withColumn("_o", F.coalesce("_own", "_before"))
+    out = own.join(marks, [key, "_b"], "left").withColumn("_o", F.coalesce("_own", "_before"))
     age = F.greatest(F.lit(0.0), F.col("now") - F.col("_o.t"))
     return out.select("request", key, F.col("_o.event_id").alias("event_id"), age.alias("age_s"), (age > stale_s).alias("stale"))
 
