@@ -323,3 +323,35 @@ def test_synthetic_node_ids(spark):
     a, b, c = (r["id"] for r in df.select(tags.synthetic_node_id(F.col("lon"), F.col("lat"), F.col("apart"), b"test").alias("id")).collect())
     want = hashlib.blake2b(b"135000000:552500000:", digest_size=8, person=b"test").digest()
     assert a == c == int.from_bytes(want, "little") & (1 << 63) - 1 and b != a
+
+
+def test_what_is_carried_equals_a_plain_walk(spark):
+    """A key with most rows (so that it lies in many partitions), small ones, a null key and null values."""
+    r = random.Random(12)
+    rows = [(r.choice([1, 1, 1, 1, 1, 2, 3, None]), i, r.choice([None, float(r.randrange(100))])) for i in range(600)]
+    table = spark.createDataFrame(r.sample(rows, len(rows)), "unit long, event_id long, value double").repartition(5)
+    told = F.when(F.col("value") > 80, True).when(F.col("value") < 20, False)
+    folds = {"most": ("max", F.col("value")), "sum": ("sum", F.col("value")), "last": ("last", told)}
+    for own in (True, False):
+        want, seen = {}, {}
+        for unit, i, v in rows:
+            most, total, last = seen.get(unit, (None, None, None))
+            now = (most, total, last) if v is None else (max(most or 0.0, v), (total or 0.0) + v, True if v > 80 else False if v < 20 else last)
+            want[i] = (unit, v, *(now if own else (most, total, last)))
+            seen[unit] = now
+        got = prefix.carried(table, "unit", ["event_id"], folds, own)
+        assert got.columns == ["unit", "event_id", "value", "most", "sum", "last"]
+        assert {x["event_id"]: (x["unit"], x["value"], x["most"], x["sum"], x["last"]) for x in got.collect()} == want
+    assert prefix.carried(table.limit(0), "unit", ["event_id"], folds, True).count() == 0
+
+
+def test_composed_states_equal_a_plain_walk(spark):
+    r = random.Random(13)
+    rows = [(r.choice([1, 1, 1, 1, 1, 2, 3, None]), i, [r.randrange(3) for _ in range(3)]) for i in range(400)]
+    table = spark.createDataFrame(r.sample(rows, len(rows)), "unit long, event_id long, next array<int>").repartition(5)
+    want, state = {}, {}
+    for unit, i, step in rows:
+        state[unit] = want[i] = step[state.get(unit, 2)]
+    got = prefix.composed(table, "unit", ["event_id"], F.col("next"), 2, "state")
+    assert {x["event_id"]: x["state"] for x in got.collect()} == want
+    assert prefix.composed(table.limit(0), "unit", ["event_id"], F.col("next"), 2, "state").count() == 0

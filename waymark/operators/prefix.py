@@ -64,3 +64,58 @@ def rank_in_group(scratch: Scratch, df: DataFrame, group: list[str], order: list
     g = ranked.groupBy(*group).agg(F.min("rank").alias("_first"), F.count("*").alias("n"))
     right = g.select(F.struct(*group).alias("_g"), "_first", "n")
     return ranked.join(right, F.struct(*group).eqNullSafe(F.col("_g"))).withColumn("place", F.col("rank") - F.col("_first")).drop("_g", "_first", "rank")
+
+
+def carried(df: DataFrame, key: str, order: list[str], folds: dict[str, tuple[str, Column]], own: bool) -> DataFrame:
+    """Add each name in ``folds``: what the rows of the same key up to this one (``own``), or before it, come to in order.
+
+    A fold is "max", "sum" or "last" (the last value that is not null) and a value; null where there is none. Null keys
+    are a key as any other. Rows are dealt to range partitions, so a key of any size is split over tasks; what a partition
+    holds of a key is one row, and those rows are carried on from partition to partition.
+    """
+    scratch = Scratch(df.sparkSession)
+    table = _dealt(scratch, df.withColumns({f"_f{i}": value for i, (_, value) in enumerate(folds.values())}), [key, *order], "dealt", 1)
+    here = Window.partitionBy("_p", key).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    ahead = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    hows = [how for how, _ in folds.values()]
+    told = {"max": lambda c: F.max(c), "sum": lambda c: F.sum(c), "last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("_i")))}
+    running = {"max": lambda c: F.max(c), "sum": lambda c: F.sum(c), "last": lambda c: F.last(c, ignorenulls=True)}
+    both = {
+        "max": lambda now, before: F.greatest(now, before),
+        "sum": lambda now, before: F.coalesce(now + before, now, before),
+        "last": lambda now, before: F.coalesce(now, before),
+    }
+    marks = table.groupBy(F.col("_p").alias("_part"), F.col(key).alias("_key")).agg(*[told[how](F.col(f"_f{i}")).alias(f"_f{i}") for i, how in enumerate(hows)])
+    marks = marks.select("_part", "_key", *[running[how](F.col(f"_f{i}")).over(ahead).alias(f"_b{i}") for i, how in enumerate(hows)])
+    inside = table.withColumns({f"_r{i}": running[how](F.col(f"_f{i}")).over(here) for i, how in enumerate(hows)})
+    joined = inside.join(marks, (F.col("_p") == F.col("_part")) & F.col(key).eqNullSafe(F.col("_key")))
+    out = [both[how](F.col(f"_r{i}"), F.col(f"_b{i}")).alias(name) for i, (name, how) in enumerate(zip(folds, hows, strict=True))]
+    return joined.select(*df.columns, *out)
+
+
+def composed(df: DataFrame, key: str, order: list[str], step: Column, initial: int, out: str) -> DataFrame:
+    """Add ``out``: where the rows of each key lead, in order, from the state ``initial``. ``step`` is a row's map, an array of the next state for each.
+
+    Maps are composed by doubling, first inside range partitions and then over the partitions of a key, one row each: n
+    rows take log2(n) windows, and a key of any size is split over tasks. Null keys are a key as any other.
+    """
+    scratch = Scratch(df.sparkSession)
+    table = _dealt(scratch, df.withColumn("_map", step), [key, *order], "dealt", 1).withColumn("_key", F.col(key))
+
+    def doubled(rows: DataFrame, group: list[str], at: str) -> DataFrame:
+        w, span = Window.partitionBy(*group).orderBy(at), 1
+        longest = rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+        while span < longest:
+            rows = rows.withColumn("_before", F.lag("_map", span).over(w))
+            after = F.transform("_before", lambda i: F.get(F.col("_map"), i))
+            rows = rows.withColumn("_map", F.when(F.col("_before").isNull(), F.col("_map")).otherwise(after)).drop("_before")
+            span *= 2
+        return rows
+
+    inside = doubled(table, ["_p", "_key"], "_i")
+    marks = scratch.save(inside.groupBy("_p", "_key").agg(F.max_by("_map", "_i").alias("_map")), "marks")
+    start = F.lag("_map").over(Window.partitionBy("_k").orderBy("_part"))[initial]
+    marks = doubled(marks, ["_key"], "_p").select(F.col("_p").alias("_part"), F.col("_key").alias("_k"), "_map")
+    marks = marks.select("_part", "_k", F.coalesce(start, F.lit(initial)).alias("_start"))
+    joined = inside.join(marks, (F.col("_p") == F.col("_part")) & F.col("_key").eqNullSafe(F.col("_k")))
+    return joined.select(*df.columns, F.get("_map", F.col("_start")).alias(out))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from waymark.session import Scratch
 
-from .prefix import rank_in_group
+from .prefix import carried, composed, rank_in_group
 
 #: Seconds after which an observation is stale, and the tie limit of a dispatch.
 STALE_S, TIE = 10.0, 1e-6
@@ -17,9 +17,12 @@ LOD_FAR_M, LOD_NEAR_M, LOD_FIRST_M = (155_000.0, 205_000.0), (38_000.0, 56_000.0
 
 
 def accepted(obs: DataFrame, key: str, arrival: str, t: str) -> DataFrame:
-    """Observations in order of arrival that are not older than the latest one accepted before; equal times are."""
-    before = Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return obs.withColumn("_l", F.max(t).over(before)).where(F.col("_l").isNull() | (F.col(t) >= F.col("_l"))).drop("_l")
+    """Observations in order of arrival that are not older than the latest one accepted before; equal times are.
+
+    The latest time before a row is carried over range partitions, so a key of any size is split over tasks.
+    """
+    before = carried(obs, key, [arrival], {"_l": ("max", F.col(t))}, own=False)
+    return before.where(F.col("_l").isNull() | (F.col(t) >= F.col("_l"))).drop("_l")
 
 
 def latest_at(requests: DataFrame, obs: DataFrame, key: str, bucket_s: float = 3600.0, stale_s: float = STALE_S) -> DataFrame:
@@ -64,31 +67,14 @@ def nearest_rank(rows: DataFrame, value: str, group: str, wanted: dict[str, tupl
     return r.groupBy(group, "n").agg(*picked)
 
 
-def replayed(rows: DataFrame, key: str, order: list[str], step: Column, initial: int = 0) -> DataFrame:
-    """Add ``state``: where each key's rows lead, in order, from ``initial``; ``step`` is a row's map, an array of the next state for each.
-
-    Maps are composed by doubling: after k windows a row holds the map of its last 2 ** k rows, so a key of n rows takes
-    log2(n) windows over one sort, and nothing is replayed row by row.
-    """
-    w = Window.partitionBy(key).orderBy(*order)
-    x = rows.withColumn("_map", step)
-    longest, span = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0, 1
-    while span < longest:
-        x = x.withColumn("_before", F.lag("_map", span).over(w))
-        x = x.withColumn("_map", F.when(F.col("_before").isNull(), F.col("_map")).otherwise(F.transform("_before", lambda i: F.get(F.col("_map"), i)))).drop("_before")
-        span *= 2
-    return x.withColumn("state", F.col("_map")[initial]).drop("_map")
-
-
 def three_bands(rows: DataFrame, key: str, order: str, value: Column) -> DataFrame:
     """Add ``lod``: 0 far, 1 middle, 2 near, with different limits for coming and going; a key's first row goes by plain limits."""
     far, near, first = LOD_FAR_M, LOD_NEAR_M, LOD_FIRST_M
     start = F.when(value > first[0], 0).when(value > first[1], 1).otherwise(2)
-    after = F.array(
-        F.when(value < far[0], 1).otherwise(0), F.when(value > far[1], 0).when(value < near[0], 2).otherwise(1), F.when(value > near[1], 1).otherwise(2)
+    step = F.array(
+        F.when(value < far[0], 1).otherwise(0), F.when(value > far[1], 0).when(value < near[0], 2).otherwise(1), F.when(value > near[1], 1).otherwise(2), start
     )
-    opening = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
-    return replayed(rows, key, [order], F.when(opening, F.array(start, start, start)).otherwise(after)).withColumnRenamed("state", "lod")
+    return composed(rows, key, [order], step, 3, "lod")
 
 
 def transitions(rows: DataFrame, tick: str, order: str, distance: Column, detailed: Column, near: float, far: float, most: int) -> DataFrame:
@@ -100,19 +86,19 @@ def transitions(rows: DataFrame, tick: str, order: str, distance: Column, detail
 
 def peaks(rows: DataFrame, key: str, order: str, value: str, consumed: Column) -> DataFrame:
     """(key, reading, n, total, peak): counters between readings; a row that reads takes what came before it and starts anew."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    x = rows.withColumn("reading", F.coalesce(F.sum(consumed.cast("int")).over(w), F.lit(0)))
+    x = carried(rows, key, [order], {"_read": ("sum", consumed.cast("int"))}, own=False)
+    x = x.withColumn("reading", F.coalesce("_read", F.lit(0).cast("long")))
     return x.groupBy(key, "reading").agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("peak"))
 
 
 def hysteresis(rows: DataFrame, key: str, order: str, value: Column, up: float, down: float) -> DataFrame:
     """Add ``high``: on above ``up``, off below ``down``, unchanged in between; off at the start.
 
-    The state at a row is set by the last row outside the band, so a window carries it and no fold is needed.
+    The state at a row is set by the last row outside the band, which is carried over range partitions: no fold is needed,
+    and a key of any size is split over tasks.
     """
     told = F.when(value > up, True).when(value < down, False)
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("high", F.coalesce(F.last(told, ignorenulls=True).over(w), F.lit(False)))
+    return carried(rows, key, [order], {"_told": ("last", told)}, own=True).withColumn("high", F.coalesce("_told", F.lit(False))).drop("_told")
 
 
 def greedy_dispatch(incidents: DataFrame, units: DataFrame, zone: str = "zone") -> DataFrame:
@@ -155,14 +141,14 @@ def offence_steps(obs: DataFrame, key: str, handoff_s: float = 6.0) -> DataFrame
     A row that sees an offence starts a stop attempt; later time without one runs towards the handoff to a pursuit. The
     attempt's start is the last offence seen before, whatever the state, so each row's map of states is known beforehand.
     """
-    w = Window.partitionBy(key).orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    x = obs.withColumn("_since", F.coalesce(F.last(F.when(F.col("current") & F.col("offence"), F.col("t")), ignorenulls=True).over(w), F.lit(0.0)))
+    seen_at = F.when(F.col("current") & F.col("offence"), F.col("t"))
+    x = carried(obs, key, ["t", "event_id"], {"_seen": ("last", seen_at)}, own=False).withColumn("_since", F.coalesce("_seen", F.lit(0.0)))
     patrol, observe, stop, pursuit = range(4)
     stopped = F.when(F.col("complied"), observe).when(F.col("t") - F.col("_since") >= handoff_s, pursuit).otherwise(stop)
     seen = lambda s: F.when(F.col("offence"), stop).when(s == patrol, observe).otherwise(s)
     unseen = lambda s: F.when(s == observe, patrol).otherwise(s)
     step = F.array(*[F.when(F.col("current"), seen(s)).otherwise(unseen(s)) for s in (F.lit(patrol), F.lit(observe), stopped, F.lit(pursuit))])
-    x = replayed(x, key, ["t", "event_id"], step)
+    x = composed(x, key, ["t", "event_id"], step, 0, "state")
     return x.select("event_id", key, F.element_at(F.array(*[F.lit(s) for s in STATES]), F.col("state") + 1).alias("state"))
 
 
