@@ -46,8 +46,12 @@ def darts_by_face(segments: DataFrame) -> DataFrame:
 
 
 def face_areas(darts: DataFrame) -> DataFrame:
-    """(face, m2): positive inside a boundary, negative for the outside of what hangs together."""
-    return darts.groupBy("face").agg((F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2).alias("m2"))
+    """(face, m2): positive inside a boundary, negative for the outside of what hangs together, 0 around lines that close nothing.
+
+    A segment with the same face on both sides, as a dead end has, bounds nothing and isn't counted.
+    """
+    sides = darts.groupBy("face", F.floor(F.col("dart") / 2)).agg(F.count("*").alias("n"), F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("m2"))
+    return sides.groupBy("face").agg((F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("m2"))), F.lit(0.0)) / 2).alias("m2"))
 
 
 def surrounding(points: DataFrame, darts: DataFrame, areas: DataFrame, size: float) -> DataFrame:
