@@ -232,6 +232,16 @@ def test_near_classes_under_a_large_hub(spark):
     assert {x["doc_id"]: x["class_id"] for x in near_dedup.near_classes(df).collect()} == links_of(texts)
 
 
+def test_rows_without_an_id_are_dealt_to_all_shards(spark):
+    rows = [(None if i % 3 else 7, "a", f"w{i} of a text") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sizes = df.select("doc_id", "source", F.lit(4).cast("long").alias("size"), mixing.seeded(F.col("text")).alias("mark"))
+    words = [r["words"] for r in mixing._quotas(Scratch(spark), sizes, (3, 1, 2), 1.5, 2, 64, 1000, "mix").collect()]
+    assert len(words) == 16 and sum(words) == 16_000 and max(words) < 1400
+    taken = mixing.plan_mix(df, shard_words=1000).collect()
+    assert len(taken) == 4000 and abs(sum(r["taken"] for r in taken) - taken[0]["target"]) < 64 * 16
+
+
 def test_mix_does_not_depend_on_the_order_of_equal_ids(spark):
     rng = random.Random(2)
     rows = [(i % 20, " ".join(f"{rng.randrange(10**6)}" for _ in range(40)), f"s{i % 3}") for i in range(120)]

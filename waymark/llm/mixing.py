@@ -6,8 +6,8 @@ in blocks of ``block_words`` words. Highest quotients deal the blocks to sources
 shards, so that each shard has an integer quota. In a shard the documents stand in a seeded order, are cut into blocks,
 and a seeded run of blocks (cyclic) is taken; a quota above the shard's number of blocks takes all blocks again first.
 
-A null text has no words. A document without words is never taken. Rows that are alike are separate documents; rows that
-share an id are ordered by size and a hash of the text. An empty table gives an empty result. Only ``id_col``,
+A null text has no words. A document without words is never taken. Rows that are alike are separate documents; shards and
+the order in them go by id and text, so rows without an id or with the same one are dealt out as others are. An empty table gives an empty result. Only ``id_col``,
 ``source_col`` and ``text_col`` are read; other columns are carried along, whatever their names. A long text is measured
 whole, and a part of it is cut out in one task.
 
@@ -115,7 +115,8 @@ def with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _shard(seed: str) -> Column:
-    return F.pmod(seeded(seed, "shard", F.col("doc_id")), F.col("shards"))
+    """By id and text, so that rows without an id, or with the same one, are spread as others are."""
+    return F.pmod(seeded(seed, "shard", F.col("doc_id"), F.col("mark")), F.col("shards"))
 
 
 def plan_mix(
@@ -130,14 +131,14 @@ def plan_mix(
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_or_empty(text_col)).alias("size"),
-        F.xxhash64(text_or_empty(text_col)).alias("hash"), *([F.struct(*carry).alias("row")] if carry else []),
+        seeded(text_or_empty(text_col)).alias("mark"), F.xxhash64(text_or_empty(text_col)).alias("hash"), *([F.struct(*carry).alias("row")] if carry else []),
     )
-    measured = scratch.save(rows.select("doc_id", "source", "size", "hash"), "sizes")
+    measured = scratch.save(rows.select("doc_id", "source", "size", "mark", "hash"), "sizes")
     q = _quotas(scratch, measured, weights, share, cap, block_words, shard_words, seed)
     placed = with_source(rows if carry else measured, q.select("source", "shards").distinct()).withColumn("shard", _shard(seed))
     right = q.drop("shards").withColumnsRenamed({"source": "_source", "shard": "_shard"})
     placed = placed.join(right, placed.source.eqNullSafe(right._source) & (placed.shard == right._shard)).drop("_source", "_shard")
-    w = Window.partitionBy("source", "shard").orderBy(seeded(seed, "order", F.col("doc_id")), "doc_id", "size", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("source", "shard").orderBy(seeded(seed, "order", F.col("doc_id"), F.col("mark")), "doc_id", "size", "hash").rowsBetween(Window.unboundedPreceding, -1)
     p = placed.withColumn("_a", F.coalesce(F.sum("size").over(w), F.lit(0))).withColumn("_b", F.col("_a") + F.col("size"))
     some = F.col("blocks") > 0
     p = p.withColumn("passes", F.when(some, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).cast("long"))
@@ -181,7 +182,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
 
 
 SQL = f"""
-WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+  ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS mark FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS n FROM s0),
 s2 AS (SELECT *, CAST([3, 1, 2][(n - 1) % 3 + 1] AS DOUBLE) AS w, source_size * 2.0::DOUBLE AS cap FROM s1),
@@ -196,7 +198,7 @@ q0 AS (SELECT source, target / (2 * k + 1) AS q, k FROM s6, unnest(range(lim)) A
 q1 AS (SELECT source, row_number() OVER (ORDER BY q DESC, source ASC NULLS LAST) AS r FROM q0),
 seats AS (SELECT s6.*, (SELECT count(*) FROM q1 WHERE q1.source IS NOT DISTINCT FROM s6.source AND r <= s6.total) AS source_blocks FROM s6),
 d AS (SELECT z.*, s.source_size, s.target, s.shards, s.source_blocks,
-  ('0x' || substr(md5('mix|shard|' || coalesce(z.doc_id::VARCHAR, '')), 1, 15))::BIGINT % s.shards AS shard
+  ('0x' || substr(md5('mix|shard|' || coalesce(z.doc_id::VARCHAR, '') || '|' || z.mark), 1, 15))::BIGINT % s.shards AS shard
   FROM sizes z JOIN seats s ON z.source IS NOT DISTINCT FROM s.source),
 h0 AS (SELECT source, shard, source_blocks, sum(size)::BIGINT AS words, ceil(sum(size) / {BLOCK_WORDS}.0)::BIGINT AS blocks FROM d GROUP BY ALL),
 h1 AS (SELECT source, shard, words / (2.0::DOUBLE * k + 1) AS q FROM h0, unnest(range(2 * blocks)) AS t(k)),
@@ -208,7 +210,7 @@ h AS (SELECT h0.*, coalesce(h3.quota, 0) AS quota, CASE WHEN blocks > 0 THEN
   FROM h0 LEFT JOIN h3 ON h3.source IS NOT DISTINCT FROM h0.source AND h3.shard = h0.shard),
 p AS (SELECT d.*, h.words, h.blocks, h.quota, h.start, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS passes,
   h.start + CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END AS fin,
-  coalesce(sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY ('0x' || substr(md5('mix|order|' || coalesce(d.doc_id::VARCHAR, '')), 1, 15))::BIGINT, d.doc_id, d.size
+  coalesce(sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY ('0x' || substr(md5('mix|order|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.mark), 1, 15))::BIGINT, d.doc_id, d.size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
   FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source AND d.shard = h.shard)
 SELECT doc_id, size, source_size, target, CAST(passes * size
