@@ -278,3 +278,36 @@ def test_line_stage_equals_plain_code_on_whole_texts(spark, sf):
     docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(df).collect()} == plain_lines(docs, line_dedup.MIN_WORDS)
+
+
+def test_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Copies of one text, none of them like all others, are one class; pairs aligned follow the copies, not their square."""
+    aligned_pairs, verified = [0], near_dedup._verified
+
+    def counted(scratch, pairs, *more):
+        aligned_pairs[0] += pairs.count()
+        return verified(scratch, pairs, *more)
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    r, per_copy = random.Random(3), []
+    base = [f"b{i}" for i in range(150)]
+    texts = {}
+    for size in (250, 1000):
+        for i in range(len(texts), size):
+            words = list(base)
+            for at in r.sample(range(150), r.choice([1, 1, 2, 2, 3])):
+                words[at] = f"v{r.randrange(10**6)}"
+            texts[i] = " ".join(words)
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+        aligned_pairs[0] = 0
+        got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_classes(df).collect()}
+        per_copy.append(aligned_pairs[0] / size)
+        s = [near_dedup.shingles(t) for t in texts.values()]
+        todo, seen = [0], {0}
+        while todo:  # what is linked to the first, through any others
+            x = todo.pop()
+            new = [y for y in range(size) if y not in seen and near_dedup.aligned(s[x], s[y])]
+            seen.update(new)
+            todo += new
+        assert len(seen) == size and set(got.values()) == {0}
+    assert per_copy[1] < 1.5 * per_copy[0], per_copy

@@ -10,7 +10,9 @@ texts with an equal tuple share a bucket. Two texts at 0.8 share a given tuple w
 miss with about 1e-5. Equal texts are one node from the start. In each bucket the member that shares most buckets with
 others is the hub, and each member is aligned with it: links grow with the input, not with pairs. Where a bucket still
 holds several components, its pairs across components are aligned too: directly if there are few, else only those that
-share one of their rarest shingles (prefix filter: a pair at 0.8 must), which loses none.
+share one of their rarest shingles (prefix filter: a pair at 0.8 must), which loses none. Before that, what is outside a
+large component meets the few members nearest to its hub, and components so linked are merged; in a large group of near
+copies nearly all merge there, so the pairs left don't grow with its square.
 
 Alignment only looks within the band of n1 + n2 - 2 m <= (n1 + n2) / 9 that a similarity of 0.8 allows.
 
@@ -31,6 +33,8 @@ from pyspark.sql.window import Window
 from .common import Scratch, components, drop_rows, small, text_or_empty
 
 WORDS, SIMILARITY, SKETCHES, TUPLE, COMMON = 5, 0.8, 16, 3, 32
+#: Central members of a component that those outside it meet first.
+CENTRES = 16
 #: Nodes whose ids are broadcast at most; above that, texts are fetched by a shuffled join.
 BROADCAST_NODES = 400_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
@@ -202,11 +206,11 @@ def _near_sizes(low: Column, high: Column, similarity: float) -> Column:
 
 
 def _under_hubs(scratch: Scratch, buckets: DataFrame, hubs: DataFrame, comps: DataFrame) -> DataFrame:
-    """(hub, own, node, n, comp): members of buckets with several components, under the hubs they are held against.
+    """(hub, main, own, node, n, comp): members of buckets with several components, under the hubs they are held against.
 
     Each large component of a bucket (more members than the square root of all) has its centre as a hub, over all members
-    of the bucket; ``own`` tells those of its component. All members outside large components are under the bucket's first
-    hub, where ``own`` is null. A bucket of m rows gives at most m ** 1.5.
+    of the bucket; ``main`` is that component and ``own`` tells its members. All members outside large components are under
+    the bucket's first hub, where ``main`` and ``own`` are null. A bucket of m rows gives at most m ** 1.5.
     """
     b = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     b = scratch.save(b.select("key", "node", "n", "weight", "comp"), "held")
@@ -217,28 +221,27 @@ def _under_hubs(scratch: Scratch, buckets: DataFrame, hubs: DataFrame, comps: Da
     large = parts.join(mixed, "key").where(F.col("k") > F.greatest(F.lit(4.0), F.sqrt("m")))
     large = scratch.save(large.select("key", F.col("comp").alias("main"), F.col("centre").alias("hub")), "large")
     held = b.join(mixed.select("key"), "key")
-    to_centre = held.join(large, "key").select("hub", (F.col("comp") == F.col("main")).alias("own"), "node", "n", "comp")
+    to_centre = held.join(large, "key").select("hub", "main", (F.col("comp") == F.col("main")).alias("own"), "node", "n", "comp")
     rest = held.join(large.select("key", F.col("main").alias("comp")), ["key", "comp"], "left_anti")
-    to_first = rest.join(hubs, "key").select(F.col("y").alias("hub"), F.lit(None).cast("boolean").alias("own"), "node", "n", "comp")
+    to_first = rest.join(hubs, "key").select(F.col("y").alias("hub"), F.lit(None).cast("long").alias("main"), F.lit(None).cast("boolean").alias("own"), "node", "n", "comp")
     under = scratch.save(to_centre.unionByName(to_first).distinct(), "under")
     scratch.drop("held", "parts", "mixed", "large")
     return under
 
 
-def _across(scratch: Scratch, under: DataFrame, rows: DataFrame, words: int, similarity: float, common: int) -> DataFrame:
-    """Pairs of different components that may still be alike.
+def _beyond(scratch: Scratch, under: DataFrame, rows: DataFrame, words: int, similarity: float, common: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What tells which pairs of different components may still be alike: pairs with hubs, shared prefixes, members made of H.
 
     Let H be the shingles of a hub and all those that more than ``common`` members under it have. If x and y share no
-    shingle beyond H, they share at most what each has in common with H, so they are alike only if both of these counts
-    are at least half the share that their sizes ask for; only members that are made of H come so far, and those outside
-    the hub's component are few. All other pairs share a shingle beyond H, and if those come first in the order of a
-    prefix filter, one of them is in both prefixes. As at most ``common`` members have it, pairs follow the rows.
+    shingle beyond H, they share at most the lesser count in the hub (``c``) and the lesser count of frequent ones beyond it
+    (``cf``), and are alike only if both together are half of what their sizes ask for. Only members that are made of H come
+    so far. All other pairs share a shingle beyond H, and if those come first in the order of a prefix filter, one of them
+    is in both prefixes. As at most ``common`` members have it, pairs follow the rows.
 
     Most shingles occur once under their hub. So each goes out as a 64-bit key of (hub, shingle), only keys that recur are
     joined back, and a shingle's place follows from its index and the frequent ones before it. Keys that collide add to H
     or to the pairs, which are verified, so none is lost.
     """
-    share = 2 * similarity / (1 + similarity)
 
     def beyond(batches):
         cache: dict[str, int] = {}
@@ -259,30 +262,65 @@ def _across(scratch: Scratch, under: DataFrame, rows: DataFrame, words: int, sim
     found = scratch.save(found.withColumn("p", F.monotonically_increasing_id()), "beyond")
     scratch.drop("texts_under")
     to_hub = found.where("NOT own").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y"))
+    to_hub = scratch.save(to_hub.distinct(), "to_hub")
     seen = found.select("p", "comp", "hub", "first", F.posexplode("new").alias("i", "s")).select("p", "i", "comp", F.xxhash64("hub", "first", "s").alias("k"))
     often = seen.groupBy("k").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("m > 1")
     often = scratch.save(often.select("k", (F.col("m") > common).alias("often"), (F.col("low") != F.col("high")).alias("mixed")), "often")
     hits = seen.select("k", "p", "i").join(often, "k")
     before = F.sum(F.col("often").cast("int")).over(Window.partitionBy("p").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     hits = scratch.save(hits.withColumn("place", F.col("i") + 1 - before), "shared")
-    facts = found.select("p", "hub", "first", "own", "node", "n", "comp", "most")
+    facts = found.select("p", "hub", "main", "first", "own", "node", "n", "comp", "most")
     held = scratch.save(hits.where("NOT often AND mixed").select("k", "p", "place").join(facts, "p").where("place <= most").drop("p", "hub", "place", "most"), "prefixes")
-    one = held.where("first")
-    among = _component_pairs(one, one.select("k", "comp").distinct(), ["k"], similarity)
-    side = lambda own, name: held.where(f"own = {own}").select("k", F.col("node").alias(name), F.col("n").alias(f"n{name}"))
-    around = side("true", "y").join(side("false", "x"), "k").where(_near_sizes(F.col("nx"), F.col("ny"), similarity))
-    around = around.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     more = hits.groupBy("p").agg(F.count_if("often").alias("often"))
     inside = found.withColumn("listed", F.size("new")).drop("new").join(more, "p", "left").fillna({"often": 0})
     cut_short = ~F.col("whole") & (F.col("listed") - F.col("often") < F.col("most"))
-    inside = inside.withColumn("c", F.when(cut_short, F.col("n")).otherwise(F.col("c") + F.col("often")))
-    inside = scratch.save(inside.where(2 * F.col("c") >= share * F.col("n") * (1 + similarity) - 1e-9).select("hub", "first", "own", "node", "n", "c", "comp"), "inside")
-    key = ["hub", "first"]
-    z = inside.select(*key, *[F.col(c).alias(f"{c}_z") for c in ("own", "node", "n", "c", "comp")])
-    sides = F.when(F.col("first"), F.col("node") < F.col("node_z")).otherwise(~F.col("own") & F.col("own_z"))
-    fits = sides & (F.col("comp") != F.col("comp_z")) & (2 * F.least("c", "c_z") >= share * (F.col("n") + F.col("n_z")) - 1e-9) & _near_sizes(F.col("n"), F.col("n_z"), similarity)
-    few = inside.where("first OR NOT own").join(z.where("first OR own_z"), key).where(fits).select(F.least("node", "node_z").alias("x"), F.greatest("node", "node_z").alias("y"))
-    return to_hub.unionByName(among).unionByName(around).unionByName(few).distinct()
+    inside = inside.withColumn("cf", F.when(cut_short, F.col("n") - F.col("c")).otherwise(F.col("often")))
+    inside = inside.where(2 * (F.col("c") + F.col("cf")) >= _asked(F.col("n") * (1 + similarity), similarity))
+    inside = scratch.save(inside.select("hub", "main", "first", "own", "node", "n", "c", "cf", "comp"), "inside")
+    return to_hub, held, inside
+
+
+def _asked(sizes: Column, similarity: float) -> Column:
+    """Twice the shingles that texts of these sizes in sum share if they are alike."""
+    return sizes * (2 * similarity / (1 + similarity)) - 1e-9
+
+
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with merged components, without those that are in the main one of their hub by now."""
+    for name in ("comp", "main"):
+        to = merged.select(F.col("node").alias(name), F.col("comp").alias("_to"))
+        rows = rows.join(to, name, "left").withColumn(name, F.coalesce("_to", name)).drop("_to")
+    return rows.where("own IS NULL OR own OR comp <> main")
+
+
+def _still_apart(inside: DataFrame, similarity: float) -> DataFrame:
+    """Members made of H that some other under their hub may be like, by the most those have in common with H and the least size."""
+    key, most = ["hub", "first"], {}
+    for side, rows in {"in": F.expr("first OR own"), "out": F.expr("first OR NOT own")}.items():
+        most |= {f"{c}_{side}": of(F.when(rows, F.col(c))) for c, of in (("c", F.max), ("cf", F.max), ("n", F.min))}
+    groups = inside.groupBy(*key).agg(*[m.alias(name) for name, m in most.items()], (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed")
+    other = lambda c: F.when(F.col("own"), F.col(f"{c}_out")).otherwise(F.col(f"{c}_in"))
+    together = F.least("c", F.coalesce(other("c"), F.lit(-1))) + F.least("cf", F.coalesce(other("cf"), F.lit(-1)))  # -1: there is no other
+    least = F.greatest(F.col("n") * similarity, other("n"))
+    kept = inside.join(groups, key).where(2 * together >= _asked(F.col("n") + least, similarity))
+    return kept.select(*inside.columns)
+
+
+def _alike_in_hub(inside: DataFrame, others: DataFrame, sides: Column, similarity: float) -> DataFrame:
+    """(x, y): rows outside a hub's component and ``others`` under the hub, if H alone leaves room for a link."""
+    z = others.select("hub", "first", *[F.col(c).alias(f"{c}_z") for c in ("own", "node", "n", "c", "cf", "comp")])
+    room = 2 * (F.least("c", "c_z") + F.least("cf", "cf_z")) >= _asked(F.col("n") + F.col("n_z"), similarity)
+    fits = sides & (F.col("comp") != F.col("comp_z")) & room & _near_sizes(F.col("n"), F.col("n_z"), similarity)
+    pairs = inside.where("first OR NOT own").join(z, ["hub", "first"]).where(fits)
+    return pairs.select(F.least("node", "node_z").alias("x"), F.greatest("node", "node_z").alias("y"))
+
+
+def _with_centres(inside: DataFrame, centres: int, similarity: float) -> DataFrame:
+    """(x, y): each row outside a hub's component with that component's ``centres`` members that have most in common with H."""
+    part = F.pmod(F.xxhash64("node"), F.lit(centres)).alias("part")
+    first = F.max_by(F.struct("own", "node", "n", "c", "cf", "comp"), F.struct(F.col("c") + F.col("cf"), "node")).alias("z")
+    central = inside.where("first OR own").groupBy("hub", "first", part).agg(first).select("hub", "first", "z.*")
+    return _alike_in_hub(inside, central, F.col("node") != F.col("node_z"), similarity)
 
 
 def _component_pairs(members: DataFrame, parts: DataFrame, by: list[str], similarity: float) -> DataFrame:
@@ -296,9 +334,55 @@ def _component_pairs(members: DataFrame, parts: DataFrame, by: list[str], simila
     return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+def _left(held: DataFrame, inside: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): all pairs of different components that may still be alike."""
+    one = held.where("first")
+    among = _component_pairs(one, one.select("k", "comp").distinct(), ["k"], similarity)
+    side = lambda own, name: held.where(f"own = {own}").select("k", F.col("node").alias(name), F.col("n").alias(f"n{name}"))
+    around = side("true", "y").join(side("false", "x"), "k").where(_near_sizes(F.col("nx"), F.col("ny"), similarity))
+    around = around.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    sides = F.col("own").isNotNull() | (F.col("node") < F.col("node_z"))
+    few = _alike_in_hub(inside, inside.where("first OR own"), sides, similarity)
+    return among.unionByName(around).unionByName(few).distinct()
+
+
+def _across(
+    scratch: Scratch, comps: DataFrame, under: DataFrame, done: DataFrame, rows: DataFrame, words: int, similarity: float, common: int, centres: int
+) -> DataFrame:
+    """(x, y): links across components. Pairs that are ``done`` already are left out.
+
+    First what is outside a hub's component meets the hub and its component's most central members, and what links is
+    merged, by more centres where many pairs are still to be made. Then all pairs of components still apart are aligned.
+    """
+    to_hub, held, inside = _beyond(scratch, under, rows, words, similarity, common)
+    scratch.drop("under", "beyond", "often", "shared")
+    inside = scratch.save(_still_apart(inside, similarity), "apart0")
+    scratch.drop("inside")
+    of = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"_{name}"))
+    links, more, k = None, to_hub.unionByName(_with_centres(inside, centres, similarity)), 0
+    while more is not None:
+        more = scratch.save(more.distinct().join(done, ["x", "y"], "left_anti"), f"pairs_{k}")
+        done = done.unionByName(more)
+        found = _verified(scratch, more, rows, words, similarity, f"{k}")
+        links = found if links is None else links.unionByName(found)
+        between = links.join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("_x", "x").alias("x"), F.coalesce("_y", "y").alias("y"))
+        merged = components(scratch, between, f"merged{k}_")
+        inside = scratch.save(_still_apart(_relabelled(inside, merged), similarity), f"apart{k + 1}")
+        scratch.drop(f"apart{k}")
+        sizes = inside.groupBy("hub", "first").agg(F.count_if(F.expr("first OR own")).alias("a"), F.count_if(F.expr("first OR NOT own")).alias("b"))
+        left, members, most = sizes.agg(F.sum(F.col("a") * F.col("b")), F.sum(F.col("a") + F.col("b")), F.max("a")).first()
+        k, many = k + 1, left and left > common * members and most > centres and not found.isEmpty()
+        centres *= 16
+        more = _with_centres(inside, centres, similarity) if many else None
+    rest = _left(_relabelled(held, merged), inside, similarity).join(done, ["x", "y"], "left_anti")
+    links = links.unionByName(_verified(scratch, scratch.save(rest, "pairs_across"), rows, words, similarity, "across"))
+    scratch.drop("to_hub", "prefixes", f"apart{k}", "pairs_across", *[f"pairs_{i}" for i in range(k)])
+    return links
+
+
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
-    sketches: int = SKETCHES, tuple_size: int = TUPLE, common: int = COMMON, scratch: Scratch | None = None,
+    sketches: int = SKETCHES, tuple_size: int = TUPLE, common: int = COMMON, centres: int = CENTRES, scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, node (hash of its text), class_id, class_node, class_size.
 
@@ -323,12 +407,9 @@ def near_classes(
     comps = components(scratch, near, "hub")
     under = _under_hubs(scratch, buckets, best.select("key", "y"), comps)
     scratch.drop("buckets", "hubs")
-    more = _across(scratch, under, rows, words, similarity, common)
     done = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    more = scratch.save(more.join(done, ["x", "y"], "left_anti"), "pairs_across")
-    scratch.drop("under", "beyond", "often", "shared", "prefixes", "inside", "pairs_hub")
-    links = near.unionByName(_verified(scratch, more, rows, words, similarity, "across"))
-    scratch.drop("normal", "pairs_across")
+    links = near.unionByName(_across(scratch, comps, under, done, rows, words, similarity, common, centres))
+    scratch.drop("normal", "pairs_hub")
     named = sketched.select(F.col("node").alias("comp"), F.col("hash").alias("comp_hash"))
     comps = components(scratch, links, "all").join(named, "comp").join(sketched.select("node", "hash"), "node")
     comps = scratch.save(comps.select("hash", "comp_hash"), "comps")
