@@ -311,3 +311,54 @@ def test_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
             todo += new
         assert len(seen) == size and set(got.values()) == {0}
     assert per_copy[1] < 1.5 * per_copy[0], per_copy
+
+
+def _bytes_shuffled(plan) -> int:
+    """Bytes that the exchanges of an executed plan took."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _bytes_shuffled(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return _bytes_shuffled(plan.plan())
+    own = plan.metrics().apply("dataSize").value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(_bytes_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_texts_that_lose_no_line_are_not_shuffled(spark):
+    rng = random.Random(5)
+    made = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(300))) for i in range(300)]
+    made += [(1000 + i, f"own {i}\nthis line is in several texts") for i in range(5)]
+    made += [(None, "no id\nthis line is in several texts"), (2000, None)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3).cache()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = line_dedup.drop_repeated_lines(df)
+        got = {r["doc_id"]: r["text"] for r in out.collect()}
+        moved = _bytes_shuffled(out._jdf.queryExecution().executedPlan())
+        assert moved < sum(len(t or "") for _, t in made) / 4, moved
+        assert got[None] == made[-2][1] and got[2000] is None
+        assert {d for d, t in made if got[d] != t} == {1000 + i for i in range(5)} and got[1003] == "own 3"
+        every = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(df, marked=0).collect()}  # without a bitmap
+        assert every == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        df.unpersist()
+
+
+def test_components_are_told_to_members_not_to_their_shingles(spark, monkeypatch):
+    """Pairs that share 60 of 210 words beyond a common text are no links; what is relabelled follows the texts, not those words."""
+    told, relabelled = [], near_dedup._relabelled
+
+    def counted(rows, merged):
+        told.append(rows.count())
+        return relabelled(rows, merged)
+
+    monkeypatch.setattr(near_dedup, "_relabelled", counted)
+    base, made = [f"b{i}" for i in range(120)], []
+    for i in range(100):
+        own = [f"o{i}x{j}" for j in range(90)]
+        made += [base + own, base + own[:60] + [f"p{i}x{j}" for j in range(30)]]
+    texts = {i: " ".join(w) for i, w in enumerate(made)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {x["doc_id"]: x["class_id"] for x in near_dedup.near_classes(df).collect()} == links_of(texts)
+    assert 0 < max(told) < 4 * len(texts), told

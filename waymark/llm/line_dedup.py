@@ -16,7 +16,8 @@ and the run goes from every later one. Adjacent lines that go are the maximal re
 A null text counts as empty; it has one empty line. Runs of fewer words, such as single short lines, are never the
 reason to delete. Rows that repeat both id and text are treated alike, as one document. A run that overlaps its own
 earlier copy loses the lines of the later one. An empty table gives an empty result. Other columns are not read, whatever
-their names. A long text is split once and rebuilt from slices, in one task; its lines are spread over tasks.
+their names. A long text is split once and rebuilt from slices, in one task; its lines are spread over tasks. Only texts that
+lose lines (and a sixteenth of the others, at most) are shuffled to their line numbers: a bitmap tells them apart.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ from pyspark.sql.window import Window
 from .common import SPACE, Scratch, dense_ranks, text_or_empty, word_count
 
 MIN_WORDS = 5
+#: Bits a document takes in the bitmap of those that lose lines, and the bits of one row of it.
+MARK_BITS, ROW_BITS = 16, 4096 * 8
+#: Documents that a bitmap is made for (96 MB); if more lose lines, all texts are shuffled.
+MARKED = 50_000_000
 
 
 def lines_of(text: Column) -> Column:
@@ -140,16 +145,37 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(key.alias("doc"), text_or_empty(text_col).alias("text"))
 
 
-def _deleted(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc, lines): sorted line numbers to delete, a row for each document that loses any."""
-    scratch = Scratch(docs.sparkSession)
+def _deleted(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, int]:
+    """(doc, lines): sorted line numbers to delete, a row for each document that loses any, and how many those are."""
     gone = later_copies(scratch, _documents(docs, id_col, text_col), min_words)
-    return scratch.save(gone.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("lines")), "deleted")
+    out = scratch.save_counted(gone.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("lines")), "deleted")
+    scratch.keep("deleted")
+    return out
+
+
+def _marked(scratch: Scratch, keyed: DataFrame, key: str, gone: DataFrame, number: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``keyed`` in two parts: what may have its ``key`` in ``gone`` (doc), and what can't. ``number``: the keys in ``gone``.
+
+    Each key sets a bit at its hash. The bitmap has ``MARK_BITS`` for each, so it is a small part of the texts and broadcast.
+    Beyond ``most`` keys there is none, and all rows are the first part.
+    """
+    if number > most:
+        return keyed, None
+    bits = -(-max(1, number) * MARK_BITS // ROW_BITS) * ROW_BITS
+    place = lambda doc: F.pmod(F.xxhash64(doc), F.lit(bits)) + 1
+    marks = gone.select(place("doc").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_row"))
+    marks = F.broadcast(scratch.save(marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits")), "marks"))
+    told = keyed.withColumn("_at", place(key)).withColumn("_row", F.bitmap_bucket_number("_at")).join(marks, "_row", "left")
+    bit = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    told = told.withColumn("_set", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("_at", "_row", "_bits")
+    return told.where("_set").drop("_set"), told.where("NOT _set").drop("_set")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, first_line, lines): the maximal runs of lines that are deleted."""
-    gone = _deleted(docs, id_col, text_col, min_words).select("doc", F.posexplode("lines").alias("i", "pos"))
+    gone, _ = _deleted(Scratch(docs.sparkSession), docs, id_col, text_col, min_words)
+    gone = gone.select("doc", F.posexplode("lines").alias("i", "pos"))
     runs = gone.groupBy("doc", (F.col("pos") - F.col("i")).alias("_")).agg(F.min("pos").alias("first_line"), F.count("*").alias("lines"))
     return runs.select(F.col("doc.id").alias("doc_id"), F.col("doc.hash").alias("text_hash"), "first_line", "lines")
 
@@ -165,16 +191,19 @@ def _without(parts: Column, gone: Column) -> Column:
     return F.get(F.transform(F.array(parts), cut), F.lit(0))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, report: bool = False, marked: int = MARKED) -> DataFrame:
     """``docs`` with the later copies deleted from its texts; ``n_chars``, where there is such a column, follows the text.
 
     With ``report``, the columns ``_lines`` and ``_deleted`` (counts) are added. Texts that lose nothing stay as they
     are, nulls included.
     """
-    gone = _deleted(docs, id_col, text_col, min_words).withColumnsRenamed({"doc": "_doc", "lines": "_gone"})
+    scratch = Scratch(docs.sparkSession)
+    deleted, number = _deleted(scratch, docs, id_col, text_col, min_words)
+    gone = deleted.withColumnsRenamed({"doc": "_doc", "lines": "_gone"})
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("hash"))
-    keyed = docs.withColumn("_key", key)
-    j = keyed.join(gone, keyed["_key"].eqNullSafe(gone["_doc"]), "left")
+    some, none = _marked(scratch, docs.withColumn("_key", key), "_key", deleted, number, marked)
+    j = some.join(gone, some["_key"].eqNullSafe(gone["_doc"]), "left").drop("_doc")
+    j = j if none is None else j.unionByName(none, allowMissingColumns=True)
     parts = lines_of(text_or_empty(text_col))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(_without(parts, F.col("_gone")))
     j = j.withColumn("_text", text)

@@ -229,8 +229,8 @@ def _under_hubs(scratch: Scratch, buckets: DataFrame, hubs: DataFrame, comps: Da
     return under
 
 
-def _beyond(scratch: Scratch, under: DataFrame, rows: DataFrame, words: int, similarity: float, common: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What tells which pairs of different components may still be alike: pairs with hubs, shared prefixes, members made of H.
+def _beyond(scratch: Scratch, under: DataFrame, rows: DataFrame, words: int, similarity: float, common: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What tells which pairs of different components may still be alike: pairs with hubs, members, their shared prefixes, members made of H.
 
     Let H be the shingles of a hub and all those that more than ``common`` members under it have. If x and y share no
     shingle beyond H, they share at most the lesser count in the hub (``c``) and the lesser count of frequent ones beyond it
@@ -269,15 +269,16 @@ def _beyond(scratch: Scratch, under: DataFrame, rows: DataFrame, words: int, sim
     hits = seen.select("k", "p", "i").join(often, "k")
     before = F.sum(F.col("often").cast("int")).over(Window.partitionBy("p").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     hits = scratch.save(hits.withColumn("place", F.col("i") + 1 - before), "shared")
-    facts = found.select("p", "hub", "main", "first", "own", "node", "n", "comp", "most")
-    held = scratch.save(hits.where("NOT often AND mixed").select("k", "p", "place").join(facts, "p").where("place <= most").drop("p", "hub", "place", "most"), "prefixes")
+    facts = scratch.save(found.select("p", "main", "first", "own", "node", "n", "comp", "most"), "facts")
+    shared = hits.where("NOT often AND mixed").select("k", "p", "place").join(facts.select("p", "most"), "p").where("place <= most")
+    shared = scratch.save(shared.select("k", "p"), "prefixes")
     more = hits.groupBy("p").agg(F.count_if("often").alias("often"))
     inside = found.withColumn("listed", F.size("new")).drop("new").join(more, "p", "left").fillna({"often": 0})
     cut_short = ~F.col("whole") & (F.col("listed") - F.col("often") < F.col("most"))
     inside = inside.withColumn("cf", F.when(cut_short, F.col("n") - F.col("c")).otherwise(F.col("often")))
     inside = inside.where(2 * (F.col("c") + F.col("cf")) >= _asked(F.col("n") * (1 + similarity), similarity))
     inside = scratch.save(inside.select("hub", "main", "first", "own", "node", "n", "c", "cf", "comp"), "inside")
-    return to_hub, held, inside
+    return to_hub, facts.drop("most"), shared, inside
 
 
 def _asked(sizes: Column, similarity: float) -> Column:
@@ -354,7 +355,7 @@ def _across(
     First what is outside a hub's component meets the hub and its component's most central members, and what links is
     merged, by more centres where many pairs are still to be made. Then all pairs of components still apart are aligned.
     """
-    to_hub, held, inside = _beyond(scratch, under, rows, words, similarity, common)
+    to_hub, facts, shared, inside = _beyond(scratch, under, rows, words, similarity, common)
     scratch.drop("under", "beyond", "often", "shared")
     inside = scratch.save(_still_apart(inside, similarity), "apart0")
     scratch.drop("inside")
@@ -374,9 +375,13 @@ def _across(
         k, many = k + 1, left and left > common * members and most > centres and not found.isEmpty()
         centres *= 16
         more = _with_centres(inside, centres, similarity) if many else None
-    rest = _left(_relabelled(held, merged), inside, similarity).join(done, ["x", "y"], "left_anti")
+    # Components are told to members, of which a prefix has many rows, and before those are read several times.
+    facts = scratch.save(_relabelled(facts, merged), "placed_facts")
+    held = scratch.save(shared.join(facts, "p").drop("p"), "placed_prefixes")
+    scratch.drop("facts", "prefixes")
+    rest = _left(held, inside, similarity).join(done, ["x", "y"], "left_anti")
     links = links.unionByName(_verified(scratch, scratch.save(rest, "pairs_across"), rows, words, similarity, "across"))
-    scratch.drop("to_hub", "prefixes", f"apart{k}", "pairs_across", *[f"pairs_{i}" for i in range(k)])
+    scratch.drop("to_hub", "placed_facts", "placed_prefixes", f"apart{k}", "pairs_across", *[f"pairs_{i}" for i in range(k)])
     return links
 
 

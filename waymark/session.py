@@ -118,3 +118,7 @@ class Scratch:
             path, fs = self._path(name)
             fs.delete(path, True)
             del self._paths[name]
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these."""
+        self.drop(*[name for name in self._paths if name not in names])
