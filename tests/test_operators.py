@@ -355,3 +355,15 @@ def test_composed_states_equal_a_plain_walk(spark):
     got = prefix.composed(table, "unit", ["event_id"], F.col("next"), 2, "state")
     assert {x["event_id"]: x["state"] for x in got.collect()} == want
     assert prefix.composed(table.limit(0), "unit", ["event_id"], F.col("next"), 2, "state").count() == 0
+
+
+def test_postings_of_some_pieces(spark):
+    """Postings of the pieces that queries look up are those of the whole index, and give the same results."""
+    indexed = search.index(spark.createDataFrame([*RECORDS, ("r5", "aa b", "ab a"), ("r6", "", None)], "id string, display string, subtitle string"))
+    queries = spark.createDataFrame([("blue ket",), ("k",), ("b a",), ("ro",), ("",), ("xyz",)], "query string")
+    of = search.looked_up(queries)
+    assert {r["g"] for r in of.collect()} == {"blu", "lue", "ket", "k", "b", "ro", "xyz"}
+    whole, some = search.postings(indexed), search.postings(indexed, of)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(some) == rows(whole.join(of, "g", "left_semi")) and len(rows(some)) > 5
+    assert rows(search.search(indexed, some, queries)) == rows(search.search(indexed, whole, queries))

@@ -14,11 +14,28 @@ def index(records: DataFrame) -> DataFrame:
     return records.withColumn("shown", text.normal_form(F.col("display"))).withColumn("all", text.normal_form(F.concat_ws(" ", "display", F.coalesce("subtitle", F.lit("")))))
 
 
-def postings(indexed: DataFrame) -> DataFrame:
-    """(g, id, visible): each record's trigrams, and pieces of one and two letters for short queries; whether the visible text has them."""
+def postings(indexed: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(g, id, visible): each record's trigrams, and pieces of one and two letters for short queries; whether the visible text has them.
+
+    With ``of`` (g, few), only those pieces: one lies inside a word where the text, whose words have spaces between, contains it.
+    """
+    if of is not None:
+        return indexed.join(F.broadcast(of), F.contains(F.col("all"), F.col("g"))).select("g", "id", F.contains(F.col("shown"), F.col("g")).alias("visible"))
     grams = lambda c: F.concat(text.trigrams(F.col(c)), _pieces(F.col(c)))
-    rows = indexed.select("id", grams("shown").alias("_v"), F.explode(grams("all")).alias("g"))
-    return rows.select("g", "id", F.array_contains("_v", F.col("g")).alias("visible"))
+    told = lambda c, seen: F.transform(c, lambda g: F.struct(g.alias("g"), F.lit(seen).alias("visible")))
+    rows = indexed.select("id", grams("shown").alias("_v"), grams("all").alias("_a"))  # all words of the visible text are among all words
+    return rows.select("id", F.explode(F.concat(told(F.col("_v"), True), told(F.array_except("_a", "_v"), False))).alias("p")).select("p.g", "id", "p.visible")
+
+
+def looked_up(queries: DataFrame) -> DataFrame:
+    """(g): the pieces that ``search`` asks the postings for."""
+    q = queries.select(text.normal_form(F.col("query")).alias("q")).where("q <> ''")
+    grams = q.select("q", text.trigrams(F.col("q")).alias("g"))
+    return grams.select(F.explode(F.when(F.size("g") > 0, F.col("g")).otherwise(F.array(_longest(F.col("q"))))).alias("g")).distinct()
+
+
+def _longest(normal: Column) -> Column:
+    return F.array_max(F.transform(text.words(normal), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
 def _pieces(normal: Column) -> Column:
@@ -39,8 +56,7 @@ def search(indexed: DataFrame, posted: DataFrame, queries: DataFrame, k: int = 8
     often = posted.join(grams.where("g IS NOT NULL").select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"))
     driver = grams.join(often, "g", "left").groupBy("query", "q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("d"))
     driver = driver.select("query", "q", "d.g")
-    longest = F.array_max(F.transform(text.words(F.col("q")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    listed = driver.withColumn("g", F.coalesce("g", longest)).join(posted.select("g", "id"), "g").select("query", "q", "id").join(indexed, "id")
+    listed = driver.withColumn("g", F.coalesce("g", _longest(F.col("q")))).join(posted.select("g", "id"), "g").select("query", "q", "id").join(indexed, "id")
     tier = text.match_tier(F.col("q"), F.col("shown"), F.col("all"))
     scored = listed.withColumn("tier", tier).where("tier IS NOT NULL")
     excess = F.greatest(F.lit(0), F.length("shown") - F.length("q"))

@@ -120,10 +120,10 @@ ASKED = ("brand", "part 12", "pa", "1", "part 7 b", "standard", "econ", "promo",
 def t01_search(spark: SparkSession, d: str) -> DataFrame:
     """Eight best parts for each of some queries."""
     records = t.table(spark, d, "part").select(F.format_string("poi:%d", "p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_partkey").alias("display"), F.concat_ws(" ", "p_brand", "p_type").alias("subtitle"))
-    scratch = Scratch(spark)  # the index is written once and read by trigram
-    indexed = scratch.save(search.index(records), "records")
-    posted = scratch.save(search.postings(indexed).repartitionByRange("g"), "postings")
     asked = spark.createDataFrame([(q,) for q in ASKED], "query string")
+    scratch = Scratch(spark)  # what of the index these queries look up is written once
+    indexed = scratch.save(search.index(records), "records")
+    posted = scratch.save(search.postings(indexed, search.looked_up(asked)), "postings")
     return search.search(indexed, posted, asked)
 
 
