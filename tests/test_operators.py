@@ -367,3 +367,38 @@ def test_postings_of_some_pieces(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(some) == rows(whole.join(of, "g", "left_semi")) and len(rows(some)) > 5
     assert rows(search.search(indexed, some, queries)) == rows(search.search(indexed, whole, queries))
+
+
+@pytest.mark.parametrize("n", [40, 12000])
+def test_crowded_nearest_segments_and_votes(spark, n):
+    """Crowded cells, segments in the same place, far points and ties give what all pairs give."""
+    rng = random.Random(n)
+    segments = [(k, *(float(rng.randint(0, 60) * 5) for _ in range(2)), rng.randint(-20, 20), rng.randint(-20, 20)) for k in range(n)]
+    segments = [(k, x, y, x + a, y + b) for k, x, y, a, b in segments] + [(n + k, *s) for k, (_, x, y, a, b) in enumerate(segments[:40]) for s in [(x, y, x + a, y + b)]]
+    points = [(i, float(rng.randint(-40, 340)), float(rng.randint(-40, 340))) for i in range(60)]
+
+    def nearest(x, y):
+        found = []
+        for k, ax, ay, bx, by in segments:
+            m = (bx - ax) ** 2 + (by - ay) ** 2
+            f = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / m)) if m else 0.0
+            found.append((round(math.hypot(x - ax - (bx - ax) * f, y - ay - (by - ay) * f), 9), k))
+        return min(found)
+
+    s = spark.createDataFrame(segments, "edge long, ax double, ay double, bx double, by double")
+    got = {r["id"]: (round(r["distance_m"], 9), r["edge"]) for r in spatial.nearest_segment(spark.createDataFrame(points, "id long, x double, y double"), s, max_m=30.0, size=30.0).collect()}
+    want = {i: nearest(x, y) for i, x, y in points}
+    assert {i: d for i, (d, _) in got.items()} == {i: d for i, (d, _) in want.items() if d <= 30}
+    assert sum(got[i] == want[i] for i in got) >= 0.9 * len(got)  # equal to nine places, not always in the last bit
+
+    samples = [(float(rng.randint(0, 300)), float(rng.randint(0, 300)), k % 2, "ab"[rng.random() < 0.1]) for k in range(n)]
+    votes = {}
+    for i, x, y in points:
+        near = sorted(((a - x) ** 2 + (b - y) ** 2, v) for a, b, g, v in samples if g == i % 2 and (a - x) ** 2 + (b - y) ** 2 <= 6400)[:5]
+        if len(near) >= 2 and len({v for _, v in near}) == 1:
+            votes[i] = near[0][1]
+    p = spark.createDataFrame([(i, x, y, i % 2) for i, x, y in points], "id long, x double, y double, grp long")
+    found = spatial.neighbour_vote(p, spark.createDataFrame(samples, "sx double, sy double, grp long, value string"), reach_m=80.0, size=40.0)
+    assert {r["id"]: r["value"] for r in found.collect()} == votes and len(votes) > 5
+    if n > 1000:
+        assert spatial._rings(spatial._halvings(spatial.segment_cells(s, 30.0), 64.0, 2.0))[0] > 1

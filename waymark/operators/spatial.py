@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.functions import geo, sky, text
+from waymark.session import Scratch
+
+#: Fixed value: so many cells with something in them are told to all tasks.
+FEW_CELLS = 500_000
 
 
 def cells_around(x: Column, y: Column, size: float, radius: int) -> Column:
@@ -28,23 +33,79 @@ def segment_cells(segments: DataFrame, size: float) -> DataFrame:
     return segments.select("*", F.explode(cells_of_box(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size)).alias("c")).select("*", "c.*").drop("c")
 
 
+def _halvings(rows: DataFrame, most: float, grown: float) -> int:
+    """How often cells have to be halved until the rows (cx, cy) that are in cells come to ``most`` a cell: each halving leaves 1 / ``grown``."""
+    n, cells = rows.groupBy("cx", "cy").agg(F.count("*").alias("n")).agg(F.sum("n"), F.count("*")).first()
+    crowd = (n or 0) / max(cells, 1) / most
+    return max(0, math.ceil(math.log(crowd, grown))) if crowd > 1 else 0
+
+
+def _rings(halvings: int) -> list[int]:
+    """By what a reach is divided in turn: the most first, at last 1."""
+    return [1 << n for n in range(halvings, 0, -2)] + [1]
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, max_m: float = 250.0, size: float = 256.0) -> DataFrame:
     """(id, edge, distance_m, fraction, px, py): the segment nearest to each point within ``max_m``; ties go to the smaller edge.
 
     Segments (edge, ax, ay, bx, by) stand in every cell that their box touches, points (id, x, y) look into the cells
-    around theirs. A pair that meets in several cells is the same candidate each time.
+    around theirs. Where cells are crowded, finer ones come first: there a segment stands in every cell that it comes near
+    enough to, and a point that has a segment within that reach is done, as none that is nearer is missed.
     """
-    return nearest_in_cells(points, segment_cells(segments, size), max_m, size)
+    one = _one_a_place(segments)
+    halvings = _halvings(segment_cells(one, size), 64.0, 2.0)
+    span = lambda a, b, k: F.abs(F.col(a) - F.col(b)) * (1 << k) / size + 4
+    if halvings:  # segments that are long beside fine cells would stand in too many
+        many = one.agg(*[F.avg(span("ax", "bx", k) * span("ay", "by", k)) for k in range(1, halvings + 1)]).first()
+        halvings = max((k for k in range(1, halvings + 1) if many[k - 1] <= 100), default=0)
+    if not halvings:
+        return nearest_in_cells(points, segment_cells(one, size), max_m, size)
+    scratch = Scratch(points.sparkSession)
+    one, left, found = scratch.save(one, "segments"), scratch.save(points.select("id", "x", "y"), "points"), []
+    for shrink in _rings(halvings):
+        within, side = max_m / shrink, size / shrink
+        if shrink == 1:
+            found.append(nearest_in_cells(left, segment_cells(one, size), max_m, size))
+            break
+        p = left.withColumns({"cx": geo.cell(F.col("x"), side), "cy": geo.cell(F.col("y"), side)})
+        found.append(scratch.save(_nearest(p, _cells_near(one, side, within), within), f"found{shrink}"))
+        left = scratch.save(left.join(found[-1].select("id"), "id", "left_anti"), f"left{shrink}")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _one_a_place(segments: DataFrame, *cell: str) -> DataFrame:
+    """Of segments with the same ends that of the smallest number: the others are never the nearest."""
+    return segments.groupBy(*cell, "ax", "ay", "bx", "by").agg(F.min("edge").alias("edge"))
+
+
+def _cells_near(segments: DataFrame, side: float, within: float) -> DataFrame:
+    """Segments in every cell (cx, cy) with a point that may be ``within`` of them."""
+    ends = [F.least("ax", "bx") - within, F.least("ay", "by") - within, F.greatest("ax", "bx") + within, F.greatest("ay", "by") + within]
+    rows = segments.select("*", F.explode(cells_of_box(*ends, side)).alias("c")).select("*", "c.*").drop("c")
+    x, y, line = (F.col("cx") + 0.5) * side, (F.col("cy") + 0.5) * side, [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    return rows.where(geo.segment_distance(x, y, *line, geo.fraction_on_segment(x, y, *line)) <= (within + side * math.sqrt(0.5)) * 1.000001)
 
 
 def nearest_in_cells(points: DataFrame, cells: DataFrame, max_m: float, size: float) -> DataFrame:
     """``nearest_segment`` over segments that are in their cells already."""
     p = points.select("id", "x", "y", F.explode(cells_around(F.col("x"), F.col("y"), size, math.ceil(max_m / size))).alias("c")).select("id", "x", "y", "c.*")
-    j = p.join(cells, ["cx", "cy"])
-    j = j.withColumn("fraction", geo.fraction_on_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-    j = j.withColumn("distance_m", geo.segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("fraction"))).where(F.col("distance_m") <= max_m)
+    taken = cells.select("cx", "cy").distinct()
+    if taken.limit(FEW_CELLS + 1).count() <= FEW_CELLS:  # points far from all segments are not shuffled
+        p = p.join(F.broadcast(taken), ["cx", "cy"], "left_semi")
+    return _nearest(p, _one_a_place(cells, "cx", "cy"), max_m)
+
+
+def _nearest(placed: DataFrame, cells: DataFrame, max_m: float) -> DataFrame:
+    """The nearest segment of the points that are ``placed`` in cells.
+
+    The least distance of each point comes first, which is summed up where pairs are made; then the segment that has it,
+    so pairs are neither sorted nor shuffled.
+    """
+    line = [F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")]
+    pairs = lambda p: p.join(cells, ["cx", "cy"]).withColumn("fraction", geo.fraction_on_segment(*line)).withColumn("distance_m", geo.segment_distance(*line, F.col("fraction")))
+    least = pairs(placed).where(F.col("distance_m") <= max_m).groupBy("id").agg(F.min("distance_m").alias("_least"))
     at = F.struct("fraction", (F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("fraction")).alias("px"), (F.col("ay") + (F.col("by") - F.col("ay")) * F.col("fraction")).alias("py"))
-    best = j.groupBy("id").agg(F.min(F.struct("distance_m", "edge", at.alias("at"))).alias("b"))
+    best = pairs(placed.join(least, "id")).where("distance_m = _least").groupBy("id").agg(F.min(F.struct("distance_m", "edge", at.alias("at"))).alias("b"))
     return best.select("id", "b.edge", "b.distance_m", "b.at.*")
 
 
@@ -72,14 +133,25 @@ def on_road(points: DataFrame, segments: DataFrame, size: float = 128.0) -> Data
 def neighbour_vote(points: DataFrame, samples: DataFrame, reach_m: float = 500.0, size: float = 250.0, nearest: int = 5, support: int = 2) -> DataFrame:
     """(id, value): what the nearest samples of the same group say, if there are ``support`` of them and all say the same.
 
-    points: id, x, y, grp; samples: sx, sy, grp, value.
+    points: id, x, y, grp; samples: sx, sy, grp, value. Where cells are crowded, a shorter reach comes first: a point that
+    has ``nearest`` samples within it needs no others.
     """
-    p = points.select("id", "x", "y", "grp", F.explode(cells_around(F.col("x"), F.col("y"), size, math.ceil(reach_m / size))).alias("c")).select("id", "x", "y", "grp", "c.*")
-    s = samples.select("sx", "sy", "grp", "value", geo.cell(F.col("sx"), size).alias("cx"), geo.cell(F.col("sy"), size).alias("cy"))
+    placed = lambda side: samples.select("sx", "sy", "grp", "value", geo.cell(F.col("sx"), side).alias("cx"), geo.cell(F.col("sy"), side).alias("cy"))
     d2 = (F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y"))
-    j = p.join(s, ["cx", "cy", "grp"]).withColumn("_d", d2).where(F.col("_d") <= reach_m * reach_m)
-    j = j.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("_d", "value"))).where(F.col("_n") <= nearest)
-    votes = j.groupBy("id").agg(F.count("*").alias("n"), F.min("value").alias("value"), F.max("value").alias("_other"))
+    rings = _rings(_halvings(placed(size).withColumn("cx", F.struct("grp", "cx")), 2.0 * nearest, 4.0))
+    scratch = Scratch(points.sparkSession) if len(rings) > 1 else None
+    left, out = points.select("id", "x", "y", "grp"), []
+    for shrink in rings:
+        within, side = reach_m / shrink, size / shrink
+        p = left.select("id", "x", "y", "grp", F.explode(cells_around(F.col("x"), F.col("y"), side, math.ceil(within / side))).alias("c")).select("id", "x", "y", "grp", "c.*")
+        j = p.join(placed(side), ["cx", "cy", "grp"]).withColumn("_d", d2).where(F.col("_d") <= within * within)
+        j = j.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("_d", "value"))).where(F.col("_n") <= nearest)
+        votes = j.groupBy("id").agg(F.count("*").alias("n"), F.min("value").alias("value"), F.max("value").alias("_other"))
+        if shrink > 1:
+            votes = scratch.save(votes.where(F.col("n") >= nearest), f"votes{shrink}")
+            left = scratch.save(left.join(votes, "id", "left_anti"), f"left{shrink}")
+        out.append(votes)
+    votes = reduce(DataFrame.unionByName, out)
     return votes.where((F.col("n") >= support) & (F.col("value") == F.col("_other"))).select("id", "value")
 
 
