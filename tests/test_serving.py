@@ -319,3 +319,13 @@ def test_latest_equals_a_search(spark):
         want.append((request, unit, best[1], now - best[0], now - best[0] > 10.0) if best else (request, unit, None, 0.0, False))
     rows = [(x["request"], x["unit"], x["event_id"], x["age_s"], x["stale"]) for x in got.collect()]
     assert sorted(rows, key=repr) == sorted(want, key=repr)
+
+
+def test_side_roads_are_no_nodes(spark, tmp_path):
+    """Side roads and their ends keep numbers of their own where nodes are numbered beyond a million."""
+    from waymark.plans import network
+
+    spark.range(0, 1_000_200, 1).where("id < 200 OR id >= 1000000").withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    streets, spots = network._streets(spark, str(tmp_path))
+    assert spots.count() == spots.select("node").distinct().count()
+    assert streets.join(spots.select("node"), streets.source == spots.node).count() == streets.count() > 700
