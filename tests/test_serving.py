@@ -329,3 +329,14 @@ def test_side_roads_are_no_nodes(spark, tmp_path):
     streets, spots = network._streets(spark, str(tmp_path))
     assert spots.count() == spots.select("node").distinct().count()
     assert streets.join(spots.select("node"), streets.source == spots.node).count() == streets.count() > 700
+
+
+def test_segments_in_one_place_count_once_in_the_snap_index(spark, tmp_path):
+    """Many edges in the same place give the smallest of them, and points far from all edges are not looked up."""
+    rows = [(k, 2 * k, 2 * k + 1, k, 0, 0, 100.0, 0.0, 0.0, 100.0, 0.0) for k in range(3, 400)]
+    edges = spark.createDataFrame(rows, "edge long, source long, target long, way_id long, access int, flags int, length_m double, ax double, ay double, bx double, by double")
+    snap, _ = snapping.write_index(edges, "snap_alike", str(tmp_path / "index"), buckets=2)
+    points = spark.createDataFrame([(1, 50.0, 7.0), (2, 90_000.0, 0.0)], "id long, x double, y double")
+    found = snapping.snapped(points, snap)
+    assert [(r["id"], r["edge"], r["distance_m"]) for r in found.collect()] == [(1, 3, 7.0)]
+    assert spatial._one_a_place(snap, "cx", "cy").count() == snap.select("cx", "cy").distinct().count()
