@@ -340,3 +340,12 @@ def test_segments_in_one_place_count_once_in_the_snap_index(spark, tmp_path):
     found = snapping.snapped(points, snap)
     assert [(r["id"], r["edge"], r["distance_m"]) for r in found.collect()] == [(1, 3, 7.0)]
     assert spatial._one_a_place(snap, "cx", "cy").count() == snap.select("cx", "cy").distinct().count()
+
+
+def test_ways_are_listed_once_a_place(spark):
+    """Signals that share a place share one list of its ways."""
+    from waymark.operators import signals
+
+    v = spark.createDataFrame([(7, 13.0, 55.0), (3, 13.0 + 1e-9, 55.0), (7, 13.0, 55.0), (4, 13.1, 55.0)], "way_id long, lon double, lat double")
+    got = sorted((r["_x"], r["ways"]) for r in signals.ways_by_place(v).collect())
+    assert got == [(130_000_000, [3, 7]), (131_000_000, [4])]

@@ -22,12 +22,22 @@ def memberships(signals: DataFrame, way_nodes: DataFrame) -> DataFrame:
 
 def memberships_by_place(signals: DataFrame, vertices: DataFrame) -> DataFrame:
     """As ``memberships``, where only places tell nodes: signal, lon, lat and way_id, lon, lat meet in steps of 1e-7 degrees."""
-    at = lambda c: F.round(F.col(c) * STEPS).cast("long")
-    v = vertices.select("way_id", at("lon").alias("_x"), at("lat").alias("_y")).distinct()
-    met = signals.select("signal", at("lon").alias("_x"), at("lat").alias("_y")).join(v, ["_x", "_y"], "left")
+    v = vertices.select("way_id", place("lon").alias("_x"), place("lat").alias("_y")).distinct()
+    met = signals.select("signal", place("lon").alias("_x"), place("lat").alias("_y")).join(v, ["_x", "_y"], "left")
     return met.groupBy("signal").agg(F.sort_array(F.collect_set("way_id")).alias("ways"))
 
 
+def ways_by_place(vertices: DataFrame) -> DataFrame:
+    """(_x, _y, ways): the distinct ways with a vertex (way_id, lon, lat) in each place, in the steps of ``memberships_by_place``, ascending."""
+    v = vertices.select("way_id", *[place(c).alias(n) for c, n in (("lon", "_x"), ("lat", "_y"))])
+    return v.groupBy("_x", "_y").agg(F.sort_array(F.collect_set("way_id")).alias("ways"))
+
+
+def place(degrees: str) -> Column:
+    """A coordinate in whole steps."""
+    return F.round(F.col(degrees) * STEPS).cast("long")
+
+
 def direction(tags: Column) -> Column:
     """Struct (direction, source) from a signal's tags."""
     own, old = cleaned(tags["traffic_signals:direction"]), cleaned(tags["direction"])
