@@ -349,3 +349,16 @@ def test_ways_are_listed_once_a_place(spark):
     v = spark.createDataFrame([(7, 13.0, 55.0), (3, 13.0 + 1e-9, 55.0), (7, 13.0, 55.0), (4, 13.1, 55.0)], "way_id long, lon double, lat double")
     got = sorted((r["_x"], r["ways"]) for r in signals.ways_by_place(v).collect())
     assert got == [(130_000_000, [3, 7]), (131_000_000, [4])]
+
+
+def test_faces_of_few_and_of_many_edges(spark):
+    """A small face of few edges and one of many hold the same points; the first need no second join."""
+    square = [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)]
+    many = [(a + (c - a) * k / 40, b + (d - b) * k / 40) for (a, b), (c, d) in zip(square, square[1:] + square[:1]) for k in range(40)]
+    rings = spark.createDataFrame([(1, square), (1, [(3.0, 3.0), (6.0, 3.0), (6.0, 6.0), (3.0, 6.0)]), (2, many)], "face long, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(i * 12 + j, i - 0.5, j - 0.5) for i in range(12) for j in range(12)], "id long, x double, y double")
+    held = lambda face: {(r["id"] // 12, r["id"] % 12) for r in spatial.in_faces(points, rings.where(f"face = {face}"), 5.0).collect()}
+    whole = {(i, j) for i in range(1, 10) for j in range(1, 10)}
+    assert held(2) == whole and held(1) == whole - {(i, j) for i in range(4, 7) for j in range(4, 7)}
+    plan = spatial.in_faces(points, rings.where("face = 1"), 5.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count_if" not in plan
