@@ -29,6 +29,7 @@ def assemble_rings(members: DataFrame) -> DataFrame:
     # Of the two darts that leave a node, the one of this very way turns back.
     going = darts.join(two, ["area", "head"]).select("area", "dart", F.when(F.floor(F.col("_one") / 2) == F.col("way"), F.col("_other")).otherwise(F.col("_one")).alias("to"))
     going = scratch.save(going, "next")
+    scratch.drop("darts")
     state, k, moving = going.select("area", "dart", "to", F.least("dart", "to").alias("low")), 0, True
     while moving:
         above = state.select("area", F.col("dart").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
@@ -36,16 +37,21 @@ def assemble_rings(members: DataFrame) -> DataFrame:
         step = met.select("area", "dart", F.col("_to").alias("to"), F.least("low", "_low").alias("low"), (F.col("_to").isNull() | (F.col("_low") < F.col("low"))).alias("moved"))
         k += 1
         step = scratch.save(step, f"low{k}")
+        if k > 1:
+            scratch.drop(f"low{k - 1}")
         moving = not step.where("moved").isEmpty()
         state = step.where("to IS NOT NULL").select("area", "dart", "to", "low")  # the others lead to an open end
     rings = scratch.save(state.where("low % 2 = 0").select("area", "dart", "low"), "rings")
+    scratch.drop(f"low{k}")
     left = going.join(rings, ["area", "dart"]).select("area", "dart", "low", F.when(F.col("to") != F.col("low"), F.col("to")).alias("to")).withColumn("n", F.col("to").isNotNull().cast("long"))
     left, k = scratch.save(left, "left0"), 0
+    scratch.drop("next", "rings")
     while not left.where("to IS NOT NULL").isEmpty():
         above = left.select("area", F.col("dart").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"))
         further = left.where("to IS NOT NULL").join(above, ["area", "to"]).select("area", "dart", "low", F.col("_to").alias("to"), (F.col("n") + F.col("_n")).alias("n"))
         k += 1
         left = scratch.save(left.where("to IS NULL").unionByName(further), f"left{k}")
+        scratch.drop(f"left{k - 1}")
     sizes = left.groupBy("area", "low").agg(F.max("n").alias("_last"))
     chained = left.join(sizes, ["area", "low"]).select("area", F.floor(F.col("low") / 2).alias("ring"), (F.col("_last") - F.col("n")).alias("seq"), F.floor(F.col("dart") / 2).alias("way"), (F.col("dart") % 2 == 1).alias("reversed"))
     return chained.unionByName(alone)
